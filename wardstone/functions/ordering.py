@@ -1,32 +1,93 @@
-"""Positions in an ordered group without sorting the whole group in one task."""
+"""Ordered computations over groups of any size.
+
+A window over a whole group runs in one task, so a dominant key would decide the run time.
+Here every group is cut along an order-preserving coarse key, the *bucket* (an hour, a day, an
+id range, leading hash digits). Windows run inside (group, bucket); what earlier buckets
+contribute comes from a summary with one row per bucket.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
-def grouped_index(df: DataFrame, group: list[str], order: list, bucket: Column, name: str = "position") -> DataFrame:
-    """Add the 1-based position of each row of its group in ``order``.
+def join_same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Null-safe equi-join of two frames that may share their origin; keys appear once."""
+    renamed = right.select(*[F.col(k).alias(f"__right_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    test = F.lit(True)
+    for k in keys:
+        test = test & F.col(k).eqNullSafe(F.col(f"__right_{k}"))
+    return left.join(renamed, test, how).drop(*[f"__right_{k}" for k in keys])
+
+
+def along(
+    df: DataFrame,
+    group: list[str],
+    order: list[str],
+    bucket: Column,
+    *,
+    position: str | None = None,
+    sums: dict[str, Column] | None = None,
+    maxima: dict[str, Column] | None = None,
+    minima: dict[str, Column] | None = None,
+    lags: dict[str, Column] | None = None,
+    leads: dict[str, Column] | None = None,
+) -> DataFrame:
+    """Add running values in ``order`` (a unique order inside the group):
 
-    ``bucket`` is an order-preserving coarse key (an hour, a day, a leading hash digit, an id
-    range): rows are numbered inside (group, bucket), and the row counts of the earlier
-    buckets, a table of one row per bucket, give the offset. A dominant group therefore
-    spreads over its buckets."""
-    b = df.withColumn("__bucket", bucket)
+    position  1-based row number          sums    running totals, own row included
+    maxima, minima  running extremes, own row included
+    lags, leads     value of the previous / next row
+    """
+    sums, maxima, minima = sums or {}, maxima or {}, minima or {}
+    lags, leads = lags or {}, leads or {}
+    named = {**sums, **maxima, **minima, **{f"__lag_{k}": v for k, v in lags.items()},
+             **{f"__lead_{k}": v for k, v in leads.items()}}
+    base = df.select("*", bucket.alias("__bucket"), *[v.alias(f"__v_{k}") for k, v in named.items()])
     keys = [*group, "__bucket"]
-    counts = b.groupBy(*keys).agg(F.count("*").alias("__n"))
-    before = W.partitionBy(*group).orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select(*keys, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
-    numbered = b.withColumn("__rn", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
-    joined = numbered.join(offsets, _null_safe(numbered, offsets, keys), "inner")
-    return joined.select(*[numbered[c] for c in df.columns], (F.col("__rn") + F.col("__offset")).alias(name))
+    at = F.struct(*order)
+    aggs = [F.count("*").alias("__n")]
+    aggs += [F.sum(f"__v_{k}").alias(f"__s_{k}") for k in sums]
+    aggs += [F.max(f"__v_{k}").alias(f"__s_{k}") for k in maxima]
+    aggs += [F.min(f"__v_{k}").alias(f"__s_{k}") for k in minima]
+    aggs += [F.max_by(F.struct(F.col(f"__v___lag_{k}").alias("x")), at).alias(f"__s___lag_{k}") for k in lags]
+    aggs += [F.min_by(F.struct(F.col(f"__v___lead_{k}").alias("x")), at).alias(f"__s___lead_{k}") for k in leads]
+    summary = base.groupBy(*keys).agg(*aggs)
+    near = W.partitionBy(*group).orderBy("__bucket")
+    before = near.rowsBetween(W.unboundedPreceding, -1)
+    carried = [F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__c_n")]
+    carried += [F.sum(f"__s_{k}").over(before).alias(f"__c_{k}") for k in sums]
+    carried += [F.max(f"__s_{k}").over(before).alias(f"__c_{k}") for k in maxima]
+    carried += [F.min(f"__s_{k}").over(before).alias(f"__c_{k}") for k in minima]
+    carried += [F.lag(f"__s___lag_{k}").over(near).alias(f"__c___lag_{k}") for k in lags]
+    carried += [F.lead(f"__s___lead_{k}").over(near).alias(f"__c___lead_{k}") for k in leads]
+    offsets = summary.select(*keys, *carried)
+    inside = W.partitionBy(*keys).orderBy(*order)
+    upto = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
+    local = [F.row_number().over(inside).alias("__l_n")]
+    local += [F.sum(f"__v_{k}").over(upto).alias(f"__l_{k}") for k in sums]
+    local += [F.max(f"__v_{k}").over(upto).alias(f"__l_{k}") for k in maxima]
+    local += [F.min(f"__v_{k}").over(upto).alias(f"__l_{k}") for k in minima]
+    local += [F.lag(F.struct(F.col(f"__v___lag_{k}").alias("x"))).over(inside).alias(f"__l___lag_{k}") for k in lags]
+    local += [F.lead(F.struct(F.col(f"__v___lead_{k}").alias("x"))).over(inside).alias(f"__l___lead_{k}") for k in leads]
+    rows = base.select("*", *local)
+    joined = join_same(rows, offsets, keys)
+    out = [F.col(c) for c in df.columns]
+    if position:
+        out.append((F.col("__l_n") + F.col("__c_n")).cast("bigint").alias(position))
+    for k in sums:
+        total = F.coalesce(f"__l_{k}", F.lit(0)) + F.coalesce(f"__c_{k}", F.lit(0))
+        out.append(total.alias(k))
+    out += [F.greatest(f"__l_{k}", f"__c_{k}").alias(k) for k in maxima]
+    out += [F.least(f"__l_{k}", f"__c_{k}").alias(k) for k in minima]
+    out += [F.coalesce(f"__l___lag_{k}", f"__c___lag_{k}")["x"].alias(k) for k in lags]
+    out += [F.coalesce(f"__l___lead_{k}", f"__c___lead_{k}")["x"].alias(k) for k in leads]
+    return joined.select(*out)
 
 
-def _null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    test = F.lit(True)
-    for k in keys:
-        test = test & left[k].eqNullSafe(right[k])
-    return test
+def grouped_index(df: DataFrame, group: list[str], order: list[str], bucket: Column, name: str = "position") -> DataFrame:
+    """Add the 1-based position of each row of its group in ``order``."""
+    return along(df, group, order, bucket, position=name)
 
 
 def hash_key(*parts) -> Column:
@@ -36,3 +97,11 @@ def hash_key(*parts) -> Column:
 def hash_bucket(h: Column, digits: int = 3) -> Column:
     """Order-preserving bucket of a hex hash: its leading digits."""
     return F.substring(h, 1, digits)
+
+
+def day(ts: Column) -> Column:
+    return F.to_date(ts)
+
+
+def id_range(key: Column, size: int = 100_000) -> Column:
+    return F.floor(key / size)

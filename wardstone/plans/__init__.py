@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["detection", "anonymization"]
+MODULES = ["detection", "anonymization", "privacy", "compliance"]
 
 
 def load():
