@@ -26,6 +26,8 @@ from ..functions.patterns import (
     Pattern,
 )
 
+from .quality import json_nodes
+
 Detector = Callable[[DataFrame], DataFrame]
 
 
@@ -287,24 +289,9 @@ def classify_columns(df: DataFrame, config=DetectConfig(), columns: list[str] |
 
 
 def json_leaves(df: DataFrame, json_col: str, keys: list[str], max_depth: int = 8) -> DataFrame:
-    """String leaves of a JSON document with their path (``a.b.[0]``).
-
-    Levels are expanded as narrow generators; the loop runs over nesting levels, not rows."""
-    level = df.select(*keys, F.lit("").alias("path"), F.try_parse_json(json_col).alias("node"))
-    leaves = None
-    for _ in range(max_depth + 1):
-        kind = F.schema_of_variant("node")
-        text = level.filter(kind == "STRING").select(
-            *keys, "path", F.variant_get("node", "$", "string").alias("leaf"))
-        leaves = text if leaves is None else leaves.unionByName(text)
-        inner = level.filter(kind.startswith("OBJECT") | kind.startswith("ARRAY"))
-        inner.createOrReplaceTempView("__json_level")
-        keyed = ", ".join(f"`{k}`" for k in keys)
-        level = df.sparkSession.sql(
-            f"SELECT {keyed}, concat(path, CASE WHEN path = '' THEN '' ELSE '.' END, "
-            f"coalesce(e.key, concat('[', e.pos, ']'))) AS path, e.value AS node "
-            f"FROM __json_level, LATERAL variant_explode(node) AS e")
-    return leaves
+    """String leaves of a JSON document with their path (``a.b.[0]``)."""
+    nodes = json_nodes(df, json_col, keys, max_depth).filter(F.col("kind") == "STRING")
+    return nodes.select(*keys, "path", F.variant_get("node", "$", "string").alias("leaf"))
 
 
 def detect_json(df: DataFrame, json_col: str, keys: list[str], config=DetectConfig(), max_depth: int = 8) -> DataFrame:
