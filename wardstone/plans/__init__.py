@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["detection", "anonymization", "privacy", "compliance"]
+MODULES = ["detection", "anonymization", "privacy", "compliance", "tables", "graphs"]
 
 
 def load():
