@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["detection", "anonymization", "privacy", "compliance", "tables", "graphs"]
+MODULES = ["detection", "anonymization", "privacy", "compliance", "tables", "graphs", "operations"]
 
 
 def load():

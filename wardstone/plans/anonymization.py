@@ -181,6 +181,9 @@ def repl_sql(mapping, default):
 OUT_TEXT = "coalesce(head||substr(text,last_end+1), text)"
 
 
+DEFAULT_SQL_TEXT = spliced(repl_sql(A.DEFAULT_STRATEGIES, "mask")) + f" SELECT doc_id, {OUT_TEXT} AS text FROM documents LEFT JOIN cut USING (doc_id)"
+
+
 @query("a14_rewrite", spliced("'[REDACTED]'") + f" SELECT doc_id, {OUT_TEXT} AS text FROM documents LEFT JOIN cut USING (doc_id)")
 def _(spark, sf):
     spans = D.with_spans(docs(spark, sf).select("doc_id", "text"), "text")
