@@ -90,6 +90,35 @@ def grouped_index(df: DataFrame, group: list[str], order: list[str], bucket: Col
     return along(df, group, order, bucket, position=name)
 
 
+def first_n(df: DataFrame, group: list[str], order: list[str], bucket: Column, n: int, name: str = "position", descending: bool = False) -> DataFrame:
+    """The first n rows per group in ``order`` with their position.
+
+    Row counts per bucket tell which leading buckets hold n rows; only those are ranked."""
+    b = df.withColumn("__bucket", bucket)
+    keys = [*group, "__bucket"]
+    first = F.desc if descending else F.asc
+    before = W.partitionBy(*group).orderBy(first("__bucket")).rowsBetween(W.unboundedPreceding, -1)
+    counts = b.groupBy(*keys).agg(F.count("*").alias("__n"))
+    offsets = counts.select(*keys, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset")).filter(F.col("__offset") < n)
+    near = join_same(b, offsets, keys)
+    ranked = near.withColumn("__rn", F.row_number().over(W.partitionBy(*keys).orderBy(*[first(c) for c in order])))
+    position = F.col("__rn") + F.col("__offset")
+    return ranked.filter(position <= n).select(*df.columns, position.cast("bigint").alias(name))
+
+
+def fold_hashes(rows: DataFrame, group: list[str], h: str, line: str, levels: tuple[int, ...] = (6, 3)) -> DataFrame:
+    """One order-independent digest per group from its lines, folded in steps along leading
+    digits of ``h``: a group with very many lines becomes 16^6 small lists, then 16^3, then one
+    list of at most 16^3 digests. ``entries`` counts the lines."""
+    cells = rows.select(*group, F.col(h).alias("__h"), F.col(line).alias("__x"), F.lit(1).cast("bigint").alias("__n"))
+    for digits in (*levels, 0):
+        cell = F.substring("__h", 1, digits) if digits else F.lit("")
+        text = F.array_join(F.array_sort(F.collect_list("__x")), "\n")
+        cells = cells.groupBy(*group, cell.alias("__cell")).agg(F.sha2(text, 256).alias("__d"), F.sum("__n").alias("__n"))
+        cells = cells.select(*group, F.col("__cell").alias("__h"), F.concat_ws(":", "__cell", "__d").alias("__x"), "__d", "__n")
+    return cells.select(*group, F.col("__d").alias("hash"), F.col("__n").alias("entries"))
+
+
 def hash_key(*parts) -> Column:
     return F.sha2(F.concat_ws("|", *[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts]), 256)
 

@@ -10,9 +10,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import spans as S
+from ..functions.ordering import first_n
 from ..functions.patterns import (
     CATEGORY_OF_TYPE,
     KEYWORDS,
@@ -338,7 +339,7 @@ def detection_stats(detections: DataFrame) -> DataFrame:
     return grouped.select(*[F.coalesce(c, F.lit("*")).alias(c) for c in dims], "n", "avg_confidence")
 
 
-def suppress_allowlist(detections: DataFrame, allow: DataFrame, now: Column) -> DataFrame:
+def suppress_allowlist(detections: DataFrame, allow: DataFrame, now: Column, types: list[str] = tuple(CATEGORY_OF_TYPE)) -> DataFrame:
     """Drop detections that equal, or match the regex of, an active unexpired entry.
 
     ``allow``: (kind 'exact'|'regex', pattern, pii_type or null, active, expires_at)."""
@@ -347,8 +348,13 @@ def suppress_allowlist(detections: DataFrame, allow: DataFrame, now: Column) ->
     typed = F.col("a.pii_type").isNull() | (F.col("a.pii_type") == F.col("d.pii_type"))
     exact = d.join(
         a.filter("kind = 'exact'"), (F.col("d.value") == F.col("a.pattern")) & typed, "left_anti")
-    rules = live.filter("kind = 'regex'").alias("a")
-    return exact.alias("d").join(rules, F.expr("d.value RLIKE a.pattern") & typed, "left_anti")
+    # regex entries meet the distinct values of their type; an entry for any type is unfolded
+    # over the known types, so that the join stays an equality on the type
+    values = exact.select("pii_type", "value").distinct()
+    rules = live.filter("kind = 'regex'").select("pattern", F.explode(
+        F.when(F.col("pii_type").isNotNull(), F.array("pii_type")).otherwise(F.array(*[F.lit(t) for t in types]))).alias("pii_type"))
+    hit = values.join(rules, "pii_type").filter(F.expr("value RLIKE pattern")).select("pii_type", "value").distinct()
+    return exact.join(hit, ["pii_type", "value"], "left_anti").select(*detections.columns)
 
 
 def record_status(df: DataFrame, text: str, keys: list[str], config=DetectConfig()) -> DataFrame:
@@ -390,10 +396,9 @@ def route(spans: DataFrame, patterns: list[Pattern], reject_risk: int = 3, quara
 
 def pii_inventory(detections: DataFrame, dataset: str, field_name: str, key: str, samples: int = 3) -> DataFrame:
     """Per dataset, field and type: hits, records, highest risk, sample values, risk score."""
-    by_value = detections.groupBy(dataset, field_name, "pii_type", "value").agg(F.count("*").alias("c"))
-    ranked = by_value.withColumn("r", F.row_number().over(
-        W.partitionBy(dataset, field_name, "pii_type").orderBy("value")))
-    shown = ranked.filter(F.col("r") <= samples).groupBy(dataset, field_name, "pii_type").agg(
+    values = detections.select(dataset, field_name, "pii_type", "value").distinct()
+    few = first_n(values, [dataset, field_name, "pii_type"], ["value"], F.substring("value", 1, 3), samples)
+    shown = few.groupBy(dataset, field_name, "pii_type").agg(
         F.array_join(F.array_sort(F.collect_list("value")), "|").alias("samples"))
     totals = detections.groupBy(dataset, field_name, "pii_type").agg(
         F.count("*").alias("hits"),

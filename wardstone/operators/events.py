@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.ordering import along, grouped_index
+from ..functions.ordering import along, first_n, grouped_index
 from ..functions.strategies import hmac_sha256
 from .audit import category_of
 
@@ -47,18 +47,7 @@ def recent_events(events: DataFrame, order: list[str], n: int) -> DataFrame:
 
 
 def recent_by_type(events: DataFrame, order: list[str], bucket: Column, n: int) -> DataFrame:
-    """Last n per type: each (type, bucket) keeps its own last n, then the few survivors of a
-    type are ranked."""
-    back = [F.desc(c) for c in order]
-    inside = events.withColumn("__b", bucket).withColumn("__r", F.row_number().over(W.partitionBy("event_type", "__b").orderBy(*back)))
-    few = inside.filter(F.col("__r") <= n)
-    # newest buckets that together hold n rows are enough
-    counts = few.groupBy("event_type", "__b").agg(F.count("*").alias("__n"))
-    newer = W.partitionBy("event_type").orderBy(F.desc("__b")).rowsBetween(W.unboundedPreceding, -1)
-    needed = counts.withColumn("__before", F.coalesce(F.sum("__n").over(newer), F.lit(0))).filter(F.col("__before") < n).select("event_type", "__b")
-    kept = few.join(needed, ["event_type", "__b"], "left_semi")
-    ranked = kept.withColumn("rank", F.row_number().over(W.partitionBy("event_type").orderBy(*back)))
-    return ranked.filter(F.col("rank") <= n).select(*events.columns, "rank")
+    return first_n(events, ["event_type"], order, bucket, n, "rank", descending=True)
 
 
 def batch_events(events: DataFrame, order: list[str], bucket: Column, size: int) -> DataFrame:

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.ordering import along, grouped_index, hash_bucket, hash_key
+from ..functions.ordering import along, first_n, grouped_index, hash_bucket, hash_key
 
 UNIT = float(16**13)
 
@@ -19,15 +19,15 @@ def unit_hash(seed: str, key: Column) -> Column:
 def sample_random(df: DataFrame, key: str, seed: str, n: int | None = None, ratio: float | None = None) -> DataFrame:
     if ratio is not None:
         return df.filter(unit_hash(seed, F.col(key)) < ratio)
-    return df.orderBy(hash_key(seed, F.col(key)), key).limit(n)
+    h = df.withColumn("__h", hash_key(seed, F.col(key)))
+    return first_n(h, [], ["__h", key], hash_bucket(F.col("__h")), n, "__pos").select(*df.columns)
 
 
 def sample_stratified(df: DataFrame, stratum: str, key: str, seed: str, n: int | None = None, ratio: float | None = None) -> DataFrame:
     if ratio is not None:
         return sample_random(df, key, seed, ratio=ratio)
     h = df.withColumn("__h", hash_key(seed, F.col(key)))
-    ranked = grouped_index(h, [stratum], ["__h", key], hash_bucket(F.col("__h")), "__pos")
-    return ranked.filter(F.col("__pos") <= n).select(*df.columns)
+    return first_n(h, [stratum], ["__h", key], hash_bucket(F.col("__h")), n, "__pos").select(*df.columns)
 
 
 def sample_systematic(df: DataFrame, order: str, bucket: Column, interval: int, offset: int = 0) -> DataFrame:

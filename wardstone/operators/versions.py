@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.ordering import along, grouped_index, hash_bucket, join_same
+from ..functions.ordering import along, fold_hashes, grouped_index, hash_bucket
 from ..session import cut
 
 
@@ -131,17 +131,11 @@ def blame(versions: DataFrame, key: str, order: list[str], bucket: Column, field
 
 
 # ------------------------------------------------------------------------------- content ids
-def dataset_fingerprint(df: DataFrame, columns: list[str], digits: int = 4) -> DataFrame:
-    """Order-independent content id. Row hashes collapse to (hash, copies), each leading-digit
-    bucket is hashed on its own, and the bucket hashes (at most 16^digits) are hashed together.
-    More ``digits`` keep buckets small on larger tables."""
+def dataset_fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Order-independent content id: row hashes collapse to (hash, copies), which are folded."""
     rows = df.select(row_hash(columns).alias("h")).groupBy("h").agg(F.count("*").alias("n"))
-    bucket = F.substring("h", 1, digits)
-    line = F.concat_ws("x", "h", F.col("n").cast("string"))
-    per = rows.groupBy(bucket.alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("bh"), F.sum("n").alias("n"))
-    return per.agg(
-        F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "bh"))), lambda x: x["bh"]), "\n"), 256).alias("fingerprint"),
-        F.coalesce(F.sum("n"), F.lit(0)).alias("records"))
+    lines = rows.withColumn("line", F.concat_ws("x", "h", F.col("n").cast("string")))
+    return fold_hashes(lines, [], "h", "line").select(F.col("hash").alias("fingerprint"), F.col("entries").alias("distinct_rows"))
 
 
 def commit_id(tree: Column, parents: Column, author: Column, time: Column, dataset: Column, message: Column) -> Column:
@@ -156,8 +150,7 @@ def commit_id(tree: Column, parents: Column, author: Column, time: Column, datas
 def tree_hash(files: DataFrame, path: str, file_hash: str, max_depth: int) -> DataFrame:
     """Directory hashes bottom-up over sorted (mode, name, hash) entries.
 
-    Each level folds its entries into their parents; a directory with very many entries is
-    folded in two steps, first by leading digits of the entry name's hash."""
+    One fold per level; the loop runs over path depths."""
     parts = F.filter(F.split(path, "/"), lambda x: x != "")
     level = files.select(F.array_join(parts, "/").alias("path"), F.lit("100644").alias("mode"), F.col(file_hash).alias("hash"), F.size(parts).alias("depth"))
     level = level.groupBy("path", "mode", "depth").agg(F.min("hash").alias("hash"))
@@ -167,11 +160,8 @@ def tree_hash(files: DataFrame, path: str, file_hash: str, max_depth: int) -> Da
         deeper_dirs = here if done is None else here.unionByName(done)
         parent = F.when(F.instr("path", "/") > 0, F.regexp_replace("path", "/[^/]*$", "")).otherwise(F.lit(""))
         name = F.substring_index("path", "/", -1)
-        line = F.concat_ws(" ", "mode", name, "hash")
-        cells = deeper_dirs.groupBy(parent.alias("dir"), F.substring(F.sha2(name, 256), 1, 2).alias("cell")).agg(
-            F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("ch"), F.count("*").alias("n"))
-        dirs = cells.groupBy("dir").agg(
-            F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "cell", "ch"))), "\n"), 256).alias("hash"), F.sum("n").alias("entries"))
+        entries = deeper_dirs.select(parent.alias("dir"), F.sha2(name, 256).alias("nh"), F.concat_ws(" ", "mode", name, "hash").alias("line"))
+        dirs = fold_hashes(entries, ["dir"], "nh", "line")
         as_entries = dirs.select(F.col("dir").alias("path"), F.lit("040000").alias("mode"), F.lit(depth - 1).alias("depth"), "hash")
         found = dirs.select(F.col("dir"), F.lit(depth - 1).alias("depth"), "hash", "entries")
         out = found if depth == max_depth else out.unionByName(found)

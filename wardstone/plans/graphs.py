@@ -10,7 +10,6 @@ from ..session import cut, table
 from .detection import docs
 from .registry import query
 
-OCOLS = ["o_custkey", "o_orderstatus", "o_totalprice"]
 # the hash input of a row, spelled for both engines; prices go through cents to avoid float text
 _PRICE = "CAST(round(o_totalprice*100) AS BIGINT)"
 
@@ -31,8 +30,6 @@ HCOLS = ["o_custkey", "o_orderstatus", "p"]
 _SIZE = "(length(o_custkey::VARCHAR)+length(o_orderstatus)+length(p::VARCHAR))::BIGINT"
 BASE = f"o AS (SELECT o_orderkey, o_custkey, o_orderstatus, {_PRICE} AS p FROM orders)"
 OLD = f"SELECT o_orderkey AS key, {_rowhash()} AS hash, CASE WHEN o_orderkey%50=0 THEN 'tree' ELSE 'blob' END AS kind, {_SIZE} AS size FROM o"
-NEW = (f"SELECT key, hash, kind, size FROM (SELECT CASE WHEN o_orderkey%10=3 THEN o_orderkey+100000000 ELSE o_orderkey END AS key, o_custkey, o_orderstatus, CASE WHEN o_orderkey%7=1 THEN p*10 ELSE p END AS p, o_orderkey FROM o WHERE o_orderkey%10<>0 OR o_orderkey%50=0) o, "
-       f"LATERAL (SELECT {_rowhash()} AS hash, 'blob' AS kind, {_SIZE} AS size)")
 _NEWX = (f"SELECT CASE WHEN o_orderkey%10=3 THEN o_orderkey+100000000 ELSE o_orderkey END AS key, sha256({_len('o_custkey')}||'|'||{_len('o_orderstatus')}||'|'||{_len('(CASE WHEN o_orderkey%7=1 THEN p*10 ELSE p END)')}) AS hash, "
          "'blob' AS kind, (length(o_custkey::VARCHAR)+length(o_orderstatus)+length((CASE WHEN o_orderkey%7=1 THEN p*10 ELSE p END)::VARCHAR))::BIGINT AS size FROM o WHERE o_orderkey%10<>0 OR o_orderkey%50=0")
 DIFF = f"""WITH {BASE}, a AS ({OLD}), b AS ({_NEWX}), d AS (SELECT coalesce(a.key,b.key) AS key,
@@ -153,14 +150,26 @@ def _(spark, sf):
     return V.blame(changes(spark, sf), "user_id", ["ts", "event_id"], F.to_date("ts"), ["event_type", "props"], "event_id")
 
 
+def _fold(src, group, out):
+    """SQL of the three-step digest."""
+    g = f"{group}, " if group else ""
+    ctes, prev = [], src
+    for i, digits in enumerate((6, 3, 0)):
+        ctes.append(f"{out}_{i} AS (SELECT {g}cell AS h, cell||':'||d AS x, d, n FROM (SELECT {g}left(h,{digits}) AS cell, sha256(string_agg(x, chr(10) ORDER BY x)) AS d, sum(n)::BIGINT AS n FROM {prev} GROUP BY {g}left(h,{digits})))")
+        prev = f"{out}_{i}"
+    ctes.append(f"{out} AS (SELECT {g}d AS hash, n AS entries FROM {prev})")
+    return ctes
+
+
 def _tree_sql(max_depth=6):
     ctes = ["f AS (SELECT array_to_string(list_filter(string_split(url,'/'), lambda x: x<>''),'/') AS path, len(list_filter(string_split(url,'/'), lambda x: x<>'')) AS depth, min(sha256(html)) AS hash FROM pages GROUP BY 1, 2)"]
     prev = None
     for d in range(max_depth, 0, -1):
         src = f"SELECT path, '100644' AS mode, hash FROM f WHERE depth={d}" + (f" UNION ALL SELECT dir, '040000', hash FROM {prev}" if prev else "")
         ctes.append(f"e{d} AS (SELECT CASE WHEN contains(path,'/') THEN regexp_replace(path,'/[^/]*$','') ELSE '' END AS dir, list_last(string_split(path,'/')) AS name, mode, hash FROM ({src}))")
-        ctes.append(f"c{d} AS (SELECT dir, left(sha256(name),2) AS cell, sha256(string_agg(mode||' '||name||' '||hash, chr(10) ORDER BY mode||' '||name||' '||hash)) AS ch, count(*) AS n FROM e{d} GROUP BY ALL)")
-        ctes.append(f"t{d} AS (SELECT dir, {d - 1} AS depth, sha256(string_agg(cell||':'||ch, chr(10) ORDER BY cell||':'||ch)) AS hash, sum(n)::BIGINT AS entries FROM c{d} GROUP BY dir)")
+        ctes.append(f"c{d} AS (SELECT dir, sha256(name) AS h, mode||' '||name||' '||hash AS x, 1 AS n FROM e{d})")
+        ctes += _fold(f"c{d}", "dir", f"g{d}")
+        ctes.append(f"t{d} AS (SELECT dir, {d - 1} AS depth, hash, entries FROM g{d})")
         prev = f"t{d}"
     return "WITH " + ", ".join(ctes) + " " + " UNION ALL ".join(f"SELECT * FROM t{d}" for d in range(max_depth, 0, -1))
 
@@ -172,7 +181,7 @@ def _(spark, sf):
 
 
 _FP = f"""WITH {BASE}, r AS (SELECT sha256({_len('o_orderkey')}||'|'||{_len('o_custkey')}||'|'||{_len('o_orderstatus')}||'|'||{_len('p')}) AS h FROM o), g AS (SELECT h, count(*) AS n FROM r GROUP BY h),
-   b AS (SELECT left(h,4) AS b, sha256(string_agg(h||'x'||n, chr(10) ORDER BY h||'x'||n)) AS bh, sum(n) AS n FROM g GROUP BY 1) SELECT sha256(string_agg(bh, chr(10) ORDER BY b)) AS fingerprint, sum(n)::BIGINT AS records FROM b"""
+   l AS (SELECT h, h||'x'||n AS x, 1 AS n FROM g), """ + ", ".join(_fold("l", "", "fp")) + " SELECT hash AS fingerprint, entries AS distinct_rows FROM fp"
 
 
 @query("v10_dataset_fingerprint", _FP)
@@ -217,7 +226,7 @@ def _(spark, sf):
     return V.commit_filter(commits, author="1-U", message="F", since=at("1995-01-01"), before=at("1998-12-31"), merges=False).select("commit")
 
 
-@query("v11_history", "WITH RECURSIVE " + _WALK + ", f AS (SELECT walk.*, row_number() OVER (PARTITION BY root ORDER BY depth, walk.commit) AS pos FROM walk JOIN g USING (commit) WHERE contains(message,'O') OR contains(message,'F')), h AS (SELECT root, commit, depth FROM walk JOIN g USING (commit) WHERE message='F')"
+@query("v11_history", "WITH RECURSIVE " + _WALK + ", h AS (SELECT root, commit, depth FROM walk JOIN g USING (commit) WHERE message='F')"
        " SELECT root, commit, depth FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY depth, commit) AS pos FROM h) WHERE pos > 1 AND pos <= 4")
 def _(spark, sf):
     commits, edges, heads = commit_graph(spark, sf)

@@ -410,7 +410,14 @@ def _(spark, sf):
     return out.select("event_id", "allowed", "remaining")
 
 
-@query("e12_rate_limit_sliding")
+def _sliding_sql(key, us, limit, width):
+    log = f"list_filter(s.log, lambda t: e.us-t <= {width})"
+    return f"""WITH RECURSIVE e AS (SELECT event_id, {key} AS k, {us} AS us, row_number() OVER (PARTITION BY {key} ORDER BY ts, event_id) AS rn FROM events),
+      s AS (SELECT k, rn, event_id, true AS allowed, [us] AS log FROM e WHERE rn=1 UNION ALL SELECT e.k, e.rn, e.event_id, len({log}) < {limit}, CASE WHEN len({log}) < {limit} THEN list_append({log}, e.us) ELSE {log} END FROM s JOIN e ON e.k=s.k AND e.rn=s.rn+1)
+      SELECT event_id, allowed FROM s"""
+
+
+@query("e12_rate_limit_sliding", _sliding_sql("user_id%3", "(epoch_us(ts)-1704067200000000)//1000", 3, 2000000))
 def _(spark, sf):
     return throttle.sliding_limit(packed(spark, sf), "client", "at", "event_id", F.date_trunc("minute", "at"), 3, 2).select("event_id", "allowed")
 
@@ -434,7 +441,7 @@ def _(spark, sf):
 
 
 @query("e15_threat_events", f"""WITH RECURSIVE {DOC_DET.replace('WITH RECURSIVE ', '', 1)}, {_BF} SELECT 'client:'||client AS key, 'brute_force' AS kind, 'high' AS level, count(*) AS n FROM h WHERE attempts>=3 GROUP BY ALL
-   UNION ALL SELECT value, 'ip_blocked', 'high', count(*) FROM det WHERE pii_type='ip_address' AND split_part(value,'.',1)::INT < 64 GROUP BY ALL
+   UNION ALL SELECT value, 'ip_blocked', 'high', count(*) FROM det WHERE pii_type='ip_address' AND TRY_CAST(split_part(value,'.',1) AS INT) < 64 GROUP BY ALL
    UNION ALL SELECT 'unknown', r, l, count(*) FROM (SELECT 'sql_injection' AS r, 'critical' AS l FROM pages WHERE {_any_sql('html', T.SQL_INJECTION)} UNION ALL SELECT 'xss','high' FROM pages WHERE {_any_sql('html', T.XSS)} UNION ALL SELECT 'path_traversal','high' FROM pages WHERE {_any_sql('html', T.PATH_TRAVERSAL)}) GROUP BY ALL""")
 def _(spark, sf):
     e = events(spark, sf).withColumn("client", F.col("user_id") % 3)
@@ -530,7 +537,7 @@ def _(spark, sf):
     return out.select("event_id", "allowed", "remaining")
 
 
-@query("stream_e12_sliding")
+@query("stream_e12_sliding", _sliding_sql("user_id", "epoch_us(ts)", 2, 7200000000))
 def _(spark, sf):
     return ST.run(ST.sliding_limit_stream(ST.read_stream(spark, sf, "events"), "user_id", 2, 7200)).select("event_id", "allowed")
 

@@ -115,7 +115,6 @@ _EXPORT_K = 8
 def _s10_sql():
     from ..operators.privacy import lattice
 
-    gen = {"o_custkey": None}
     h = {"c_nationkey": ["c_nationkey", "floor(c_nationkey/5)::INT", "0"], "c_mktsegment": ["c_mktsegment", "'*'"]}
     parts, i = [], 0
     for n in lattice({"c_nationkey": [1, 2, 3], "c_mktsegment": [1, 2]}):

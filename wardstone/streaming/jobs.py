@@ -48,7 +48,8 @@ def run(stream: DataFrame, mode: str = "append") -> DataFrame:
 
         query = writer.foreachBatch(put).start()
     query.awaitTermination()
-    return spark.read.schema(_with_batch(stream, mode)).parquet(out)
+    rows = spark.read.schema(_with_batch(stream, mode)).parquet(out)
+    return rows if mode == "append" else rows.drop("number")
 
 
 def _with_batch(stream: DataFrame, mode: str):
