@@ -25,7 +25,7 @@ GATES = {
     "colon": lambda t: t.contains(":"),
     "colon_dash": lambda t: t.contains(":") | t.contains("-"),
     "api": lambda t: t.contains("api"),
-    "aws": lambda t: t.rlike("A[KBCS][IC]A"),
+    "aws": lambda t: t.contains("AKIA") | t.contains("ABIA") | t.contains("ACCA") | t.contains("ASIA"),
     "assign": lambda t: t.contains("=") | t.contains(":"),
 }
 

@@ -40,20 +40,24 @@ def build_chain(events: DataFrame, chain: str, order: list[str], bucket: Column,
     numbered = along(events, [chain], order, bucket, position="sequence")
     numbered = numbered.withColumn("segment", F.floor((F.col("sequence") - 1) / segment_rows))
     body = entry_body(F.col(id_col), F.col("sequence"), [F.col(c) for c in fields])
-    slim = numbered.select(chain, "segment", "sequence", body.alias("body"))
-    # at most ``segment_rows`` rows per group
-    links = slim.groupBy(chain, "segment").agg(F.array_sort(F.collect_list(F.struct("sequence", "body"))).alias("rows"))
+    rest = [c for c in events.columns if c != chain]
+    entry = F.struct("sequence", body.alias("body"), F.struct(*rest).alias("e"))
+    # at most ``segment_rows`` rows per group; whole entries travel, so nothing is joined back
+    links = numbered.groupBy(chain, "segment").agg(F.collect_list(entry).alias("rows"))
+    links = links.withColumn("rows", F.array_sort("rows", lambda a, b: (a["sequence"] - b["sequence"]).cast("int")))
     start = F.struct(F.lit(None).cast("string").alias("last"), F.array().cast("array<string>").alias("hashes"))
 
     def step(acc: Column, r: Column) -> Column:
         h = F.sha2(F.concat(r["body"], F.coalesce(acc["last"], F.lit(""))), 256)
         return F.element_at(F.transform(F.array(h), lambda x: F.struct(x.alias("last"), F.concat(acc["hashes"], F.array(x)).alias("hashes"))), 1)
 
-    chained = links.select(chain, "segment", F.col("rows")[0]["sequence"].alias("first"), F.explode(F.array(F.aggregate("rows", start, step)["hashes"])).alias("hashes"))
-    linked = F.transform("hashes", lambda h, i: F.struct(h.alias("h"), F.when(i > 0, F.get(F.col("hashes"), i - 1)).alias("p")))
-    flat = chained.select(chain, "first", F.posexplode(linked).alias("i", "x")).select(
-        chain, (F.col("first") + F.col("i")).alias("sequence"), F.col("x.p").alias("previous_hash"), F.col("x.h").alias("entry_hash"))
-    return numbered.join(flat, [chain, "sequence"]).select(*events.columns, "sequence", "segment", "previous_hash", "entry_hash")
+    chained = links.select(chain, "segment", "rows", F.explode(F.array(F.aggregate("rows", start, step)["hashes"])).alias("hashes"))
+    linked = F.transform("rows", lambda r, i: F.struct(
+        r["sequence"].alias("sequence"), r["e"].alias("e"),
+        F.when(i > 0, F.get(F.col("hashes"), i - 1)).alias("previous_hash"), F.get(F.col("hashes"), i).alias("entry_hash")))
+    flat = chained.select(chain, "segment", F.explode(linked).alias("x"))
+    out = flat.select(chain, "segment", "x.sequence", "x.previous_hash", "x.entry_hash", "x.e.*")
+    return out.select(*events.columns, "sequence", "segment", "previous_hash", "entry_hash")
 
 
 def seal_segments(chained: DataFrame, chain: str, fanout: int = 1000) -> DataFrame:

@@ -14,8 +14,9 @@ def closure(edges: DataFrame, starts: DataFrame, direction: str = "down", max_de
     """(start, node, depth): nodes reachable from each start, each once at its least depth,
     the start itself left out. ``edges``: source, target; ``starts``: node."""
     a, b = ("source", "target") if direction == "down" else ("target", "source")
-    hop = edges.select(F.col(a).alias("__a"), F.col(b).alias("__b")).distinct()
-    front = starts.select(F.col("node").alias("start"), "node").distinct().withColumn("depth", F.lit(0))
+    # written once, grouped by the join key, and read by every round
+    hop = cut(edges.select(F.col(a).alias("__a"), F.col(b).alias("__b")).distinct().repartition("__a"))
+    front = cut(starts.select(F.col("node").alias("start"), "node").distinct().withColumn("depth", F.lit(0)))
     seen, depth = front, 0
     while max_depth is None or depth < max_depth:
         depth += 1

@@ -6,6 +6,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.spans import bind
+
 
 @dataclass(frozen=True)
 class Field:
@@ -66,19 +68,24 @@ def _kind_ok(field: Field, kind: Column, node: Column) -> Column:
 
 
 def validate_json(df: DataFrame, column: str, schema: Schema) -> DataFrame:
-    """Add ``errors``: array of (field, constraint) for a JSON text column."""
-    parsed = df.withColumn("__v", F.try_parse_json(column))
-    root = F.col("__v")
-    is_object = F.coalesce(F.schema_of_variant(root).startswith("OBJECT"), F.lit(False))
-    names = F.json_object_keys(column)
+    """Add ``errors``: array of (field, constraint) for a JSON text column.
+
+    The text is parsed once into a map of its top-level fields (null unless it is an object),
+    and every checked field is typed once."""
+    members = F.try_variant_get(F.try_parse_json(column), "$", "map<string,variant>")
+    parsed = bind(df, "__m", members)
+
+    def cell(f: Field) -> Column:
+        node = F.try_element_at("__m", F.lit(f.name))
+        return F.struct(node.alias("node"), F.schema_of_variant(node).alias("kind"), F.map_contains_key("__m", f.name).alias("present"))
+
+    typed = bind(parsed, "__f", F.struct(*[cell(f).alias(f"f{i}") for i, f in enumerate(schema.fields)]))
     checks: list[Column] = []
-    for f in schema.fields:
-        present = F.array_contains(names, f.name)
-        node = F.try_variant_get(root, f"$.{f.name}", "variant")
-        kind = F.schema_of_variant(node)
-        null = present & (node.isNull() | F.is_variant_null(node))
-        text = F.when(kind == "STRING", F.try_variant_get(root, f"$.{f.name}", "string"))
-        number = F.when(kind.startswith("DECIMAL") | kind.isin("BIGINT", "DOUBLE", "FLOAT"), F.try_variant_get(root, f"$.{f.name}", "double"))
+    for i, f in enumerate(schema.fields):
+        node, kind, present = (F.col(f"__f.f{i}.{x}") for x in ("node", "kind", "present"))
+        null = present & (node.isNull() | (kind == "VOID"))
+        text = F.when(kind == "STRING", F.try_variant_get(node, "$", "string"))
+        number = F.when(kind.startswith("DECIMAL") | kind.isin("BIGINT", "DOUBLE", "FLOAT"), F.try_variant_get(node, "$", "double"))
         if not f.nullable:
             checks.append(_error(~present, f.name, "required"))
             checks.append(_error(null, f.name, "nullable"))
@@ -88,10 +95,11 @@ def validate_json(df: DataFrame, column: str, schema: Schema) -> DataFrame:
     found = F.array_compact(F.array(*checks))
     if schema.strict:
         known = [f.name for f in schema.fields]
-        extra = F.transform(F.filter(names, lambda n: ~n.isin(known)), lambda n: F.struct(n.alias("field"), F.lit("unknown_field").alias("constraint")))
+        extra = F.transform(F.filter(F.map_keys("__m"), lambda n: ~n.isin(known)), lambda n: F.struct(n.alias("field"), F.lit("unknown_field").alias("constraint")))
         found = F.concat(found, extra)
     whole = F.array(F.struct(F.lit("").alias("field"), F.lit("type").alias("constraint")))
-    return parsed.withColumn("errors", F.when(is_object, found).otherwise(whole)).drop("__v")
+    errors = F.when(F.col("__m").isNotNull(), found).otherwise(whole)
+    return bind(typed, "errors", errors).drop("__m", "__f")
 
 
 def validate_columns(df: DataFrame, schema: Schema) -> DataFrame:

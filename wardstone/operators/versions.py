@@ -176,7 +176,7 @@ def history_walk(edges: DataFrame, starts: DataFrame, stops: DataFrame | None =
     ``edges``: commit, parent, ord. One join per depth over all roots at once; a stop commit is
     neither reported nor passed. Rounds end when no new commit appears."""
     up = edges.filter("ord = 0") if first_parent else edges
-    up = up.select(F.col("commit").alias("__c"), F.col("parent").alias("__p"))
+    up = cut(up.select(F.col("commit").alias("__c"), F.col("parent").alias("__p")).repartition("__c"))
     front = starts.select("root", "commit")
     if stops is not None:
         front = front.join(stops.select("commit"), "commit", "left_anti").select("root", "commit")

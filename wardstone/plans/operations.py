@@ -406,7 +406,7 @@ def packed(spark, sf):
 
 @query("e11_rate_limit_token_bucket", _bucket_sql("user_id%3", "(epoch_us(ts)-1704067200000000)//1000", 1, 5))
 def _(spark, sf):
-    out = throttle.token_bucket(packed(spark, sf), "client", "at", "event_id", F.date_trunc("minute", "at"), 1, 5, chunk_rows=100, fanout=8)
+    out = throttle.token_bucket(packed(spark, sf), "client", "at", "event_id", F.date_trunc("minute", "at"), 1, 5, chunk_rows=500, fanout=16)
     return out.select("event_id", "allowed", "remaining")
 
 

@@ -363,7 +363,7 @@ def _(spark, sf):
     j = (F.when(m == 0, F.col("props")).when(m == 1, F.concat(F.lit('{"k":"'), k, F.lit('"}')))
          .when(m == 2, F.concat(F.lit('{"k":'), k, F.lit(',"tag":null}'))).when(m == 3, F.concat(F.lit('{"k":'), k, F.lit(',"tag":"x","extra":1}')))
          .otherwise(F.concat(F.lit("["), k, F.lit("]"))))
-    return Q.error_rows(Q.validate_json(table(spark, sf, "events").select("event_id", j.alias("json")), "json", _PROP_SCHEMA), ["event_id"])
+    return Q.error_rows(Q.validate_json(spread(table(spark, sf, "events").select("event_id", j.alias("json"))), "json", _PROP_SCHEMA), ["event_id"])
 
 
 _ORDER_SCHEMA = Q.Schema((Q.Field("o_orderkey", "integer", nullable=False), Q.Field("o_totalprice", "float", min_value=1000.0, max_value=450000.0),

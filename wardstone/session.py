@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,9 +27,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+def workspace(spark: SparkSession, name: str) -> str:
+    """A fresh folder on the storage that also holds the checkpoints (shared on a cluster)."""
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise an iteration's result on reliable storage, so that plans stay short
-    and a lost executor never costs more than the current round."""
+    """Materialise an iteration's result on reliable storage, so that plans stay short and a
+    lost executor never costs more than the current round. The partitioning survives."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import fnmatch
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -12,18 +11,13 @@ from ..functions.ordering import along, grouped_index, hash_bucket
 from ..operators import content as C, detect as D, quality as Q
 from ..operators import privacy as K
 from ..functions import strategies as R
-from ..session import checkpoint_dir
+from ..session import workspace  # noqa: F401  (part of this module's interface)
 
 FORMATS = {"json": "json", "jsonl": "json", "csv": "csv", "parquet": "parquet", "orc": "orc", "avro": "avro",
            "text": "text", "binary": "binaryFile"}
 COMPRESSIONS = {"none", "gzip", "zstd", "lz4", "snappy", "brotli"}
 
 
-def workspace(spark: SparkSession, name: str) -> str:
-    """A fresh folder on the storage that also holds the checkpoints (shared on a cluster)."""
-    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def read_dataset(spark: SparkSession, path: str, fmt: str, schema: str | None = None, **options) -> DataFrame:
     """Open a dataset in a declared format; compression is recognised from the files."""
     if fmt not in FORMATS:

@@ -15,7 +15,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..functions.spans import all_spans
 from ..operators import anonymize as A
 from ..operators.throttle import TOKEN, refill
-from ..sources.io import workspace
+from ..session import workspace
 
 WATERMARK = "10 minutes"
 
