@@ -5,7 +5,7 @@ distributed: (1) a pause long enough to refill the bucket (or to empty the windo
 the past irrelevant, so keys fall into independent runs; (2) what a chunk of requests does to
 the token level is a step function with few steps (adding tokens first never lowers the number
 of accepted requests, and raises it by at most the extra tokens), so chunks can be summarised
-in parallel and the summaries combined in a tree; (3) with the level at each chunk's start
+by a handful of numbers in parallel and the summaries combined in a tree; (3) with the level at each chunk's start
 known, all chunks are replayed independently."""
 
 from __future__ import annotations

@@ -91,7 +91,9 @@ per_value("a11_remove", "''", lambda v, t: R.STRATEGIES["remove"](v, t))
 per_value("a13_truncate", "(CASE WHEN length(value)>3 THEN left(value,3)||'...' ELSE value END)", lambda v, t: R.truncate(v))
 
 KEY = b"0123456789abcdef"
-NOW = F.lit("2025-06-01").cast("timestamp")
+def now():
+    return F.lit("2025-06-01").cast("timestamp")
+
 
 
 def vault(spark, sf):
@@ -116,14 +118,14 @@ def spliced(pick_sql_expr, extra="", det=DOC_DET, key="doc_id"):
        + f"{DOC_DET} SELECT doc_id, count(*) AS n FROM det GROUP BY doc_id) USING (doc_id)")
 def _(spark, sf):
     hidden = A.anonymize(docs(spark, sf).select("doc_id", "text"), "text", TOKENIZED).select("doc_id", "text")
-    return A.detokenize(hidden, "text", ["doc_id"], vault(spark, sf), KEY, NOW)
+    return A.detokenize(hidden, "text", ["doc_id"], vault(spark, sf), KEY, now())
 
 
 @query("a08_vault_cleanup", f"{DOC_DET} SELECT {TOKEN} AS token FROM det WHERE pii_type <> 'ip_address' GROUP BY value")
 def _(spark, sf):
     v = vault(spark, sf)
     gone = v.filter("pii_type = 'ip_address'").select("token")
-    return A.vault_cleanup(v, NOW, gone).select("token")
+    return A.vault_cleanup(v, now(), gone).select("token")
 
 
 _PAD = b"pseudonym-key".ljust(64, b"\0")

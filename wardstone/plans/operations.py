@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from ..functions import conditions as C, text as T
 from ..operators import access as X, audit as U, detect as D, events as E, throttle
-from ..session import spread, table
+from ..session import spread, table, workspace
 from ..streaming import jobs as ST
 from .anonymization import DEFAULT_SQL_TEXT, hmac_sql
 from .detection import docs
-from .pii_sql import DOC_DET, q
+from .pii_sql import CANON, DOC_DET, q
 from .registry import query
 from .tables import _any_sql
 
@@ -271,7 +271,11 @@ _CAT = "CASE " + " ".join(f"WHEN event_type IN ({','.join(map(q, v))}) THEN {q(k
 
 
 def gov_events(spark, sf):
-    return events(spark, sf).select("event_id", "user_id", "ts", F.element_at(F.array(*[F.lit(g) for g in GOV]), (F.col("event_id") % 9 + 1).cast("int")).alias("event_type"),
+    return as_governance(events(spark, sf))
+
+
+def as_governance(df):
+    return df.select("event_id", "user_id", "ts", F.element_at(F.array(*[F.lit(g) for g in GOV]), (F.col("event_id") % 9 + 1).cast("int")).alias("event_type"),
                                     F.concat(F.lit("t"), (F.col("user_id") % 5).cast("string")).alias("tenant"))
 
 
@@ -507,6 +511,36 @@ def _(spark, sf):
     return ST.run(ST.anonymize_stream(s, "text").select("doc_id", "text"))
 
 
+@query("stream_e01_route_events", f"""WITH {_GOV}, c AS (SELECT *, {_CAT} AS cat, 't'||(user_id%5) AS tenant FROM gv) SELECT 'all' AS subscription, event_id FROM c UNION ALL SELECT 'security', event_id FROM c WHERE cat IN ('security','access')
+   UNION ALL SELECT 'merges_t1', event_id FROM c WHERE event_type IN ('merge_completed','dataset_created') AND tenant='t1' UNION ALL SELECT 'user7', event_id FROM c WHERE user_id=7 UNION ALL SELECT 'mixed', event_id FROM c WHERE event_type IN ('pii_detected','key_rotated') AND cat='security'""")
+def _(spark, sf):
+    subs = spark.createDataFrame(_SUBS, "subscription string, event_types array<string>, categories array<string>, tenant string, user_id bigint, active boolean")
+    return ST.run(E.route_events(as_governance(ST.read_stream(spark, sf, "events")), subs))
+
+
+@query("stream_d16_route_by_pii", f"""{DOC_DET}, m AS (SELECT doc_id, max(CASE WHEN risk >= 3 AND pii_type NOT IN ('password','api_key') THEN 3 WHEN pii_type IN ('password','api_key') THEN 2 WHEN risk >= 1 THEN 1 ELSE 0 END) AS lvl FROM det GROUP BY doc_id)
+   SELECT doc_id, CASE WHEN lvl IS NULL THEN 'passed' WHEN lvl=3 THEN 'rejected' WHEN lvl=1 THEN 'flagged' END AS route FROM documents LEFT JOIN m USING (doc_id) WHERE lvl IS NULL OR lvl IN (1,3)""")
+def _(spark, sf):
+    sinks = {r: workspace(spark, f"route-{r}") for r in ("passed", "flagged", "rejected")}
+
+    def decide(batch):
+        spans = D.with_spans(batch, "text")
+        return spans.select("doc_id", D.route(spans, CANON).alias("route"))
+
+    ST.route_stream(ST.read_stream(spark, sf, "documents").select("doc_id", "text"), decide, sinks)
+    out = None
+    for r, path in sinks.items():
+        part = spark.read.schema("doc_id bigint").parquet(path).select("doc_id", F.lit(r).alias("route"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("stream_e09_first_delivery", "SELECT DISTINCT user_id, props, event_type FROM events")
+def _(spark, sf):
+    s = ST.read_stream(spark, sf, "events").select("user_id", "props", "event_type", "ts")
+    return ST.run(ST.first_seen(s, ["user_id", "props", "event_type"])).select("user_id", "props", "event_type")
+
+
 @query("stream_e02_event_counts", _HOURS)
 def _(spark, sf):
     out = ST.run(ST.window_counts(ST.read_stream(spark, sf, "events")), "update")
