@@ -169,3 +169,19 @@ def test_detection_plan_has_no_shuffle_of_texts(spark):
     df = spark.range(0, 100, 1, 16).select("id", F.concat(F.lit("mail a@b.org "), F.col("id").cast("string")).alias("text"))
     plan = A.anonymize(df, "text")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_registered_rules_take_effect(spark):
+    from wardstone.functions.strategies import STRATEGIES, register_strategy
+    from wardstone.functions.validators import VALIDATORS, register_validator
+
+    df = texts(spark, "ref AB-12 and AB-99")
+    config = D.DetectConfig(profile=[Pattern("ref", "custom", r"AB-\d+", 0.9, validator="even")])
+    register_validator("even", lambda v: F.substring(v, -1, 1).cast("int") % 2 == 0)
+    assert hits(df, config) == [(0, "custom", "AB-12")]
+    register_validator("even", lambda v: F.lit(True))
+    assert len(hits(df, config)) == 2
+    register_strategy("shout", lambda v, t: F.concat(F.lit("<"), t, F.lit(">")))
+    out = A.anonymize(df, "text", A.Config(detect=config, default_strategy="shout")).first().text
+    assert out == "ref <custom> and <custom>"
+    del STRATEGIES["shout"], VALIDATORS["even"]

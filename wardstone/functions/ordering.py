@@ -126,11 +126,3 @@ def hash_key(*parts) -> Column:
 def hash_bucket(h: Column, digits: int = 3) -> Column:
     """Order-preserving bucket of a hex hash: its leading digits."""
     return F.substring(h, 1, digits)
-
-
-def day(ts: Column) -> Column:
-    return F.to_date(ts)
-
-
-def id_range(key: Column, size: int = 100_000) -> Column:
-    return F.floor(key / size)

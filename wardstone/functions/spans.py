@@ -7,7 +7,10 @@ gates (a literal or one short regex) keep most texts away from most patterns.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Callable
+from weakref import WeakKeyDictionary
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .patterns import Pattern
 from .validators import VALIDATORS
@@ -61,6 +64,23 @@ def _walk(text: Column, found: Column) -> Column:
     return F.aggregate(found["pieces"], start, step)["out"]
 
 
+_built: WeakKeyDictionary = WeakKeyDictionary()
+
+
+def remembered(key: tuple, build: Callable[[], Column]) -> Column:
+    """Large expressions take thousands of driver calls to put together; a Column does not
+    depend on any DataFrame, so each is made once per application."""
+    made = _built.setdefault(SparkSession.active().sparkContext, {})
+    if key not in made:
+        made[key] = build()
+    return made[key]
+
+
+def forget() -> None:
+    """Drop remembered expressions, after a registry of rules has changed."""
+    _built.clear()
+
+
 def all_spans(text: Column, patterns: list[Pattern]) -> Column:
     """Every match of every pattern, sorted by start, confidence (descending), order."""
 
@@ -96,10 +116,19 @@ def bind(df: DataFrame, name: str, expr: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(expr)).alias(name))
 
 
+def constants(values: list) -> Column:
+    """A constant array, in one expression text."""
+    def text(v) -> str:
+        if isinstance(v, str):
+            return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        return f"{v!r}D" if isinstance(v, float) else str(v)
+
+    return F.expr("array(" + ", ".join(text(v) for v in values) + ")")
+
+
 def lookup(patterns: list[Pattern], field: str, ordinal: Column) -> Column:
     """A pattern attribute by ordinal, from a constant array."""
-    values = F.array(*[F.lit(getattr(p, field)) for p in patterns])
-    return F.element_at(values, ordinal + 1)
+    return F.element_at(constants([getattr(p, field) for p in patterns]), ordinal + 1)
 
 
 def keep_earliest(spans: Column, out_type: str = SPAN_TYPE) -> Column:

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
+from .spans import constants
+
 # ---- fixed values -----------------------------------------------------------------------
 NAMES = ["John Doe", "Jane Smith", "Alex Johnson", "Sam Wilson", "Morgan Lee", "Taylor Brown"]
 FIRST_NAMES = ["John", "Jane", "Alex", "Sam", "Chris", "Pat", "Morgan", "Taylor"]
@@ -29,7 +31,7 @@ OLDEST_BAND = "75+"
 
 
 def pick(options: list, index: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(x) for x in options]), (index % len(options) + 1).cast("int"))
+    return F.element_at(constants(options), (index % len(options) + 1).cast("int"))
 
 
 def hex_number(hex_text: Column, start: int, size: int) -> Column:
@@ -73,8 +75,8 @@ def mask(value: Column, pii_type: Column) -> Column:
 
 def mask_label(value: Column, pii_type: Column) -> Column:
     """A typed label; types without one keep their length in stars."""
-    pairs = [F.lit(x) for kv in LABELS.items() for x in kv]
-    return F.coalesce(F.try_element_at(F.create_map(*pairs), pii_type), stars(F.length(value)))
+    labels = F.map_from_arrays(constants(list(LABELS)), constants(list(LABELS.values())))
+    return F.coalesce(F.try_element_at(labels, pii_type), stars(F.length(value)))
 
 
 def mask_partial(value: Column, keep: int = 4, preserve_length: bool = True) -> Column:
@@ -303,7 +305,10 @@ STRATEGIES: dict[str, Callable[[Column, Column], Column]] = {
 
 
 def register_strategy(name: str, rule: Callable[[Column, Column], Column]) -> None:
+    from .spans import forget
+
     STRATEGIES[name] = rule
+    forget()
 
 
 def apply_strategy(value: Column, pii_type: Column, strategy: Column, names: set[str]) -> Column:

@@ -113,7 +113,10 @@ VALIDATORS: dict[str, Callable[[Column], Column]] = {
 
 
 def register_validator(name: str, rule: Callable[[Column], Column]) -> None:
+    from .spans import forget
+
     VALIDATORS[name] = rule
+    forget()
 
 
 def valid(value: Column, validator: Column, names: set[str] | None = None) -> Column:

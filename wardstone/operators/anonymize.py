@@ -160,6 +160,15 @@ def rewrite(text: Column, spans: Column) -> Column:
 def annotate(df: DataFrame, config: Config, path: Column | None = None, document_type: Column | None = None,
              spans: str = "spans", keep_value: bool = False) -> DataFrame:
     """Span array -> annotation array with strategy and replacement; exceptions drop out."""
+    def build() -> Column:
+        return _annotations(config, path, document_type, spans, keep_value)
+
+    plain = path is None and document_type is None
+    key = ("annotate", config.default_strategy, config.per_type, config.policies, tuple(config.detect.patterns), spans, keep_value)
+    return S.bind(df, "annotations", S.remembered(key, build) if plain else build()).drop(spans)
+
+
+def _annotations(config: Config, path: Column | None, document_type: Column | None, spans: str, keep_value: bool) -> Column:
     patterns = config.detect.patterns
 
     def one(s: Column) -> Column:
@@ -183,8 +192,7 @@ def annotate(df: DataFrame, config: Config, path: Column | None = None, document
         source = F.filter(
             source, lambda s: ~is_exception(config, S.lookup(patterns, "pii_type", s["ord"]), s["value"]))
     none = F.array().cast(_annotation_type(keep_value))
-    made = F.when(F.size(spans) > 0, F.transform(source, one)).otherwise(none)
-    return S.bind(df, "annotations", made).drop(spans)
+    return F.when(F.size(spans) > 0, F.transform(source, one)).otherwise(none)
 
 
 def _annotation_type(keep_value: bool) -> str:

@@ -58,18 +58,28 @@ def label_risk(rank: Column) -> Column:
 
 
 def type_lookup(mapping: dict, key: Column, default=None) -> Column:
-    pairs = [F.lit(x) for kv in mapping.items() for x in kv]
-    return F.coalesce(F.try_element_at(F.create_map(*pairs), key), F.lit(default))
+    table = F.map_from_arrays(S.constants(list(mapping)), S.constants(list(mapping.values())))
+    return F.coalesce(F.try_element_at(table, key), F.lit(default))
 
 
 # -------------------------------------------------------------------- span arrays
 def with_candidates(df: DataFrame, text: str, patterns: list[Pattern], out="spans") -> DataFrame:
     """Every match of every pattern as a sorted array column."""
-    return S.bind(df, out, S.all_spans(F.col(text), patterns))
+    spans = S.remembered(("spans", text, tuple(patterns)), lambda: S.all_spans(F.col(text), patterns))
+    return S.bind(df, out, spans)
 
 
 def resolve(df: DataFrame, config: DetectConfig, spans: str = "spans") -> DataFrame:
     """Overlap removal, validators and the confidence / risk / type filter on a span array."""
+    wanted = S.remembered(
+        ("resolve", spans, tuple(config.patterns), config.overlap, config.validate_first, config.min_confidence,
+         config.min_risk, config.include_types, config.exclude_types), lambda: _wanted(config, spans))
+    empty = F.array().cast(S.SPAN_TYPE)
+    bound = S.bind(df, "__new", F.when(F.size(spans) > 0, wanted).otherwise(empty))
+    return bound.drop(spans).withColumnRenamed("__new", spans)
+
+
+def _wanted(config: DetectConfig, spans: str) -> Column:
     patterns = config.patterns
     keep = [
         i
@@ -85,14 +95,7 @@ def resolve(df: DataFrame, config: DetectConfig, spans: str = "spans") -> DataFr
         resolved = S.OVERLAP_MODES[config.overlap](F.filter(col, ok))
     else:
         resolved = F.filter(S.OVERLAP_MODES[config.overlap](col), ok)
-    wanted = F.filter(resolved, lambda s: s["ord"].isin(keep) if keep else F.lit(False))
-    return _swap(df, spans, wanted)
-
-
-def _swap(df: DataFrame, name: str, expr: Column) -> DataFrame:
-    empty = F.array().cast(S.SPAN_TYPE)
-    bound = S.bind(df, "__new", F.when(F.size(name) > 0, expr).otherwise(empty))
-    return bound.drop(name).withColumnRenamed("__new", name)
+    return F.filter(resolved, lambda s: s["ord"].isin(keep) if keep else F.lit(False))
 
 
 def with_spans(df: DataFrame, text: str, config: DetectConfig = DetectConfig()) -> DataFrame:

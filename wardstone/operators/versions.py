@@ -170,28 +170,35 @@ def tree_hash(files: DataFrame, path: str, file_hash: str, max_depth: int) -> Da
 
 
 # ------------------------------------------------------------------------------- commit graph
-def history_walk(edges: DataFrame, starts: DataFrame, stops: DataFrame | None = None, first_parent: bool = False, max_rounds: int | None = None) -> DataFrame:
+def history_walk(edges: DataFrame, starts: DataFrame, stops: DataFrame | None = None, first_parent: bool = False, doublings: int = 3) -> DataFrame:
     """Breadth-first walk from start commits to parents: (root, commit, depth).
 
-    ``edges``: commit, parent, ord. One join per depth over all roots at once; a stop commit is
-    neither reported nor passed. Rounds end when no new commit appears."""
+    ``edges``: commit, parent, ord. All roots advance together. Edges are first extended to
+    paths of up to 2^doublings commits (commits have one or two parents, so this table stays a
+    small multiple of the edges); each round then settles that many depths: every commit of the
+    next depths is reached from the layer the last round ended with. A stop commit is neither
+    reported nor passed."""
     up = edges.filter("ord = 0") if first_parent else edges
-    up = cut(up.select(F.col("commit").alias("__c"), F.col("parent").alias("__p")).repartition("__c"))
+    hop = up.select(F.col("commit").alias("__c"), F.col("parent").alias("__p"), F.lit(1).alias("__len"))
     front = starts.select("root", "commit")
     if stops is not None:
+        hop = hop.join(stops.select(F.col("commit").alias("__p")), "__p", "left_anti").select("__c", "__p", "__len")
         front = front.join(stops.select("commit"), "commit", "left_anti").select("root", "commit")
-    front = cut(front.distinct().withColumn("depth", F.lit(0)))
-    seen, depth = front, 0
-    while max_rounds is None or depth < max_rounds:
-        depth += 1
-        step = front.join(up, F.col("commit") == F.col("__c")).select("root", F.col("__p").alias("commit")).distinct()
-        if stops is not None:
-            step = step.join(stops.select("commit"), "commit", "left_anti").select("root", "commit")
-        front = cut(step.join(seen.select("root", "commit"), ["root", "commit"], "left_anti").withColumn("depth", F.lit(depth)))
-        if front.isEmpty():
-            break
-        seen = seen.unionByName(front)
-    return seen
+    hop = cut(hop)
+    for _ in range(doublings):
+        onward = hop.select(F.col("__c").alias("__m"), F.col("__p").alias("__q"), F.col("__len").alias("__more"))
+        longer = hop.join(onward, F.col("__p") == F.col("__m")).select("__c", F.col("__q").alias("__p"), (F.col("__len") + F.col("__more")).alias("__len"))
+        hop = cut(hop.unionByName(longer).groupBy("__c", "__p").agg(F.min("__len").alias("__len")))
+    layer = cut(front.distinct().withColumn("depth", F.lit(0)))
+    seen, depth = layer, 0
+    while True:
+        step = layer.join(hop, F.col("commit") == F.col("__c")).groupBy("root", F.col("__p").alias("commit")).agg(F.min(F.col("depth") + F.col("__len")).alias("depth"))
+        found = cut(step.join(seen.select("root", "commit"), ["root", "commit"], "left_anti"))
+        depth += 2**doublings
+        seen = seen.unionByName(found)
+        layer = found.filter(F.col("depth") == depth)
+        if layer.isEmpty():
+            return seen
 
 
 def commit_filter(commits: DataFrame, author: str | None = None, message: str | None = None, since: Column | None = None,

@@ -142,10 +142,10 @@ def _(spark, sf):
 
 
 def doc_json(spark, sf):
-    """A nested document per record: text and source inside an object, lines in an array."""
+    """A nested document per record: the text inside an object and again inside an array."""
     return docs(spark, sf).select("doc_id", F.to_json(F.struct(
         F.struct(F.col("lang"), F.col("text").alias("content")).alias("body"),
-        F.array(F.struct(F.col("source").alias("name"), F.substring("text", -200, 200).alias("tail"))).alias("parts"),
+        F.array(F.struct(F.col("source").alias("name"), F.col("text").alias("copy"))).alias("parts"),
         F.col("n_chars"),
     )).alias("json"))
 
@@ -153,7 +153,7 @@ def doc_json(spark, sf):
 _JSON_LEAVES = """leaves AS (SELECT doc_id, 'body.lang' AS path, lang AS leaf FROM documents
   UNION ALL SELECT doc_id, 'body.content', text FROM documents
   UNION ALL SELECT doc_id, 'parts.[0].name', source FROM documents
-  UNION ALL SELECT doc_id, 'parts.[0].tail', right(text, 200) FROM documents)"""
+  UNION ALL SELECT doc_id, 'parts.[0].copy', text FROM documents)"""
 
 
 @query("d09_detect_json", f"WITH RECURSIVE {_JSON_LEAVES}, " + det_ctes("leaves", "doc_id, path", "leaf", CANON)

@@ -134,12 +134,13 @@ def _(spark, sf):
     return V.record_as_of(changes(spark, sf), "user_id", ["ts", "event_id"], "ts", F.lit("2024-01-15 12:00:00").cast("timestamp_ntz")).select("user_id", "event_id", "props")
 
 
-@query("v07_apply_updates", """SELECT o_orderkey, CASE WHEN o_orderkey%4=0 AND o_orderkey%3+1 = o_orderkey%3+1+(CASE WHEN o_orderkey%20=0 THEN 1 ELSE 0 END) THEN 'X' ELSE o_orderstatus END AS o_orderstatus,
-   o_orderkey%3+1+CASE WHEN o_orderkey%4=0 AND o_orderkey%20<>0 THEN 1 ELSE 0 END AS version, CASE WHEN o_orderkey%4<>0 THEN 'kept' WHEN o_orderkey%20=0 THEN 'conflict' ELSE 'updated' END AS outcome FROM orders""")
+@query("v07_apply_updates", """WITH u AS (SELECT *, o_orderpriority='1-URGENT' AS asked, o_totalprice > 300000 AS stale FROM orders) SELECT o_orderkey, CASE WHEN asked AND NOT stale THEN 'X' ELSE o_orderstatus END AS o_orderstatus,
+   o_orderkey%3+1+CASE WHEN asked AND NOT stale THEN 1 ELSE 0 END AS version, CASE WHEN NOT asked THEN 'kept' WHEN stale THEN 'conflict' ELSE 'updated' END AS outcome FROM u""")
 def _(spark, sf):
     k = F.col("o_orderkey")
     cur = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", (k % 3 + 1).alias("version"))
-    upd = table(spark, sf, "orders").filter(k % 4 == 0).select("o_orderkey", (k % 3 + 1 + F.when(k % 20 == 0, 1).otherwise(0)).alias("expected_version"), F.lit("X").alias("o_orderstatus"))
+    stale = (F.col("o_totalprice") > 300000).cast("int")
+    upd = table(spark, sf, "orders").filter("o_orderpriority = '1-URGENT'").select("o_orderkey", (k % 3 + 1 + stale).alias("expected_version"), F.lit("X").alias("o_orderstatus"))
     return V.apply_updates(cur, upd, "o_orderkey", "o_orderstatus")
 
 
@@ -385,18 +386,18 @@ def _(spark, sf):
     return L.impact_analysis(nodes, edges, nodes.select("node"))
 
 
-# proposed edges: customers 1, 11, 21, ... feed back into their region (a cycle), into the next
-# customer (fine), and into nodes that do not exist
+# every customer proposes an edge: back into its region (a cycle), to itself, into a node that
+# does not exist, or into a new model (fine)
 @query("l06_admit_edges", """SELECT 'c'||c_custkey AS source, 'r'||n_regionkey AS target, false AS accepted, 'cycle' AS reason FROM customer JOIN nation ON n_nationkey=c_nationkey WHERE c_custkey%10=1
-   UNION ALL SELECT 'c'||c_custkey, 'm'||c_custkey, true, NULL FROM customer WHERE c_custkey%10=2 UNION ALL SELECT 'c'||c_custkey, 'x'||c_custkey, false, 'unknown_node' FROM customer WHERE c_custkey%10=3
+   UNION ALL SELECT 'c'||c_custkey, 'm'||c_custkey, true, NULL FROM customer WHERE c_custkey%10 NOT IN (1,3,4) UNION ALL SELECT 'c'||c_custkey, 'x'||c_custkey, false, 'unknown_node' FROM customer WHERE c_custkey%10=3
    UNION ALL SELECT 'c'||c_custkey, 'c'||c_custkey, false, 'cycle' FROM customer WHERE c_custkey%10=4""")
 def _(spark, sf):
     nodes, edges = graph(spark, sf)
     c = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
     m, k = F.col("c_custkey") % 10, F.col("c_custkey").cast("string")
-    target = F.when(m == 1, F.concat(F.lit("r"), F.col("n_regionkey").cast("string"))).when(m == 2, F.concat(F.lit("m"), k)).when(m == 3, F.concat(F.lit("x"), k)).when(m == 4, F.concat(F.lit("c"), k))
-    new = c.filter(m.between(1, 4)).select(F.concat(F.lit("c"), k).alias("source"), target.alias("target"))
-    extra = c.filter(m == 2).select(F.concat(F.lit("m"), k).alias("node"))
+    target = F.when(m == 1, F.concat(F.lit("r"), F.col("n_regionkey").cast("string"))).when(m == 3, F.concat(F.lit("x"), k)).when(m == 4, F.concat(F.lit("c"), k)).otherwise(F.concat(F.lit("m"), k))
+    new = c.select(F.concat(F.lit("c"), k).alias("source"), target.alias("target"))
+    extra = c.select(F.concat(F.lit("m"), k).alias("node"))
     return L.admit_edges(nodes.select("node").unionByName(extra), edges, new)
 
 

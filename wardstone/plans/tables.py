@@ -224,10 +224,10 @@ def _(spark, sf):
     return table(spark, sf, "pages").select("page_id", T.normalize_path(F.col("url")).alias("path"))
 
 
-@query("p12_sanitize_text", "SELECT page_id, left(trim(regexp_replace(regexp_replace(replace(html,chr(0),''),'<[^>]*>','','g'),'\\s+',' ','g')),10000) AS clean, array_to_string(regexp_extract_all(lower(left(html,100)),'[a-z ]+'),'') AS letters FROM pages")
+@query("p12_sanitize_text", "SELECT page_id, left(trim(regexp_replace(regexp_replace(replace(html,chr(0),''),'<[^>]*>','','g'),'\\s+',' ','g')),10000) AS clean, array_to_string(regexp_extract_all(lower(html),'[a-z ]+'),'') AS letters FROM pages")
 def _(spark, sf):
     letters = T.SanitizeRules(lower=True, allowed="[a-z ]+")
-    return spread(table(spark, sf, "pages")).select("page_id", T.sanitize(F.col("html")).alias("clean"), T.sanitize(F.substring("html", 1, 100), letters).alias("letters"))
+    return spread(table(spark, sf, "pages")).select("page_id", T.sanitize(F.col("html")).alias("clean"), T.sanitize(F.col("html"), letters).alias("letters"))
 
 
 def _any_sql(col, pats):

@@ -40,7 +40,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use every core for per-row heavy work when a scan yields fewer partitions than
+    """Use every core for per-row heavy work when a table scan yields fewer partitions than
     there are cores (small tables in one row group). A no-op for large inputs."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -104,13 +104,17 @@ def put_content(df: DataFrame, payload: str, store_path: str) -> DataFrame:
             raise
         known = spark.createDataFrame([], "hash string")
     fresh = C.new_content(df, payload, known)
-    # a two-character folder bounds the number of files; the four-character shard is a column
-    fresh.withColumn("folder", F.substring("hash", 1, 2)).repartition("folder").write.mode("append").partitionBy("folder").parquet(store_path)
+    # ranges of the hash are even, touch few folders each and give files narrow hash bounds; a
+    # folder is one digit wide, the four-character shard is a column
+    folders = fresh.withColumn("folder", F.substring("hash", 1, 1)).repartitionByRange("hash").sortWithinPartitions("hash")
+    folders.write.mode("append").partitionBy("folder").parquet(store_path)
     return spark.read.parquet(store_path).drop("folder")
 
 
 def write_audit(df: DataFrame, path: str, time_col: str, mode: str = "append") -> None:
-    df.withColumn("month", F.date_format(time_col, "yyyy-MM")).write.mode(mode).partitionBy("month").parquet(path)
+    """Rows partitioned by month. Ranges of time keep files few, and split a busy month."""
+    dated = df.withColumn("month", F.date_format(time_col, "yyyy-MM")).repartitionByRange("month", time_col)
+    dated.write.mode(mode).partitionBy("month").parquet(path)
 
 
 def read_audit(spark: SparkSession, path: str, first: str, last: str) -> DataFrame:
