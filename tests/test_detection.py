@@ -185,3 +185,14 @@ def test_registered_rules_take_effect(spark):
     out = A.anonymize(df, "text", A.Config(detect=config, default_strategy="shout")).first().text
     assert out == "ref <custom> and <custom>"
     del STRATEGIES["shout"], VALIDATORS["even"]
+
+
+def test_field_encryption_round_trip_and_random_tokens(spark):
+    df = spark.createDataFrame([(1, ("ann", "x"))], "id int, p struct<name:string,other:string>")
+    key = b"0123456789abcdef"
+    sealed = A.encrypt_fields(df, ["p.name"], key, "table")
+    assert sealed.first().p.name.startswith("ENC:") and sealed.first().p.other == "x"
+    assert A.decrypt_fields(sealed, ["p.name"], key, "table").first().p.name == "ann"
+    assert A.decrypt_fields(sealed, ["p.name"], key, "other").first().p.name is None
+    two = spark.range(2).select(R.random_token().alias("t")).collect()
+    assert two[0].t != two[1].t and len(two[0].t) == 36

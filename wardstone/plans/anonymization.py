@@ -9,7 +9,7 @@ from ..functions.strategies import LABELS, NAMES, FIRST_NAMES, LAST_NAMES, MAIL_
 from ..operators import anonymize as A, detect as D
 from ..session import table
 from .detection import docs, found
-from .pii_sql import CANON, DOC_DET, DOC_DET_LOW, DOC_DET_RAW, q
+from .pii_sql import DOC_DET, DOC_DET_RAW, q
 from .registry import query
 
 DG = "regexp_replace(value,'[^0-9]','','g')"

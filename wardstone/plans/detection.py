@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import validators as V
-from ..functions.patterns import CATEGORY_OF_TYPE, KEYWORDS, NAME_HINTS, PROFILES, RISK_LEVELS, RISK_OF_CATEGORY, Pattern, HIGH, CRITICAL
+from ..functions.patterns import CATEGORY_OF_TYPE, KEYWORDS, NAME_HINTS, PROFILES, RISK_LEVELS, RISK_OF_CATEGORY, CRITICAL, Pattern
 from ..operators import detect as D
 from ..session import spread, table
-from .pii_sql import CANON, DOC_CAND, DOC_DET, DOC_DET_LOW, VALID_SQL, cand_ctes, det_ctes, q
+from .pii_sql import CANON, DOC_CAND, DOC_DET, VALID_SQL, det_ctes, q
 from .registry import query
 
 COLS = "doc_id, pii_type, pattern, start_pos, end_pos, value, confidence, risk"

@@ -328,6 +328,11 @@ def _(spark, sf):
     return E.recent_by_type(events(spark, sf), ["ts", "event_id"], F.to_date("ts"), 25).select("event_id", "event_type", "rank")
 
 
+@query("e03_recent_overall", "SELECT event_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 100")
+def _(spark, sf):
+    return E.recent_events(events(spark, sf), ["ts", "event_id"], 100).select("event_id")
+
+
 @query("e04_batch_events", "SELECT event_id, event_type, (row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id)-1)//100 AS batch FROM events")
 def _(spark, sf):
     return E.batch_events(events(spark, sf), ["ts", "event_id"], F.to_date("ts"), 100).select("event_id", "event_type", "batch")

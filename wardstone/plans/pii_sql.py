@@ -93,5 +93,4 @@ def det_ctes(source: str, key: str, text: str, patterns: list[Pattern], mode: st
 CANON = PROFILES["canonical"]
 DOC_CAND = "WITH RECURSIVE " + cand_ctes("documents", "doc_id", "text", CANON)
 DOC_DET = "WITH RECURSIVE " + det_ctes("documents", "doc_id", "text", CANON)
-DOC_DET_LOW = "WITH RECURSIVE " + det_ctes("documents", "doc_id", "text", CANON, where="confidence >= 0.3")
 DOC_DET_RAW = "WITH RECURSIVE " + det_ctes("documents", "doc_id", "text", CANON, where="true")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import strategies as R
 from ..operators import privacy as K
 from ..session import table
 from .anonymization import hexn

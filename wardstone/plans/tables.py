@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from ..functions import conditions as X, text as T
 from ..operators import content as C, detect as D, quality as Q, sampling as M
-from ..session import spread, table
+from ..session import spread, table, workspace
 from ..sources import io as S
 from .anonymization import hexn, hmac_sql
 from .detection import docs, found
 from .pii_sql import DOC_DET, q
-from .privacy import CUST, HIER
+from .privacy import HIER
 from .registry import query
 
 
@@ -24,7 +24,7 @@ def _(spark, sf):
     for fmt, comp in (("parquet", None), ("json", "gzip"), ("csv", "gzip"), ("orc", "zstd")):
         df = o
         if comp:
-            path = S.workspace(spark, "formats")
+            path = workspace(spark, "formats")
             S.write_dataset(o, path, fmt, comp)
             df = S.read_dataset(spark, path, fmt, "o_orderkey bigint, o_totalprice double")
         part = df.agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total")).select(F.lit(fmt).alias("fmt"), "n", "total")
@@ -36,7 +36,7 @@ def _(spark, sf):
 def _(spark, sf):
     e = table(spark, sf, "events")
     line = F.when(F.col("event_id") % 13 == 0, F.concat("props", F.lit("}"))).otherwise(F.col("props"))
-    path = S.workspace(spark, "jsonl")
+    path = workspace(spark, "jsonl")
     e.select(line.alias("value")).write.text(path)
     good, bad = S.import_jsonl(spark, path)
     a = good.agg(F.count("*").alias("lines"), F.sum(F.variant_get("payload", "$.k", "bigint")).alias("total")).withColumn("outcome", F.lit("good"))
@@ -58,6 +58,11 @@ def _(spark, sf):
     return S.ingest_counts(doc_records(spark, sf), "json", DOC_SCHEMA, ["source"])
 
 
+@query("s03_rejected_records", f"SELECT doc_id FROM documents WHERE {_DOC_ERR}>0")
+def _(spark, sf):
+    return S.ingest_validated(doc_records(spark, sf), "json", DOC_SCHEMA)[1].select("doc_id")
+
+
 @query("s04_ingest_idempotent", "SELECT user_id, props, arg_min(event_id, (ts, event_id)) AS event_id FROM events WHERE (user_id, props) NOT IN (SELECT user_id, props FROM events WHERE event_type='signup') GROUP BY user_id, props")
 def _(spark, sf):
     e = table(spark, sf, "events").select("user_id", "props", "event_id", "ts", "event_type")
@@ -67,7 +72,7 @@ def _(spark, sf):
 
 @query("s05_scan_files", f"{DOC_DET} SELECT source, pii_type, count(*) AS hits FROM det JOIN documents USING (doc_id) GROUP BY ALL")
 def _(spark, sf):
-    path = S.workspace(spark, "files")
+    path = workspace(spark, "files")
     docs(spark, sf).select("source", F.col("text").alias("value")).write.partitionBy("source").text(path)
     hits = S.scan_files(spark, path, include="*.txt", exclude="_*", max_mb=64)
     return hits.groupBy(F.regexp_extract("path", "source=([^/]*)", 1).alias("source"), "pii_type").agg(F.count("*").alias("hits"))
@@ -75,7 +80,7 @@ def _(spark, sf):
 
 @query("s06_export", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus='F' AND o_totalprice > 100000")
 def _(spark, sf):
-    path = S.workspace(spark, "export")
+    path = workspace(spark, "export")
     S.export(table(spark, sf, "orders"), path, ["o_orderkey", "o_totalprice"], "o_orderstatus = 'F' AND o_totalprice > 100000", [F.desc("o_totalprice")], "json", "gzip")
     return S.read_dataset(spark, path, "jsonl", "o_orderkey bigint, o_totalprice double")
 
@@ -83,14 +88,14 @@ def _(spark, sf):
 @query("s07_put_content", "SELECT sha256(text) AS hash, left(sha256(text),4) AS shard, length(any_value(text)) AS n FROM documents GROUP BY sha256(text)")
 def _(spark, sf):
     d = docs(spark, sf)
-    path = S.workspace(spark, "store")
+    path = workspace(spark, "store")
     S.put_content(d.filter("lang <> 'en'"), "text", path)
     return S.put_content(d, "text", path).select("hash", "shard", F.length("payload").alias("n"))
 
 
 @query("s08_write_audit", "SELECT strftime(ts,'%Y-%m') AS month, event_type, count(*) AS n FROM events WHERE strftime(ts,'%Y-%m') BETWEEN '2024-01' AND '2024-01' GROUP BY ALL")
 def _(spark, sf):
-    path = S.workspace(spark, "audit")
+    path = workspace(spark, "audit")
     S.write_audit(table(spark, sf, "events"), path, "ts")
     return S.read_audit(spark, path, "2024-01", "2024-01").groupBy(F.col("month").cast("string").alias("month"), "event_type").agg(F.count("*").alias("n"))
 

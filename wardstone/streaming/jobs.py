@@ -12,7 +12,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.spans import all_spans
 from ..operators import anonymize as A
 from ..operators.throttle import TOKEN, refill
 from ..session import workspace
