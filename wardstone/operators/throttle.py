@@ -4,8 +4,9 @@ Whether a request passes depends on all earlier verdicts of its key. Three facts
 distributed: (1) a pause long enough to refill the bucket (or to empty the window log) makes
 the past irrelevant, so keys fall into independent runs; (2) what a chunk of requests does to
 the token level is a step function, and different levels soon meet (measured: below 30 steps
-whatever the chunk length, for bursts up to 20), so chunks can be summarised in parallel and the summaries combined in a tree; (3) with the level at each chunk's start
-known, all chunks are replayed independently."""
+whatever the chunk length, for bursts up to 20), so chunks can be summarised in parallel and
+the summaries combined in a tree; (3) with the level at each chunk's start known, all chunks
+are replayed independently."""
 
 from __future__ import annotations
 
