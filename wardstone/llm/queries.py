@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from wardstone.llm.packing import pack
 from wardstone.llm.sharding import shard, shard_sql
+from wardstone.llm.store import shared_folder
+from wardstone.llm.tokenfiles import document_digests, write_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,3 +32,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 @query("op1_sharding", shard_sql(40))
 def sharding(spark, folder):
     return shard(table(spark, folder, "documents"), 40)
+
+
+@query("op4_token_files")
+def token_files(spark, folder):
+    files = write_tokens(table(spark, folder, "documents"), shared_folder(spark, "tokens"))
+    return document_digests(files)
+
+
+@query("op10_packing")
+def packing(spark, folder):
+    return pack(table(spark, folder, "documents")).drop("ids")
