@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from wardstone.llm.neardedup import fp_hex, near_groups
 from wardstone.llm.packing import pack
 from wardstone.llm.sharding import shard, shard_sql
 from wardstone.llm.store import shared_folder
@@ -43,3 +44,8 @@ def token_files(spark, folder):
 @query("op10_packing")
 def packing(spark, folder):
     return pack(table(spark, folder, "documents")).drop("ids")
+
+
+@query("op9_simhash_near_dedup")
+def simhash_near_dedup(spark, folder):
+    return near_groups(table(spark, folder, "documents")).select("doc_id", fp_hex(F.col("fp")).alias("fingerprint"), "component_id")
