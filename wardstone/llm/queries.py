@@ -11,6 +11,7 @@ from wardstone.llm.packing import pack
 from wardstone.llm.sharding import shard, shard_sql
 from wardstone.llm.store import shared_folder
 from wardstone.llm.tokenfiles import document_digests, write_tokens
+from wardstone.llm.toxicity import held_out, score, train
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,6 +36,14 @@ def sharding(spark, folder):
     return shard(table(spark, folder, "documents"), 40)
 
 
+@query("op2_toxicity")
+def toxicity(spark, folder):
+    docs = table(spark, folder, "documents")
+    scored = score(docs, train(docs, table(spark, folder, "labels")))
+    return scored.select(
+        "doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @query("op4_token_files")
 def token_files(spark, folder):
     files = write_tokens(table(spark, folder, "documents"), shared_folder(spark, "tokens"))
