@@ -12,6 +12,7 @@ from wardstone.llm.sharding import shard, shard_sql
 from wardstone.llm.store import shared_folder
 from wardstone.llm.tokenfiles import document_digests, write_tokens
 from wardstone.llm.toxicity import held_out, score, train
+from wardstone.llm.warc import read_warc, write_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -55,6 +56,18 @@ def packing(spark, folder):
     return pack(table(spark, folder, "documents")).drop("ids")
 
 
+@query("op7_warc", """
+    WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+    f AS (SELECT b, min(page_id) AS first FROM p WHERE octet_length(b) >= 100 GROUP BY b)
+    SELECT page_id, octet_length(p.b)::BIGINT AS payload_bytes, sha256(p.b) AS payload_digest,
+      CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+      CASE WHEN first <> page_id THEN first END AS refers_to
+    FROM p LEFT JOIN f ON p.b = f.b""")
+def warc(spark, folder):
+    files = write_warc(table(spark, folder, "pages"), shared_folder(spark, "warc"))
+    return read_warc(files, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query("op9_simhash_near_dedup")
 def simhash_near_dedup(spark, folder):
     return near_groups(table(spark, folder, "documents")).select("doc_id", fp_hex(F.col("fp")).alias("fingerprint"), "component_id")
