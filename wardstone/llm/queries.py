@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from wardstone.llm.fingerprints import with_edits
 from wardstone.llm.neardedup import fp_hex, near_groups
 from wardstone.llm.packing import pack
 from wardstone.llm.sharding import shard, shard_sql
@@ -68,6 +69,16 @@ def warc(spark, folder):
     return read_warc(files, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query("op8_document_fingerprints")
+def document_fingerprints(spark, folder):
+    def likeness(other):
+        return 1 - F.bit_count(F.col("fp").bitwiseXOR(F.col(other))) / 64
+
+    return with_edits(table(spark, folder, "documents")).select(
+        "doc_id", "n_chars", "edited_sha256", fp_hex(F.col("fp")).alias("fingerprint"), fp_hex(F.col("edited_fp")).alias("edited_fingerprint"),
+        likeness("edited_fp").alias("near_edited"), likeness("next_fp").alias("near_next"))
+
+
 @query("op9_simhash_near_dedup")
 def simhash_near_dedup(spark, folder):
     return near_groups(table(spark, folder, "documents")).select("doc_id", fp_hex(F.col("fp")).alias("fingerprint"), "component_id")
