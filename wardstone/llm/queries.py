@@ -12,6 +12,7 @@ from wardstone.llm.packing import pack
 from wardstone.llm.sharding import shard, shard_sql
 from wardstone.llm.store import shared_folder
 from wardstone.llm.tokenfiles import document_digests, write_tokens
+from wardstone.llm.topk import top_k
 from wardstone.llm.toxicity import held_out, score, train
 from wardstone.llm.warc import read_warc, write_warc
 
@@ -57,6 +58,19 @@ def packing(spark, folder):
     return pack(table(spark, folder, "documents")).drop("ids")
 
 
+@query("op6_exact_top_k", """
+    WITH v AS (
+      SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT::DOUBLE) AS e FROM embeddings
+      WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), s AS (
+      SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0
+    ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+    SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""")
+def exact_top_k(spark, folder):
+    return top_k(table(spark, folder, "embeddings"))
+
+
 @query("op7_warc", """
     WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
     f AS (SELECT b, min(page_id) AS first FROM p WHERE octet_length(b) >= 100 GROUP BY b)
