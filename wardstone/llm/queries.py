@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from wardstone.llm.fingerprints import with_edits
 from wardstone.llm.neardedup import fp_hex, near_groups
 from wardstone.llm.packing import pack
+from wardstone.llm.pieces import digests as piece_digests
 from wardstone.llm.sharding import shard, shard_sql
 from wardstone.llm.store import shared_folder
 from wardstone.llm.tokenfiles import document_digests, write_tokens
@@ -47,6 +48,11 @@ def toxicity(spark, folder):
         "doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+@query("op3_sentencepiece")
+def sentencepiece(spark, folder):
+    return piece_digests(table(spark, folder, "documents"))
+
+
 @query("op4_token_files")
 def token_files(spark, folder):
     files = write_tokens(table(spark, folder, "documents"), shared_folder(spark, "tokens"))
