@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wardstone.llm.fingerprints import with_edits
+from wardstone.llm.linededup import dedup_lines
 from wardstone.llm.neardedup import fp_hex, near_groups
 from wardstone.llm.packing import pack
 from wardstone.llm.pieces import digests as piece_digests
@@ -64,6 +65,12 @@ def packing(spark, folder):
     return pack(table(spark, folder, "documents")).drop("ids")
 
 
+@query("op5_line_dedup")
+def line_dedup(spark, folder):
+    return dedup_lines(table(spark, folder, "documents")).select(
+        "doc_id", F.col("__lines_dropped").alias("lines_dropped"), F.length("text").cast("bigint").alias("n_chars"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
+
+
 @query("op6_exact_top_k", """
     WITH v AS (
       SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT::DOUBLE) AS e FROM embeddings
