@@ -253,18 +253,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, longest: int
     return Trainer([r["text"] for r in rows], np.array([r["toxic"] for r in rows], np.int64)).train()
 
 
-def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Columns `keep` (default: the id) with score (0 to 1). Null texts and texts without words
-    get the lowest score; nothing but the text enters it."""
-    keep = keep or [id_col]
-    named = [F.col(c).alias(f"c{k}") for k, c in enumerate(keep)]
-    inner = docs.select(*named, F.col(text_col).cast("string").alias("text"))
-    schema = ", ".join(f"c{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(keep))
-
-    def work(batches):
-        for batch in batches:
-            for rows in slices(batch, "text"):
-                yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(score_texts(rows.column("text"), model))], names=[*rows.schema.names[:-1], "score"])
-
-    scored = inner.mapInArrow(work, f"{schema}, score double")
-    return scored.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(keep)], "score")
+def score(docs: DataFrame, model: Model, *, text_col: str = "text", name: str = "score") -> DataFrame:
+    """`docs` with the score (0 to 1) of every whole text as column `name`. Null texts and texts
+    without words get the lowest score; nothing but the text enters it."""
+
+    @F.arrow_udf("double")
+    def toxic(texts: pa.Array) -> pa.Array:
+        whole = pa.RecordBatch.from_arrays([texts], names=["text"])
+        return pa.array(np.concatenate([np.zeros(0), *(score_texts(rows.column("text"), model) for rows in slices(whole, "text"))]))
+
+    return docs.withColumn(name, toxic(F.col(text_col).cast("string")))
