@@ -200,17 +200,29 @@ def test_chain_valid_and_every_tampering_found(spark):
         prev = hashlib.sha256(f"{r.id}{i + 1}{r.kind}{r.target}{prev}".encode()).hexdigest()
         assert r.entry_hash == prev
 
-    def check(c):
-        return U.verify_chain(c, "tenant", F.lit(0), "id", FIELDS, segment_rows=10).first()
+    seals = U.segment_seals(chained, "tenant")
+    roots = U.seal_root(seals, "tenant")
+
+    def check(c, kept=seals):
+        return U.verify_chain(c, "tenant", "id", FIELDS, kept, roots, segment_rows=10).first()
 
     assert check(chained).valid and check(chained).verified == 25
     for seq in (1, 10, 11, 25):
         forged = chained.withColumn("target", F.when(F.col("sequence") == seq, "y").otherwise(F.col("target")))
         assert check(forged).first_bad == seq
     assert check(chained.filter("sequence <> 7")).first_bad == 8
-    seals = U.seal_segments(chained, "tenant", fanout=2).first()
+    # a segment rewritten as a whole fits itself but not its seal; rewritten seals fit no root
+    other = U.build_chain(df.withColumn("target", F.when(F.col("id") == 12, "y").otherwise(F.col("target"))), "tenant", ["id"], F.lit(0), "id", FIELDS, segment_rows=10)
+    swapped = chained.filter("segment <> 1").unionByName(other.filter("segment = 1"))
+    got = check(swapped)
+    assert (got.valid, got.verified, got.first_bad, got.reason) == (False, 10, 11, "segment forged")
+    assert check(swapped, U.segment_seals(swapped, "tenant")).reason == "seals forged"
+    assert check(chained.filter("segment < 2")).reason == "segment missing"
+    assert check(chained.filter("sequence < 25")).reason == "segment forged"
+    assert check(chained.limit(0)).first_bad == 1
+    sealed = U.seal_segments(chained, "tenant", fanout=2).first()
     changed = U.seal_segments(U.build_chain(df.withColumn("target", F.when(F.col("id") == 24, "y").otherwise(F.col("target"))), "tenant", ["id"], F.lit(0), "id", FIELDS, 10), "tenant", fanout=2).first()
-    assert seals.entries == 25 and seals.root != changed.root
+    assert sealed.entries == 25 and sealed.root != changed.root
 
 
 def test_hmac_equals_the_standard_library(spark):

@@ -20,6 +20,16 @@ def join_same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "in
     return left.join(renamed, test, how).drop(*[f"__right_{k}" for k in keys])
 
 
+def group_name(key: str) -> Column:
+    """A key as a string that is never null, so that rows without a key are one group everywhere."""
+    return F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit(""))
+
+
+def group_key(name: str, kind: str) -> Column:
+    """The key that ``group_name`` was made of."""
+    return F.when(F.col(name) != "", F.substring(name, 2, 2**31 - 1)).cast(kind)
+
+
 def along(
     df: DataFrame,
     group: list[str],

@@ -192,6 +192,17 @@ CATEGORY_OF_TYPE = {
     "password": "credentials",
     "api_key": "credentials",
     "credentials": "credentials",
+    "person_name": "direct_identifier",
+    "vin": "direct_identifier",
+    "street_address": "contact_info",
+    "driver_license": "government_id",
+    "passport": "government_id",
+    "financial_account": "financial",
+    "iban": "financial",
+    "mac_address": "online_identifier",
+    "ipv6_address": "online_identifier",
+    "zip_code": "location",
+    "genetic": "biometric",
     "custom": "other",
 }
 RISK_OF_CATEGORY = {

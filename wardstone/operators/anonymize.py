@@ -7,8 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import spans as S, strategies as R
+from ..functions.jsontext import json_strings
 from ..functions.patterns import HIGH, Pattern
-from ..functions.ordering import grouped_index, hash_bucket, hash_key
+from ..functions.ordering import grouped_index, hash_bucket, hash_key, join_same
 from . import detect as D
 
 
@@ -229,7 +230,11 @@ def anonymization_stats(anonymized: DataFrame, text: str) -> DataFrame:
         F.round(F.avg("confidence"), 6).alias("avg_confidence"),
     ).select(*[F.coalesce(c, F.lit("*")).alias(c) for c in dims], "found", "replaced", "avg_confidence")
     sizes = anonymized.agg(F.sum("input_length").alias("input_length"), F.sum(F.length(text)).alias("output_length"))
-    return per.crossJoin(F.broadcast(sizes))  # one row: the totals
+    # one row of sizes; where nothing was found, the totals of 0 stand alone
+    nothing = sizes.select(F.lit("*").alias("pii_type"), F.lit("*").alias("strategy"), F.lit(0).cast("bigint").alias("found"),
+                           F.lit(0).cast("bigint").alias("replaced"), F.lit(None).cast("double").alias("avg_confidence"))
+    per = per.unionByName(nothing).groupBy(*dims).agg(*[F.max(c).alias(c) for c in ("found", "replaced", "avg_confidence")])
+    return per.crossJoin(F.broadcast(sizes))
 
 
 def residual_scan(anonymized: DataFrame, text: str, keys: list[str], config: Config = DEFAULT) -> DataFrame:
@@ -267,12 +272,9 @@ def anonymize_struct(df: DataFrame, column: str, config: Config = DEFAULT) -> Da
 def rewrite_value(value: Column, config: Config, path: Column | None = None) -> Column:
     """Detect and rewrite one string expression, for strings nested in other columns."""
     patterns = config.detect.patterns
-    keep = [i for i, p in enumerate(patterns)
-            if p.confidence >= config.detect.min_confidence and p.risk >= config.detect.min_risk]
 
     def scan(v: Column) -> Column:
-        kept = S.OVERLAP_MODES[config.detect.overlap](S.all_spans(v, patterns))
-        good = F.filter(F.filter(kept, lambda s: S.passes_validator(s, patterns)), lambda s: s["ord"].isin(keep))
+        good = D.wanted_spans(config.detect, S.all_spans(v, patterns))
 
         def one(s: Column) -> Column:
             kind = S.lookup(patterns, "pii_type", s["ord"])
@@ -285,10 +287,30 @@ def rewrite_value(value: Column, config: Config, path: Column | None = None) ->
     return F.element_at(F.transform(F.array(value), scan), 1)
 
 
-def anonymize_json(df: DataFrame, column: str, schema: str, config: Config = DEFAULT) -> DataFrame:
-    """A JSON text column of known schema: parse, rewrite its strings, write back."""
-    parsed = df.withColumn("__j", F.from_json(column, schema))
-    return anonymize_struct(parsed, "__j", config).withColumn(column, F.to_json("__j")).drop("__j")
+def anonymize_json(df: DataFrame, column: str, config: Config = DEFAULT, counts: bool = False) -> DataFrame:
+    """A JSON text column of any shape and depth: strings are rewritten in place, everything else
+    (keys, numbers, nulls, order, white space) stays as it stands in the text. Malformed texts
+    cannot be walked; they are rewritten as plain text. ``counts`` adds strings_seen and
+    strings_changed (null for malformed texts)."""
+    scanned = S.bind(df, "__leaves", json_strings(F.col(column)))
+
+    def literal(text: Column) -> Column:
+        array = F.to_json(F.array(text))
+        return F.substring(array, F.lit(2), F.length(array) - 2)
+
+    def leaf(x: Column) -> Column:
+        new = rewrite_value(x["value"], config, x["path"])
+        # a leaf that stays keeps its spelling
+        return F.transform(F.array(new), lambda n: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.when(n != x["value"], literal(n)).alias("replacement")))[0]
+
+    changed = F.filter(F.transform("__leaves", leaf), lambda x: x["replacement"].isNotNull())
+    done = S.bind(scanned, "__changed", changed)
+    whole = F.when(F.col("__leaves").isNull(), rewrite_value(F.col(column), config)).otherwise(rewrite(F.col(column), F.col("__changed")))
+    out = done.withColumn(column, whole)
+    if counts:
+        seen = F.when(F.col("__leaves").isNotNull(), F.size("__leaves")).alias("strings_seen")
+        out = out.withColumns({"strings_seen": seen, "strings_changed": F.when(F.col("__leaves").isNotNull(), F.size("__changed"))})
+    return out.drop("__leaves", "__changed")
 
 
 # ---------------------------------------------------------------------------- table columns
@@ -299,7 +321,7 @@ def shuffle_column(df: DataFrame, column: str, key: str, group: list[str], seed:
     second = df.select(*group, F.col(key).alias("__key"), column, hash_key(seed, "from", F.col(key)).alias("__h"))
     to = grouped_index(first, group, ["__h", key], hash_bucket(F.col("__h")))
     source = grouped_index(second, group, ["__h", "__key"], hash_bucket(F.col("__h"))).drop("__h", "__key")
-    return to.join(source, [*group, "position"]).select(*df.columns)
+    return join_same(to, source, [*group, "position"]).select(*df.columns)
 
 
 def encrypt_fields(df: DataFrame, paths: list[str], key: bytes, aad: str = "") -> DataFrame:

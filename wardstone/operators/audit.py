@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.ordering import along
+from ..functions.ordering import along, join_same
 from ..session import cut
 
 # ---- fixed values ---------------------------------------------------------------------------
@@ -60,10 +60,20 @@ def build_chain(events: DataFrame, chain: str, order: list[str], bucket: Column,
     return out.select(*events.columns, "sequence", "segment", "previous_hash", "entry_hash")
 
 
+def segment_seals(chained: DataFrame, chain: str) -> DataFrame:
+    """(chain, segment, seal, entries): the last hash of each segment and its length, to be kept
+    apart from the entries."""
+    return chained.groupBy(chain, "segment").agg(F.max_by("entry_hash", "sequence").alias("seal"), F.count("*").alias("entries"))
+
+
 def seal_segments(chained: DataFrame, chain: str, fanout: int = 1000) -> DataFrame:
-    """Root hash per chain: the last hashes of its segments, folded ``fanout`` at a time. The
-    loop runs over tree levels (two levels cover a billion entries)."""
-    level = chained.groupBy(chain, F.col("segment").alias("node")).agg(F.max_by("entry_hash", "sequence").alias("h"), F.count("*").alias("entries"))
+    """Root hash and length per chain: the last hashes of its segments, folded ``fanout`` at a
+    time. The loop runs over tree levels (two levels cover a billion entries)."""
+    return seal_root(segment_seals(chained, chain), chain, fanout)
+
+
+def seal_root(seals: DataFrame, chain: str, fanout: int = 1000) -> DataFrame:
+    level = seals.select(chain, F.col("segment").alias("node"), F.col("seal").alias("h"), "entries")
     while True:
         folded = level.withColumn("up", F.floor(F.col("node") / fanout)).groupBy(chain, F.col("up").alias("node")).agg(
             F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node", "h"))), lambda x: x["h"]), ""), 256).alias("h"), F.sum("entries").alias("entries"))
@@ -72,9 +82,43 @@ def seal_segments(chained: DataFrame, chain: str, fanout: int = 1000) -> DataFra
             return level.select(chain, F.col("h").alias("root"), "entries")
 
 
-def verify_chain(chained: DataFrame, chain: str, bucket: Column, id_col: str, fields: list[str], segment_rows: int = 1000) -> DataFrame:
-    """valid, verified entries, first bad sequence and reason per chain; every entry is checked
-    on its own against its stored predecessor."""
+def verify_chain(chained: DataFrame, chain: str, id_col: str, fields: list[str], seals: DataFrame, roots: DataFrame | None = None, segment_rows: int = 1000) -> DataFrame:
+    """valid, verified entries, first bad sequence and reason per chain.
+
+    Every entry is checked against its stored predecessor, every segment against its seal
+    (``segment_seals`` taken when the chain was built), and the seals against a trusted root and
+    length (``roots``: chain, root, entries of ``seal_segments``). A segment that was rewritten as
+    a whole, moved, added or cut off fits no seal; seals that were rewritten too fit no root."""
+    links = _broken_links(chained, chain, id_col, fields, segment_rows)
+    mine = segment_seals(chained, chain).select(chain, "segment", F.col("seal").alias("__seal"), F.col("entries").alias("__entries"))
+    meet = F.col("s.segment").eqNullSafe(F.col("m.segment")) & F.col(f"s.{chain}").eqNullSafe(F.col(f"m.{chain}"))
+    both = seals.alias("s").join(mine.alias("m"), meet, "full_outer")
+    there, known = F.col("__seal").isNotNull(), F.col("seal").isNotNull()
+    why = F.when(~there, "segment missing").when(~known, "segment added").when((F.col("seal") != F.col("__seal")) | (F.col("entries") != F.col("__entries")), "segment forged")
+    marked = both.select(F.when(known, F.col(f"s.{chain}")).otherwise(F.col(f"m.{chain}")).alias(chain), F.coalesce("s.segment", "m.segment").alias("segment"), why.alias("why"))
+    at = F.when(F.col("why").isNotNull(), F.col("segment"))
+    sealed = marked.groupBy(chain).agg(F.min(at).alias("__segment"), F.min_by("why", at).alias("__seal_why"))
+    out = join_same(sealed, links, [chain], "left")
+    if roots is not None:
+        now = seal_root(seals, chain).select(chain, F.col("root").alias("__root"), F.col("entries").alias("__length"))
+        given = join_same(roots.select(chain, "root", F.col("entries").alias("__given")), now, [chain], "left")
+        fits = F.coalesce((F.col("root") == F.col("__root")) & (F.col("__given") == F.col("__length")), F.lit(False))
+        trusted = given.select(chain, fits.alias("__trusted"))
+        missing = join_same(trusted, sealed.select(chain), [chain], "left_anti").select(chain)
+        out = join_same(out, trusted, [chain], "left").unionByName(missing.withColumn("__trusted", F.lit(False)), allowMissingColumns=True)
+    else:
+        out = out.withColumn("__trusted", F.lit(True))
+    # a broken link says more than the seal of its segment does
+    in_segment = F.col("first_bad").isNotNull() & (F.col("__segment").isNull() | (F.floor((F.col("first_bad") - 1) / segment_rows) <= F.col("__segment")))
+    untrusted = ~F.coalesce("__trusted", F.lit(False))
+    bad = F.when(untrusted, F.lit(1)).when(in_segment, F.col("first_bad")).otherwise(F.col("__segment") * segment_rows + 1).cast("bigint")
+    reason = F.when(untrusted, "seals forged").when(in_segment, F.col("reason")).otherwise(F.col("__seal_why"))
+    result = out.select(chain, bad.alias("first_bad"), reason.alias("reason"), F.coalesce("entries", F.lit(0)).alias("entries"))
+    valid = F.col("first_bad").isNull()
+    return result.select(chain, valid.alias("valid"), F.when(valid, F.col("entries")).otherwise(F.col("first_bad") - 1).alias("verified"), "first_bad", "reason")
+
+
+def _broken_links(chained: DataFrame, chain: str, id_col: str, fields: list[str], segment_rows: int) -> DataFrame:
     seen = along(chained, [chain], ["sequence"], F.floor(F.col("sequence") / segment_rows), lags={"__prev": F.col("entry_hash")}, position="__pos")
     h = F.sha2(F.concat(entry_body(F.col(id_col), F.col("sequence"), [F.col(c) for c in fields]), F.coalesce("previous_hash", F.lit(""))), 256)
     starts = (F.col("sequence") - 1) % segment_rows == 0
@@ -86,8 +130,7 @@ def verify_chain(chained: DataFrame, chain: str, bucket: Column, id_col: str, fi
     per = marked.groupBy(chain).agg(
         F.count("*").alias("entries"), F.min(F.when(bad, F.col("sequence"))).alias("first_bad"),
         F.min_by("__why", F.when(bad, F.col("sequence"))).alias("reason"))
-    valid = F.col("first_bad").isNull()
-    return per.select(chain, valid.alias("valid"), F.when(valid, F.col("entries")).otherwise(F.col("first_bad") - 1).alias("verified"), "first_bad", "reason")
+    return per
 
 
 def redact_context(context: Column, fields: list[str] = REDACTED_FIELDS) -> Column:

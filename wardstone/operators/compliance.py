@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..functions.ordering import join_same
+
 # ---- fixed values: rule tables per framework ---------------------------------------------
 ALLOWED = {
     "gdpr": {
@@ -114,7 +116,7 @@ def verdicts(records: DataFrame, violations: DataFrame, scope: list[str], framew
     blocking = (F.col("severity") == "critical") | ((F.col("framework") == "ccpa") & (F.col("severity") == "high"))
     bad = violations.groupBy(*scope, "framework").agg(
         F.sum("violations").alias("violations"), F.coalesce(F.sum(F.when(blocking, F.col("violations"))), F.lit(0)).alias("blocking"))
-    return cells.join(bad, [*scope, "framework"], "left").select(
+    return join_same(cells, bad, [*scope, "framework"], "left").select(
         *scope, "framework", F.coalesce("violations", F.lit(0)).alias("violations"),
         (F.coalesce("blocking", F.lit(0)) == 0).alias("compliant"))
 

@@ -13,7 +13,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import spans as S
-from ..functions.ordering import first_n
+from ..functions.jsontext import json_strings
+from ..functions.ordering import first_n, join_same
 from ..functions.patterns import (
     CATEGORY_OF_TYPE,
     KEYWORDS,
@@ -27,7 +28,7 @@ from ..functions.patterns import (
     Pattern,
 )
 
-from .quality import json_nodes
+from ..session import cut
 
 Detector = Callable[[DataFrame], DataFrame]
 
@@ -53,6 +54,10 @@ STRICT = DetectConfig(min_confidence=0.9, min_risk=HIGH)
 PERMISSIVE = DetectConfig(min_confidence=0.3)
 
 
+#: Parts into which the values of one type are cut when they meet regex entries.
+SALTS = 16
+
+
 def label_risk(rank: Column) -> Column:
     return F.element_at(F.array(*[F.lit(x) for x in RISK_LEVELS]), rank + 1)
 
@@ -80,6 +85,11 @@ def resolve(df: DataFrame, config: DetectConfig, spans: str = "spans") -> DataFr
 
 
 def _wanted(config: DetectConfig, spans: str) -> Column:
+    return wanted_spans(config, F.col(spans))
+
+
+def wanted_spans(config: DetectConfig, col: Column) -> Column:
+    """Overlap removal, validators and the filters of a configuration on an array of spans."""
     patterns = config.patterns
     keep = [
         i
@@ -90,7 +100,6 @@ def _wanted(config: DetectConfig, spans: str) -> Column:
         and p.pii_type not in config.exclude_types
     ]
     ok = lambda s: S.passes_validator(s, patterns)
-    col = F.col(spans)
     if config.validate_first:
         resolved = S.OVERLAP_MODES[config.overlap](F.filter(col, ok))
     else:
@@ -292,14 +301,15 @@ def classify_columns(df: DataFrame, config=DetectConfig(), columns: list[str] |
     )
 
 
-def json_leaves(df: DataFrame, json_col: str, keys: list[str], max_depth: int = 8) -> DataFrame:
-    """String leaves of a JSON document with their path (``a.b.[0]``)."""
-    nodes = json_nodes(df, json_col, keys, max_depth).filter(F.col("kind") == "STRING")
-    return nodes.select(*keys, "path", F.variant_get("node", "$", "string").alias("leaf"))
+def json_leaves(df: DataFrame, json_col: str, keys: list[str]) -> DataFrame:
+    """String leaves of a JSON document at any depth with their path (``a.b.[0]``). Malformed
+    documents and nulls have none."""
+    leaves = df.select(*keys, F.explode(json_strings(F.col(json_col))).alias("s"))
+    return leaves.select(*keys, "s.path", F.col("s.value").alias("leaf"))
 
 
-def detect_json(df: DataFrame, json_col: str, keys: list[str], config=DetectConfig(), max_depth: int = 8) -> DataFrame:
-    return detect(json_leaves(df, json_col, keys, max_depth), "leaf", [*keys, "path"], config)
+def detect_json(df: DataFrame, json_col: str, keys: list[str], config=DetectConfig()) -> DataFrame:
+    return detect(json_leaves(df, json_col, keys), "leaf", [*keys, "path"], config)
 
 
 # -------------------------------------------------------------------- long texts
@@ -307,26 +317,37 @@ def detect_chunked(df: DataFrame, text: str, keys: list[str], config=DetectConfi
                    overlap: int = 1000) -> DataFrame:
     """Candidates of long texts found on overlapping chunks, so that one huge text becomes
     many rows. A match belongs to the chunk in whose own range it starts; the margins on
-    both sides give every match its surroundings."""
+    both sides give every match its surroundings. Chunks with a match that touches an end of
+    its piece inside the text are scanned again with twice the margins, until none does: no match
+    is cut, however long."""
     t = F.col(text)
     starts = F.sequence(F.lit(0), F.greatest(F.length(t) - 1, F.lit(0)), F.lit(size))
-    chunks = df.select(*keys, text, F.explode(starts).alias("own")).select(
-        *keys, "own",
-        F.greatest(F.col("own") - overlap, F.lit(0)).alias("base"),
-        F.substring(t, F.greatest(F.col("own") - overlap, F.lit(0)) + 1,
-                    F.col("own") - F.greatest(F.col("own") - overlap, F.lit(0)) + size + overlap).alias("piece"),
-    )
+    todo = df.select(*keys, text, F.explode(starts).alias("own"))
     p = config.patterns
-    found = explode_spans(with_candidates(chunks, "piece", p), [*keys, "own", "base"], p)
-    at = F.col("start_pos") + F.col("base")
-    mine = found.filter((at >= F.col("own")) & (at < F.col("own") + size))
-    return mine.select(
-        *keys, "pii_type", "pattern", at.alias("start_pos"),
-        (F.col("end_pos") + F.col("base")).alias("end_pos"), "value", "confidence", "risk")
+    margin, done = overlap, None
+    while True:
+        base = F.greatest(F.col("own") - margin, F.lit(0))
+        pieces = todo.select("*", base.alias("base"), F.substring(t, base + 1, F.col("own") - base + size + margin).alias("piece"))
+        spans = with_candidates(pieces, "piece", p)
+        near = F.filter("spans", lambda s: (s["start"] + F.col("base") < F.col("own") + size) & (s["end"] + F.col("base") > F.col("own")))
+        cut_right = F.col("base") + F.length("piece") < F.length(t)
+        touches = F.exists(near, lambda s: (cut_right & (s["end"] == F.length("piece"))) | ((s["start"] == 0) & (F.col("base") > 0)))
+        scanned = cut(spans.withColumn("again", touches).withColumn(text, F.when(touches, t)).drop("piece"))
+        found = explode_spans(scanned.filter(~F.col("again")), [*keys, "own", "base"], p)
+        at = F.col("start_pos") + F.col("base")
+        mine = found.filter((at >= F.col("own")) & (at < F.col("own") + size)).select(
+            *keys, "pii_type", "pattern", at.alias("start_pos"), (F.col("end_pos") + F.col("base")).alias("end_pos"), "value", "confidence", "risk")
+        done = mine if done is None else done.unionByName(mine)
+        todo = scanned.filter("again").select(*keys, text, "own")
+        if todo.isEmpty():
+            return done
+        margin *= 2
 
 
 # -------------------------------------------------------------------- reports and routing
 def categorise(detections: DataFrame) -> DataFrame:
+    """Category and default risk of each detection. Types that no profile has, such as those of
+    own patterns, are "other"."""
     cat = type_lookup(CATEGORY_OF_TYPE, F.col("pii_type"), "other")
     return detections.withColumn("category", cat).withColumn(
         "default_risk", type_lookup(RISK_OF_CATEGORY, F.col("category"), LOW))
@@ -342,7 +363,7 @@ def detection_stats(detections: DataFrame) -> DataFrame:
     return grouped.select(*[F.coalesce(c, F.lit("*")).alias(c) for c in dims], "n", "avg_confidence")
 
 
-def suppress_allowlist(detections: DataFrame, allow: DataFrame, now: Column, types: list[str] = tuple(CATEGORY_OF_TYPE)) -> DataFrame:
+def suppress_allowlist(detections: DataFrame, allow: DataFrame, now: Column) -> DataFrame:
     """Drop detections that equal, or match the regex of, an active unexpired entry.
 
     ``allow``: (kind 'exact'|'regex', pattern, pii_type or null, active, expires_at)."""
@@ -352,11 +373,14 @@ def suppress_allowlist(detections: DataFrame, allow: DataFrame, now: Column, typ
     exact = d.join(
         a.filter("kind = 'exact'"), (F.col("d.value") == F.col("a.pattern")) & typed, "left_anti")
     # regex entries meet the distinct values of their type; an entry for any type is unfolded
-    # over the known types, so that the join stays an equality on the type
-    values = exact.select("pii_type", "value").distinct()
-    rules = live.filter("kind = 'regex'").select("pattern", F.explode(
-        F.when(F.col("pii_type").isNotNull(), F.array("pii_type")).otherwise(F.array(*[F.lit(t) for t in types]))).alias("pii_type"))
-    hit = values.join(rules, "pii_type").filter(F.expr("value RLIKE pattern")).select("pii_type", "value").distinct()
+    # over the types that were found, so that the join stays an equality on the type; values are
+    # salted, since most may be of one type
+    values = exact.select("pii_type", "value").distinct().withColumn("salt", F.pmod(F.xxhash64("value"), F.lit(SALTS)).cast("int"))
+    regex = live.filter("kind = 'regex'").select("pattern", F.col("pii_type").alias("only"))
+    found = exact.select("pii_type").distinct()
+    rules = regex.join(found, F.coalesce(F.col("only") == F.col("pii_type"), F.lit(True)))  # entries x types found
+    rules = rules.select("pattern", "pii_type", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    hit = values.join(rules, ["pii_type", "salt"]).filter(F.expr("value RLIKE pattern")).select("pii_type", "value").distinct()
     return exact.join(hit, ["pii_type", "value"], "left_anti").select(*detections.columns)
 
 
@@ -409,4 +433,4 @@ def pii_inventory(detections: DataFrame, dataset: str, field_name: str, key: str
         F.max("risk").alias("max_risk"),
         F.sum((F.col("risk") + 1) * F.col("confidence")).alias("score"),
     )
-    return totals.join(shown, [dataset, field_name, "pii_type"]).withColumn("score", F.round("score", 6))
+    return join_same(totals, shown, [dataset, field_name, "pii_type"]).withColumn("score", F.round("score", 6))

@@ -222,7 +222,7 @@ def privacy_ledger(requests: DataFrame, dataset: str, order: list[str], epsilon:
         stops = summed.filter(over).groupBy(dataset).agg(
             F.min(at).alias("__stop"), F.min_by(epsilon, at).alias("__eps"), F.min_by("__pos", at).alias("__stop_pos"),
             F.min_by(F.struct((F.col("__total") - F.col("__cost")).alias("t"), (F.col("__k") + F.col("__pos") - 1).alias("k")), at).alias("__state"))
-        marked = summed.join(stops, dataset, "left")
+        marked = join_same(summed, stops, [dataset], "left")
         ok = F.col("__stop").isNull() | (F.col("__pos") < F.col("__stop_pos"))
         out = F.col("__stop").isNotNull() & (F.col("__pos") >= F.col("__stop_pos")) & (F.col(epsilon) >= F.col("__eps"))
         done = marked.filter(ok | out).select(

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.ordering import along, first_n, grouped_index, hash_bucket, hash_key
+from ..functions.ordering import along, first_n, grouped_index, hash_bucket, hash_key, join_same
 
 UNIT = float(16**13)
 
@@ -51,14 +51,23 @@ def split_corpus(df: DataFrame, content: str, ratios: dict[str, float], seed: st
     return df.withColumn("split", out.otherwise(label))
 
 
-def corpus_entries(turns: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
-    """User turns with the assistant's next turn: prompt-response, or prompt only."""
+def corpus_entries(turns: DataFrame, conv: str, turn: str, role: str, text: str, truth: DataFrame | None = None) -> DataFrame:
+    """User turns with the assistant's next turn: prompt-response, or prompt only; with reference
+    answers (``truth``: conv, turn, ground_truth) also prompt with ground truth. An entry is
+    complete if it holds all that its type asks for."""
     nxt = F.struct(F.col(role).alias("role"), F.col(text).alias("text"))
     seen = along(turns, [conv], [turn], F.floor(F.col(turn) / 1000), leads={"__next": nxt})
     answered = F.coalesce(F.col("__next.role") == "assistant", F.lit(False))
-    return seen.filter(F.col(role) == "user").select(
-        conv, turn, F.col(text).alias("prompt"), F.when(answered, F.col("__next.text")).alias("response"),
-        F.when(answered, "prompt_response").otherwise("prompt_only").alias("entry_type"), answered.alias("complete"))
+    asked = seen.filter(F.col(role) == "user")
+    if truth is None:
+        asked = asked.withColumn("ground_truth", F.lit(None).cast("string"))
+    else:
+        asked = join_same(asked, truth.select(conv, turn, "ground_truth"), [conv, turn], "left")
+    known = F.col("ground_truth").isNotNull()
+    kind = F.when(known, "ground_truth").when(answered, "prompt_response").otherwise("prompt_only")
+    has_prompt, has_answer = F.coalesce(F.trim(text) != "", F.lit(False)), F.coalesce(F.trim(F.col("__next.text")) != "", F.lit(False))
+    complete = has_prompt & F.when(known, F.trim("ground_truth") != "").when(answered, has_answer).otherwise(F.lit(True))
+    return asked.select(conv, turn, F.col(text).alias("prompt"), F.when(answered, F.col("__next.text")).alias("response"), "ground_truth", kind.alias("entry_type"), complete.alias("complete"))
 
 
 def join_annotations(df: DataFrame, labels: DataFrame, key: str, min_quality: int) -> DataFrame:

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.ordering import along
+from ..functions.ordering import along, group_key, group_name
 from ..session import cut
 
 TOKEN = 1_000_000  # one token; a rate of r tokens per second refills r units per microsecond
@@ -175,7 +175,7 @@ def token_bucket(events: DataFrame, key: str, time_col: str, tie: str, bucket: C
     """(key, tie, allowed, remaining): ``rate`` tokens per second up to ``burst``, one each."""
     cap = burst * TOKEN
     order = ["ts_us", "tie"]
-    base = events.select(F.col(key).alias("key"), F.unix_micros(F.col(time_col).cast("timestamp")).alias("ts_us"), F.col(tie).alias("tie"), bucket.alias("b"))
+    base = events.select(group_name(key).alias("key"), F.unix_micros(F.col(time_col).cast("timestamp")).alias("ts_us"), F.col(tie).alias("tie"), bucket.alias("b"))
     timed = along(base, ["key"], order, F.col("b"), lags={"before": F.col("ts_us")})
     gained = F.least((F.col("ts_us") - F.col("before")) * rate, F.lit(cap))
     timed = timed.withColumn("gained", F.coalesce(gained, F.lit(cap)).cast("bigint"))
@@ -204,19 +204,19 @@ def token_bucket(events: DataFrame, key: str, time_col: str, tie: str, bucket: C
 
     kinds = dict(ready.dtypes)
     out = _by_group(ready, group, order).mapInPandas(replay, f"key {kinds['key']}, tie {kinds['tie']}, allowed boolean, remaining bigint")
-    return out.select(F.col("key").alias(key), F.col("tie").alias(tie), "allowed", "remaining")
+    return out.select(group_key("key", events.schema[key].dataType.simpleString()).alias(key), F.col("tie").alias(tie), "allowed", "remaining")
 
 
 def sliding_limit(events: DataFrame, key: str, time_col: str, tie: str, bucket: Column, limit: int, window_seconds: int) -> DataFrame:
     """(key, tie, allowed): at most ``limit`` accepted requests in any window; refused requests
-    are not logged.
+    are not logged. Requests without a key share one log.
 
     Runs end at pauses longer than the window. A run of at most ``limit`` requests is accepted
     as a whole without replay; longer runs are streamed in order with at most ``limit`` times
     in memory."""
     width = window_seconds * 1_000_000
     order = ["ts_us", "tie"]
-    base = events.select(F.col(key).alias("key"), F.unix_micros(F.col(time_col).cast("timestamp")).alias("ts_us"), F.col(tie).alias("tie"), bucket.alias("b"))
+    base = events.select(group_name(key).alias("key"), F.unix_micros(F.col(time_col).cast("timestamp")).alias("ts_us"), F.col(tie).alias("tie"), bucket.alias("b"))
     timed = along(base, ["key"], order, F.col("b"), lags={"before": F.col("ts_us")})
     fresh = F.coalesce(F.col("ts_us") - F.col("before") > width, F.lit(True)).cast("bigint")
     runs = cut(along(timed, ["key"], order, F.col("b"), sums={"run": fresh}).select("key", "run", *order))
@@ -241,4 +241,4 @@ def sliding_limit(events: DataFrame, key: str, time_col: str, tie: str, bucket:
     kinds = dict(runs.dtypes)
     hard = _by_group(runs.join(busy, ["key", "run"], "left_semi"), ["key", "run"], order).mapInPandas(
         replay, f"key {kinds['key']}, tie {kinds['tie']}, allowed boolean")
-    return calm.unionByName(hard).select(F.col("key").alias(key), F.col("tie").alias(tie), "allowed")
+    return calm.unionByName(hard).select(group_key("key", events.schema[key].dataType.simpleString()).alias(key), F.col("tie").alias(tie), "allowed")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.ordering import along, fold_hashes, grouped_index, hash_bucket
+from ..functions.ordering import along, fold_hashes, grouped_index, hash_bucket, join_same
 from ..session import cut
 
 
@@ -107,16 +107,22 @@ def record_as_of(changes: DataFrame, key: str, order: list[str], time_col: str,
     return last.select(key, "r.*")
 
 
-def apply_updates(current: DataFrame, updates: DataFrame, key: str, value: str) -> DataFrame:
-    """Optimistic locking: an update applies when its expected version is the current one.
+def apply_updates(current: DataFrame, updates: DataFrame, key: str, value: str, order: list[str]) -> DataFrame:
+    """Optimistic locking: of the updates of a key, in ``order``, the first that expects the
+    current version applies; it makes a new version, so all others conflict. One row per key.
 
-    ``updates``: key, expected_version, and the new value under the same column name."""
-    u = updates.select(key, "expected_version", F.col(value).alias("__new"))
-    j = current.join(u, key, "left")
-    hit = F.col("expected_version") == F.col("version")
-    return j.withColumn("outcome", F.when(F.col("expected_version").isNull(), "kept").when(hit, "updated").otherwise("conflict")).select(
-        key, F.when(hit, F.col("__new")).otherwise(F.col(value)).alias(value),
-        (F.col("version") + F.when(hit, 1).otherwise(0)).alias("version"), "outcome")
+    ``updates``: key, expected_version, the columns of ``order``, and the new value under the same
+    column name. An update without an expected version conflicts."""
+    known = current.select(key, F.col("version").alias("__version"))
+    fits = join_same(updates, known, [key]).withColumn("__fits", F.coalesce(F.col("expected_version") == F.col("__version"), F.lit(False)))
+    per = fits.groupBy(key).agg(
+        F.count("*").alias("__asked"), F.max("__fits").alias("__hit"),
+        F.min_by(F.struct(F.col(value).alias("new")), F.when(F.col("__fits"), F.struct(*order))).alias("__win"))
+    hit = F.coalesce(F.col("__hit"), F.lit(False))
+    asked = F.coalesce(F.col("__asked"), F.lit(0))
+    return join_same(current, per, [key], "left").select(
+        key, F.when(hit, F.col("__win.new")).otherwise(F.col(value)).alias(value), (F.col("version") + hit.cast("int")).alias("version"),
+        F.when(asked == 0, "kept").when(hit, "updated").otherwise("conflict").alias("outcome"), (asked - hit.cast("int")).alias("conflicts"))
 
 
 def blame(versions: DataFrame, key: str, order: list[str], bucket: Column, fields: list[str], version_col: str) -> DataFrame:
@@ -147,13 +153,15 @@ def commit_id(tree: Column, parents: Column, author: Column, time: Column, datas
     return F.sha2(body, 256)
 
 
-def tree_hash(files: DataFrame, path: str, file_hash: str, max_depth: int) -> DataFrame:
-    """Directory hashes bottom-up over sorted (mode, name, hash) entries.
+def tree_hash(files: DataFrame, path: str, file_hash: str) -> DataFrame:
+    """Directory hashes bottom-up over sorted (mode, name, hash) entries, all files included.
 
-    One fold per level; the loop runs over path depths."""
+    One fold per level; the loop runs over the path depths that the files have. Files that share
+    a path are one entry with the smallest hash; ``tree_clashes`` lists them."""
     parts = F.filter(F.split(path, "/"), lambda x: x != "")
     level = files.select(F.array_join(parts, "/").alias("path"), F.lit("100644").alias("mode"), F.col(file_hash).alias("hash"), F.size(parts).alias("depth"))
-    level = level.groupBy("path", "mode", "depth").agg(F.min("hash").alias("hash"))
+    level = cut(level.groupBy("path", "mode", "depth").agg(F.min("hash").alias("hash")))
+    max_depth = level.agg(F.max("depth")).first()[0] or 1
     done = None
     for depth in range(max_depth, 0, -1):
         here = level.filter(F.col("depth") == depth)
@@ -169,6 +177,13 @@ def tree_hash(files: DataFrame, path: str, file_hash: str, max_depth: int) -> Da
     return out
 
 
+def tree_clashes(files: DataFrame, path: str, file_hash: str) -> DataFrame:
+    """Paths that stand for files of different content."""
+    name = F.array_join(F.filter(F.split(path, "/"), lambda x: x != ""), "/")
+    per = files.groupBy(name.alias("path")).agg(F.min(file_hash).alias("first"), F.max(file_hash).alias("last"), F.count("*").alias("files"))
+    return per.filter("first <> last").select("path", "files")
+
+
 # ------------------------------------------------------------------------------- commit graph
 def history_walk(edges: DataFrame, starts: DataFrame, stops: DataFrame | None = None, first_parent: bool = False, doublings: int = 3) -> DataFrame:
     """Breadth-first walk from start commits to parents: (root, commit, depth).
@@ -271,17 +286,25 @@ def children(edges: DataFrame) -> DataFrame:
 
 
 def version_stats(snapshots: DataFrame, dataset: str | None = None) -> DataFrame:
-    """Per consecutive pair of versions: counts and sizes. ``snapshots``: version, key, hash, kind, size."""
+    """Per version and the one before it that exists: counts and sizes. ``snapshots``: version,
+    key, hash, kind, size. Version numbers may have gaps."""
     keys = [dataset] if dataset else []
-    nxt = snapshots.withColumn("version", F.col("version") + 1)
+    numbers = snapshots.select(*keys, "version").distinct()  # a row for each version
+    follow = W.partitionBy(*keys, F.lit(0)).orderBy("version")
+    steps = numbers.select(*keys, "version", F.lead("version").over(follow).alias("__next")).filter("__next IS NOT NULL")
+    nxt = join_same(snapshots, steps, [*keys, "version"]).withColumn("version", F.col("__next"))
     a = nxt.select(*keys, "version", "key", F.col("hash").alias("old_hash"), F.col("size").alias("old_size"), F.col("kind").alias("old_kind"))
     b = snapshots.select(*keys, "version", "key", F.col("hash").alias("new_hash"), F.col("size").alias("new_size"), F.col("kind").alias("new_kind"))
-    last = snapshots.groupBy(*keys).agg(F.max("version").alias("__last"))
-    both = a.join(b, [*keys, "version", "key"], "full_outer")
+    # null-safe: renamed keys of the older side meet those of the newer
+    old = a.select(*[F.col(k).alias(f"__{k}") for k in [*keys, "version", "key"]], "old_hash", "old_size", "old_kind")
+    same = F.lit(True)
+    for k in [*keys, "version", "key"]:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    found = F.col("new_hash").isNotNull()
+    both = old.join(b, same, "full_outer").select(*[F.when(found, F.col(k)).otherwise(F.col(f"__{k}")).alias(k) for k in [*keys, "version", "key"]], "old_hash", "old_size", "old_kind", "new_hash", "new_size", "new_kind")
     change = (F.when(F.col("old_hash").isNull(), "added").when(F.col("new_hash").isNull(), "deleted").when(F.col("old_hash") != F.col("new_hash"), "modified").otherwise("unchanged"))
     joined = both.withColumn("change", change)
-    joined = joined.join(F.broadcast(last), keys) if keys else joined.crossJoin(F.broadcast(last))  # one row (per dataset)
-    per = joined.filter(F.col("version") <= F.col("__last")).groupBy(*keys, "version").agg(
+    per = joined.groupBy(*keys, "version").agg(
         F.count_if(F.col("change") == "added").alias("added"), F.count_if(F.col("change") == "modified").alias("modified"),
         F.count_if(F.col("change") == "deleted").alias("deleted"), F.count("new_hash").alias("records"), F.coalesce(F.sum("new_size"), F.lit(0)).alias("size"))
     return per

@@ -199,8 +199,7 @@ def _(spark, sf):
     d = docs(spark, sf).select("doc_id", F.to_json(F.struct(
         F.struct("lang", F.col("text").alias("content")).alias("body"),
         F.array(F.struct(F.col("source").alias("name"), F.col("n_chars").alias("n"))).alias("parts"))).alias("json"))
-    schema = "body struct<lang:string,content:string>, parts array<struct<name:string,n:bigint>>"
-    return A.anonymize_json(d, "json", schema)
+    return A.anonymize_json(d, "json")
 
 
 @query("a16_shuffle", """WITH a AS (SELECT c_custkey, c_nationkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY sha256('0|to|'||c_custkey), c_custkey) AS p FROM customer),

@@ -159,7 +159,7 @@ _JSON_LEAVES = """leaves AS (SELECT doc_id, 'body.lang' AS path, lang AS leaf FR
 @query("d09_detect_json", f"WITH RECURSIVE {_JSON_LEAVES}, " + det_ctes("leaves", "doc_id, path", "leaf", CANON)
        + " SELECT doc_id, path, pii_type, pattern, start_pos, end_pos, value FROM det")
 def _(spark, sf):
-    return D.detect_json(doc_json(spark, sf), "json", ["doc_id"], max_depth=3).select(
+    return D.detect_json(doc_json(spark, sf), "json", ["doc_id"]).select(
         "doc_id", "path", "pii_type", "pattern", "start_pos", "end_pos", "value")
 
 

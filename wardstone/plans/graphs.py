@@ -135,13 +135,16 @@ def _(spark, sf):
 
 
 @query("v07_apply_updates", """WITH u AS (SELECT *, o_orderpriority='1-URGENT' AS asked, o_totalprice > 300000 AS stale FROM orders) SELECT o_orderkey, CASE WHEN asked AND NOT stale THEN 'X' ELSE o_orderstatus END AS o_orderstatus,
-   o_orderkey%3+1+CASE WHEN asked AND NOT stale THEN 1 ELSE 0 END AS version, CASE WHEN NOT asked THEN 'kept' WHEN stale THEN 'conflict' ELSE 'updated' END AS outcome FROM u""")
+   o_orderkey%3+1+CASE WHEN asked AND NOT stale THEN 1 ELSE 0 END AS version, CASE WHEN NOT asked THEN 'kept' WHEN stale THEN 'conflict' ELSE 'updated' END AS outcome,
+   (CASE WHEN asked THEN 1 + (o_orderkey%2=0)::INT - (NOT stale)::INT ELSE 0 END)::BIGINT AS conflicts FROM u""")
 def _(spark, sf):
     k = F.col("o_orderkey")
     cur = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", (k % 3 + 1).alias("version"))
     stale = (F.col("o_totalprice") > 300000).cast("int")
-    upd = table(spark, sf, "orders").filter("o_orderpriority = '1-URGENT'").select("o_orderkey", (k % 3 + 1 + stale).alias("expected_version"), F.lit("X").alias("o_orderstatus"))
-    return V.apply_updates(cur, upd, "o_orderkey", "o_orderstatus")
+    upd = table(spark, sf, "orders").filter("o_orderpriority = '1-URGENT'").select("o_orderkey", (k % 3 + 1 + stale).alias("expected_version"), F.lit("X").alias("o_orderstatus"), F.lit(1).alias("at"))
+    # a second update of the same key and expected version comes too late
+    late = upd.filter(k % 2 == 0).withColumns({"o_orderstatus": F.lit("Y"), "at": F.lit(2)})
+    return V.apply_updates(cur, upd.unionByName(late), "o_orderkey", "o_orderstatus", ["at"])
 
 
 @query("v08_blame", """WITH l AS (SELECT user_id, event_id, ts, event_type, props, lag(event_type) OVER w AS pt, lag(props) OVER w AS pp, row_number() OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
@@ -178,7 +181,7 @@ def _tree_sql(max_depth=6):
 @query("v09_tree_hash", _tree_sql())
 def _(spark, sf):
     p = table(spark, sf, "pages").select("url", F.sha2("html", 256).alias("h"))
-    return V.tree_hash(p, "url", "h", 6)
+    return V.tree_hash(p, "url", "h")
 
 
 _FP = f"""WITH {BASE}, r AS (SELECT sha256({_len('o_orderkey')}||'|'||{_len('o_custkey')}||'|'||{_len('o_orderstatus')}||'|'||{_len('p')}) AS h FROM o), g AS (SELECT h, count(*) AS n FROM r GROUP BY h),

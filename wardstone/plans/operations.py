@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 from ..functions import conditions as C, text as T
 from ..operators import access as X, audit as U, detect as D, events as E, throttle
@@ -211,6 +211,13 @@ def chain(spark, sf):
     return U.build_chain(audit_log(spark, sf), "user_id", ["ts", "event_id"], F.to_date("ts"), "event_id", FIELDS, segment_rows=50)
 
 
+def forged_chain(spark, sf):
+    """The chains as someone would rebuild them around a changed first entry."""
+    first = F.min(F.struct("ts", "event_id")).over(W.partitionBy("user_id"))
+    log = audit_log(spark, sf).withColumn("target", F.when(F.struct("ts", "event_id") == first, "forged").otherwise(F.col("target")))
+    return U.build_chain(log, "user_id", ["ts", "event_id"], F.to_date("ts"), "event_id", FIELDS, segment_rows=50)
+
+
 _CHAIN = f"""WITH RECURSIVE {_LOG}, b AS (SELECT user_id, event_id, sequence, {_BODY} AS body FROM lg), c AS (SELECT user_id, event_id, sequence, NULL::VARCHAR AS previous_hash, sha256(body) AS entry_hash FROM b WHERE sequence%50=1
    UNION ALL SELECT b.user_id, b.event_id, b.sequence, c.entry_hash, sha256(b.body||c.entry_hash) FROM c JOIN b ON b.user_id=c.user_id AND b.sequence=c.sequence+1 WHERE c.sequence%50<>0)"""
 
@@ -225,8 +232,10 @@ def _(spark, sf):
     return U.seal_segments(chain(spark, sf), "user_id")
 
 
-@query("u02_verify_chain", """WITH n AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id) SELECT user_id, bad IS NULL AS valid, coalesce(bad-1, n) AS verified, bad AS first_bad, why AS reason FROM (SELECT user_id, n,
-   CASE WHEN user_id%7=1 AND n>=9 THEN 9 WHEN user_id%7=2 AND n>=5 THEN 5 WHEN user_id%7=3 AND n>=12 THEN 12 END AS bad, CASE WHEN user_id%7=1 AND n>=9 THEN 'hash mismatch' WHEN user_id%7=2 AND n>=5 THEN 'sequence gap' WHEN user_id%7=3 AND n>=12 THEN 'hash mismatch' END AS why FROM n)""")
+@query("u02_verify_chain", """WITH n AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id) SELECT user_id, bad IS NULL AS valid, coalesce(bad-1, n)::BIGINT AS verified, bad::BIGINT AS first_bad, why AS reason FROM (SELECT user_id, n,
+   CASE WHEN user_id%7=1 AND n>=9 THEN 9 WHEN user_id%7=2 AND n>=5 THEN 5 WHEN user_id%7=3 AND n>=12 THEN 12 WHEN user_id%7=4 THEN 1 WHEN user_id%7=5 THEN (n-1)//50*50+1 WHEN user_id%7=6 THEN 1 END AS bad,
+   CASE WHEN user_id%7=1 AND n>=9 THEN 'hash mismatch' WHEN user_id%7=2 AND n>=5 THEN 'sequence gap' WHEN user_id%7=3 AND n>=12 THEN 'hash mismatch' WHEN user_id%7=4 THEN 'segment forged'
+     WHEN user_id%7=5 THEN CASE WHEN n%50=1 THEN 'segment missing' ELSE 'segment forged' END WHEN user_id%7=6 THEN 'seals forged' END AS why FROM n)""")
 def _(spark, sf):
     m, s = F.col("user_id") % 7, F.col("sequence")
     c = chain(spark, sf)
@@ -234,8 +243,15 @@ def _(spark, sf):
     # entry 4 removed: the chain stops at 5; entry 11's stored hash replaced: 12 no longer fits
     removed = changed.filter(~((m == 2) & (s == 4))).withColumn("sequence", s)
     linked = removed.withColumn("previous_hash", F.when((m == 3) & (s == 12), "0" * 64).otherwise(F.col("previous_hash")))
-    out = U.verify_chain(linked, "user_id", F.to_date("ts"), "event_id", FIELDS, segment_rows=50)
-    return out
+    # a whole chain rebuilt around a changed entry (4: its seals are not; 6: its seals too), and
+    # the last entry cut off (5)
+    built = forged_chain(spark, sf).filter(m.isin(4, 6))
+    count = F.count("*").over(W.partitionBy("user_id"))  # of a test chain; their lengths are small
+    short = linked.filter(~m.isin(4, 6)).withColumn("__n", count).filter(~((m == 5) & (s == F.col("__n")))).drop("__n")
+    entries = short.unionByName(built.select(*short.columns))
+    seals = U.segment_seals(c, "user_id")
+    kept = seals.filter(m != 6).unionByName(U.segment_seals(built.filter(m == 6), "user_id"))
+    return U.verify_chain(entries, "user_id", "event_id", FIELDS, kept, U.seal_root(seals, "user_id"), segment_rows=50)
 
 
 @query("u03_redact_audit", "SELECT event_id, '[REDACTED]' AS k, left(repeat(event_type,30),100)||(CASE WHEN length(repeat(event_type,30))>100 THEN '...' ELSE '' END) AS agent FROM events")
@@ -524,19 +540,20 @@ def _(spark, sf):
 
 
 @query("stream_d16_route_by_pii", f"""{DOC_DET}, m AS (SELECT doc_id, max(CASE WHEN risk >= 3 AND pii_type NOT IN ('password','api_key') THEN 3 WHEN pii_type IN ('password','api_key') THEN 2 WHEN risk >= 1 THEN 1 ELSE 0 END) AS lvl FROM det GROUP BY doc_id)
-   SELECT doc_id, CASE WHEN lvl IS NULL THEN 'passed' WHEN lvl=3 THEN 'rejected' WHEN lvl=1 THEN 'flagged' END AS route FROM documents LEFT JOIN m USING (doc_id) WHERE lvl IS NULL OR lvl IN (1,3)""")
+   SELECT doc_id, CASE lvl WHEN 3 THEN 'rejected' WHEN 2 THEN 'quarantined' WHEN 1 THEN 'flagged' WHEN 0 THEN 'anonymised' ELSE 'passed' END AS route FROM documents LEFT JOIN m USING (doc_id)""")
 def _(spark, sf):
-    sinks = {r: workspace(spark, f"route-{r}") for r in ("passed", "flagged", "rejected")}
+    sinks = {r: workspace(spark, f"route-{r}") for r in ("passed", "flagged", "rejected", "anonymised")}
+    other = workspace(spark, "route-other")  # quarantined records have no sink of their own
 
     def decide(batch):
         spans = D.with_spans(batch, "text")
         return spans.select("doc_id", D.route(spans, CANON).alias("route"))
 
-    ST.route_stream(ST.read_stream(spark, sf, "documents").select("doc_id", "text"), decide, sinks)
-    out = None
+    ST.route_stream(ST.read_stream(spark, sf, "documents").select("doc_id", "text"), decide, sinks, other)
+    out = spark.read.schema("doc_id bigint, route string").parquet(other).select("doc_id", "route")
     for r, path in sinks.items():
         part = spark.read.schema("doc_id bigint").parquet(path).select("doc_id", F.lit(r).alias("route"))
-        out = part if out is None else out.unionByName(part)
+        out = out.unionByName(part)
     return out
 
 

@@ -486,9 +486,13 @@ def _(spark, sf):
 
 
 @query("m06_corpus_entries", """WITH n AS (SELECT *, lead(role) OVER w AS nr, lead(text) OVER w AS nt FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
-   SELECT conv_id, turn, text AS prompt, CASE WHEN nr='assistant' THEN nt END AS response, CASE WHEN nr='assistant' THEN 'prompt_response' ELSE 'prompt_only' END AS entry_type, coalesce(nr='assistant',false) AS complete FROM n WHERE role='user'""")
+   , g AS (SELECT *, CASE WHEN conv_id%5=0 THEN upper(text) END AS gt FROM n WHERE role='user')
+   SELECT conv_id, turn, text AS prompt, CASE WHEN nr='assistant' THEN nt END AS response, gt AS ground_truth, CASE WHEN gt IS NOT NULL THEN 'ground_truth' WHEN nr='assistant' THEN 'prompt_response' ELSE 'prompt_only' END AS entry_type,
+   coalesce(trim(text)<>'',false) AND (CASE WHEN gt IS NOT NULL THEN trim(gt)<>'' WHEN nr='assistant' THEN coalesce(trim(nt)<>'',false) ELSE true END) AS complete FROM g""")
 def _(spark, sf):
-    return M.corpus_entries(table(spark, sf, "conversations"), "conv_id", "turn", "role", "text")
+    turns = table(spark, sf, "conversations")
+    truth = turns.filter("role = 'user' AND conv_id % 5 = 0").select("conv_id", "turn", F.upper("text").alias("ground_truth"))
+    return M.corpus_entries(turns, "conv_id", "turn", "role", "text", truth)
 
 
 @query("m07_join_annotations", "SELECT doc_id, quality, toxic FROM documents LEFT JOIN labels USING (doc_id) WHERE quality IS NULL OR quality >= 1")

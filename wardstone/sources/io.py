@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions.ordering import along
+from ..functions.ordering import along, join_same
 from ..operators import content as C, detect as D, quality as Q
 from ..operators import privacy as K
 from ..functions import strategies as R
@@ -71,7 +71,7 @@ def ingest_counts(df: DataFrame, column: str, schema: Q.Schema, by: list[str]) -
 def ingest_idempotent(df: DataFrame, keys: list[str], order: list[str], existing: DataFrame | None = None) -> DataFrame:
     """The first record per key that the dataset does not hold yet. ``min_by`` combines before
     the shuffle, so a key with many repeats costs one row per partition."""
-    fresh = df if existing is None else df.join(existing.select(*keys).distinct(), keys, "left_anti")
+    fresh = df if existing is None else join_same(df, existing.select(*keys).distinct(), keys, "left_anti")
     row = F.struct(*[c for c in df.columns if c not in keys])
     first = fresh.groupBy(*keys).agg(F.min_by(row, F.struct(*order)).alias("r"))
     return first.select(*keys, "r.*").select(*df.columns)

@@ -69,14 +69,17 @@ def anonymize_stream(stream: DataFrame, text: str, config: A.Config = A.DEFAULT)
     return A.anonymize(stream, text, config)
 
 
-def route_stream(stream: DataFrame, route_of: Callable[[DataFrame], DataFrame], sinks: dict[str, str]) -> None:
-    """Split each micro-batch over several sinks by its ``route`` column."""
+def route_stream(stream: DataFrame, route_of: Callable[[DataFrame], DataFrame], sinks: dict[str, str], other: str) -> None:
+    """Split each micro-batch over several sinks by its ``route`` column. Records whose route has
+    no sink (or is null) go to ``other``, with their route: none is lost."""
     marks = workspace(stream.sparkSession, "progress")
 
     def put(batch: DataFrame, number: int) -> None:
         routed = route_of(batch).persist()
         for route, path in sinks.items():
             routed.filter(F.col("route") == route).drop("route").write.mode("overwrite").parquet(f"{path}/number={number}")
+        known = F.coalesce(F.col("route").isin(*sinks), F.lit(False))
+        routed.filter(~known).write.mode("overwrite").parquet(f"{other}/number={number}")
         routed.unpersist()
 
     stream.writeStream.option("checkpointLocation", marks).trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
