@@ -123,7 +123,7 @@ def top_k(vectors: DataFrame, k: int = 5, *, every: int = 50, id_col: str = "vec
                 if key is not None and now != key:
                     if key[2] == 0:
                         block = (np.concatenate(ids), np.ascontiguousarray(matrix(held).T))
-                    elif block is not None:
+                    elif block is not None and ids:
                         yield from answer(block, ids, held)
                     block = block if now[:2] == key[:2] else None
                     ids, held = [], []
