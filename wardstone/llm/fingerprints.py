@@ -98,7 +98,8 @@ def within(queries: DataFrame, fps: DataFrame, radius: int = 3, blocks: int = 6)
     for t, chosen in enumerate(tables(blocks, radius)):
         lead = F.lit(0).cast("bigint")
         for shift, width in chosen:
-            lead = F.shiftleft(lead, width).bitwiseOR(F.shiftrightunsigned("fp", shift).bitwiseAND((1 << width) - 1))
+            part = F.shiftrightunsigned("fp", shift)
+            lead = F.shiftleft(lead, width).bitwiseOR(part.bitwiseAND((1 << width) - 1) if width < 64 else part)
         keys.append(F.struct(F.lit(t).alias("table"), lead.alias("lead")))
 
     def dealt(df: DataFrame, name: str) -> DataFrame:
