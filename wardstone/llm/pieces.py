@@ -136,11 +136,11 @@ class Transducer(Stretches):
         out.reverse()
         return out
 
-    def alone(self, text: str) -> tuple[int, ...]:
+    def alone(self, text: str) -> bytes:
         return self.remember(text, self.path)
 
-    def whole(self, text: str) -> list[int]:
-        return [i for part in re.findall(f"{MARK}+[^{MARK}]*", self.normal(text)) for i in self.remember(part, self.path)]
+    def whole(self, text: str) -> np.ndarray:
+        return np.frombuffer(b"".join([self.remember(part, self.path) for part in re.findall(f"{MARK}+[^{MARK}]*", self.normal(text))]), np.uint32)
 
     def odd(self, word: str) -> bool:
         return not word or MARK in word

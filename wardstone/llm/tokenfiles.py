@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from wardstone.llm.bpe import Encoder, with_end
+from wardstone.llm.bpe import with_end, worker_encoder
 from wardstone.llm.store import kept_rows, new_file, open_new, open_old, slices
 
 BLOCK_MAGIC, FILE_MAGIC = b"WTB1", b"WTF1"
@@ -52,8 +52,8 @@ class Models:
     def __init__(self, lanes: int, vocabulary: int):
         self.vocabulary = vocabulary
         self.bits = max(8, min(19, (lanes * STEPS).bit_length() - 1))
-        self.next1, self.sure1 = np.zeros(vocabulary, np.int64), np.zeros(vocabulary, np.int64)
-        self.next2, self.sure2 = np.zeros(1 << self.bits, np.int64), np.zeros(1 << self.bits, np.int64)
+        # the id seen last, times 8, plus a confidence of 0 to 7
+        self.next1, self.next2 = np.zeros(vocabulary, np.int64), np.zeros(1 << self.bits, np.int64)
         self.seen = np.zeros((128, 3), np.int64)
         self.counts = np.zeros(vocabulary, np.int64)
         self.last = np.zeros(lanes, np.int64)
@@ -85,9 +85,9 @@ class Models:
             self._base()
         hashed = ((self.last * 0x2545F491 + self.before * 0x9E3779B1) & 0xFFFFFFFF) * 0x85EBCA6B
         self.slot = ((hashed >> 11) ^ hashed) & ((1 << self.bits) - 1)
-        self.guess2, self.guess1 = self.next2[self.slot], self.next1[self.last]
-        agree = self.guess2 == self.guess1
-        self.cell = (self.sure2[self.slot] * 8 + self.sure1[self.last]) * 2 + agree
+        self.entry2, self.entry1 = self.next2[self.slot], self.next1[self.last]
+        self.guess2, self.guess1 = self.entry2 >> 3, self.entry1 >> 3
+        self.cell = ((self.entry2 & 7) * 8 + (self.entry1 & 7)) * 2 + (self.guess2 == self.guess1)
         free = (1 << TOTAL_BITS) - (1 << BASE_BITS)
         n = self.seen
         total = n.sum(1) * 2 + 4
@@ -102,11 +102,10 @@ class Models:
         hit2, hit1 = self.guess2[live] == ids, self.guess1[live] == ids
         outcome = np.where(hit2, 0, np.where(hit1, 1, 2))
         self.seen += np.bincount(self.cell[live] * 3 + outcome, minlength=384).reshape(128, 3)
-        for nexts, sure, at, hit in ((self.next2, self.sure2, slot, hit2), (self.next1, self.sure1, last, hit1)):
-            now = sure[at]
-            kept = hit | (now > 1)
-            nexts[at] = np.where(kept, nexts[at], ids)
-            sure[at] = np.where(hit, np.minimum(now + 1, 7), np.where(kept, now >> 1, 1))
+        fresh = ids * 8 + 1
+        for nexts, at, entry, hit in ((self.next2, slot, self.entry2[live], hit2), (self.next1, last, self.entry1[live], hit1)):
+            sure = entry & 7
+            nexts[at] = np.where(hit, entry + (sure < 7), np.where(sure > 1, entry - sure + (sure >> 1), fresh))
         self.counts += np.bincount(ids, minlength=self.vocabulary)
         self.before, self.last = self.last, self.last.copy()
         self.last[live] = ids
@@ -327,7 +326,7 @@ def write_tokens(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_c
         for batch in batches:
             for piece in slices(batch, "text"):
                 if writer is None:
-                    encoder, path = Encoder(tokenizer), new_file(folder, part, ".wtb")
+                    encoder, path = worker_encoder(tokenizer), new_file(folder, part, ".wtb")
                     writer = Writer(open_new(path))
                 ids, counts = with_end(*encoder.encode(piece.column("text")), end)
                 writer.add(piece.column("doc_id").to_pylist(), ids, counts)
