@@ -143,3 +143,27 @@ def test_records_without_a_sink_go_to_the_other(spark, tmp_path):
     sinks, other = {"a": workspace(spark, "route-a")}, workspace(spark, "route-other")
     ST.route_stream(stream, lambda b: b.select("id", F.col("r").alias("route")), sinks, other)
     assert spark.read.schema("id int").parquet(sinks["a"]).count() == 1 and spark.read.schema("id int, route string").parquet(other).count() == 2
+
+
+def test_files_that_cannot_be_read_are_reported(spark, tmp_path):
+    (tmp_path / "good.txt").write_text("mail a@b.org")
+    (tmp_path / "bad.txt").write_bytes(b"\xff\xfe mail c@d.org")
+    (tmp_path / "large.txt").write_text("x" * (1 << 21))
+    report = {r.path.rsplit("/", 1)[-1]: (r.scanned, r.hits, r.error) for r in IO.file_report(spark, str(tmp_path), max_mb=1).collect()}
+    assert report == {"good.txt": (True, 1, None), "bad.txt": (True, 1, "not UTF-8"), "large.txt": (False, 0, "too large")}
+    assert IO.scan_files(spark, str(tmp_path), max_mb=1).count() == 2
+
+
+def test_store_returns_what_it_adds(spark):
+    path = workspace(spark, "store")
+    put = lambda *texts: sorted(r.payload for r in IO.put_content(spark.createDataFrame([(t,) for t in texts], "t string"), "t", path).collect())
+    assert put("a", "b") == ["a", "b"] and put("b", "c", "c") == ["c"]
+
+
+def test_sanitising_cuts_nothing_unasked(spark):
+    from dataclasses import replace
+
+    from wardstone.functions import text as X
+
+    row = spark.createDataFrame([("y " * 20_000,)], "t string").select(F.length(X.sanitize(F.col("t"))).alias("n"), F.length(X.sanitize(F.col("t"), replace(X.STRICT, max_length=50))).alias("m")).first()
+    assert (row.n, row.m) == (39_999, 50)

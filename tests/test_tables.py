@@ -149,25 +149,59 @@ def test_linear_history_and_merge_base(spark):
 
 
 def graph(spark):
-    nodes = spark.createDataFrame([("source1", "source"), ("dataset1", "dataset"), ("dataset2", "dataset"), ("model1", "model"), ("output1", "output")], "node string, type string")
-    edges = spark.createDataFrame([("source1", "dataset1"), ("dataset1", "dataset2"), ("dataset2", "model1"), ("model1", "output1")], "source string, target string")
-    return nodes, edges
+    """Two components: a mill whose grain splits and meets again in the dough, and a lone pair."""
+    kinds = {"field": "source", "grain": "dataset", "flour": "dataset", "bran": "dataset", "dough": "model", "bread": "output", "crumbs": "output", "river": "source", "ice": "output"}
+    nodes = spark.createDataFrame(list(kinds.items()), "node string, type string")
+    flows = [("field", "grain"), ("grain", "flour"), ("grain", "bran"), ("flour", "dough"), ("bran", "dough"), ("dough", "bread"), ("bread", "crumbs"), ("river", "ice")]
+    return nodes, spark.createDataFrame(flows, "source string, target string")
 
 
-def test_lineage_fixture(spark):
+def test_lineage_of_a_mill(spark):
     nodes, edges = graph(spark)
-    start = spark.createDataFrame([("dataset1",)], "node string")
-    r = L.impact_analysis(nodes, edges, start).first()
-    assert (r.affected, r.datasets, r.models, r.outputs) == (3, 1, 1, 1)
-    assert L.closure(edges, spark.createDataFrame([("model1",)], "node string"), "up").count() == 3
-    paths = L.find_paths(edges, spark.createDataFrame([("source1", "output1")], "source string, target string"), 6).collect()
-    assert [p.path for p in paths] == [["source1", "dataset1", "dataset2", "model1", "output1"]]
-    new = spark.createDataFrame([("output1", "source1"), ("source1", "output1"), ("x", "model1")], "source string, target string")
-    verdict = {(r.source, r.target): r.reason for r in L.admit_edges(nodes, edges, new).collect()}
-    # the proposed source1 -> output1 and output1 -> source1 close a cycle with each other
-    assert verdict == {("output1", "source1"): "cycle", ("source1", "output1"): "cycle", ("x", "model1"): "unknown_node"}
-    kept_nodes, kept_edges = L.remove_node(nodes, edges, start)
-    assert kept_nodes.count() == 4 and kept_edges.count() == 2
+    start = spark.createDataFrame([("grain",), ("river",)], "node string")
+    rows = {r.start: (r.affected, r.max_depth, r.datasets, r.models, r.outputs) for r in L.impact_analysis(nodes, edges, start).collect()}
+    assert rows == {"grain": (5, 4, 2, 1, 2), "river": (1, 1, 0, 0, 1)}
+    assert {r.node for r in L.closure(edges, spark.createDataFrame([("dough",)], "node string"), "up").collect()} == {"flour", "bran", "grain", "field"}
+    pairs = spark.createDataFrame([("field", "bread"), ("river", "bread")], "source string, target string")
+    paths = sorted(p.path for p in L.find_paths(edges, pairs, 6).collect())
+    assert paths == [["field", "grain", "bran", "dough", "bread"], ["field", "grain", "flour", "dough", "bread"]]
+    kept_nodes, kept_edges = L.remove_node(nodes, edges, spark.createDataFrame([("dough",)], "node string"))
+    assert kept_nodes.count() == 8 and kept_edges.count() == 5
+
+
+def verdicts(spark, edges, proposals):
+    names = {x for e in [*edges, *proposals] for x in e[:2]} - {"?"}
+    nodes = spark.createDataFrame([(n,) for n in sorted(names)], "node string")
+    new = spark.createDataFrame([(*e, k) for k, e in enumerate(proposals)], "source string, target string, at int")
+    got = L.admit_edges(nodes, spark.createDataFrame(edges, "source string, target string"), new, "at")
+    return [r.reason for r in got.orderBy("at").collect()]
+
+
+def test_edges_are_admitted_in_order(spark):
+    assert verdicts(spark, [("a", "b")], [("b", "c"), ("c", "a")]) == [None, "cycle"]
+    assert verdicts(spark, [("a", "b")], [("c", "a"), ("b", "c")]) == [None, "cycle"]
+    assert verdicts(spark, [("a", "b")], [("a", "a"), ("a", "?"), ("b", "a"), ("a", "c")]) == ["cycle", "unknown_node", "cycle", None]
+
+
+def test_admission_equals_one_by_one(spark):
+    import random
+
+    rng = random.Random(11)
+    for _ in range(2):
+        old, proposals = [(f"n{a}", f"n{a + 1 + rng.randrange(3)}") for a in range(5)], list(dict.fromkeys((f"n{rng.randrange(9)}", f"n{rng.randrange(9)}") for _ in range(14)))
+        proposals = [e for e in proposals if e not in old]
+        taken, want = set(old), []
+        for a, b in proposals:
+            seen, todo = {b}, [b]
+            while todo:
+                x = todo.pop()
+                new = {t for s, t in taken if s == x} - seen
+                seen |= new
+                todo += new
+            want.append("cycle" if a in seen else None)
+            if a not in seen:
+                taken.add((a, b))
+        assert verdicts(spark, old, proposals) == want
 
 
 # ------------------------------------------------------------------ access, audit

@@ -41,7 +41,8 @@ class SanitizeRules:
     allowed: str | None = None
 
 
-STRICT = SanitizeRules(strip_nulls=True, strip_tags=True, collapse_space=True, trim=True, max_length=10000)
+#: Presets cut nothing; a caller who wants a length limit says so (``replace(STRICT, max_length=...)``).
+STRICT = SanitizeRules(strip_nulls=True, strip_tags=True, collapse_space=True, trim=True)
 MINIMAL = SanitizeRules(strip_nulls=True, trim=True)
 
 

@@ -12,7 +12,7 @@ DISPOSABLE_DOMAINS = [
     "mailinator.com", "10minutemail.com", "yopmail.com",
 ]
 PLACEHOLDER_SSNS = ["123456789"] + [str(d) * 9 for d in range(1, 10)]
-THROWAWAY_DOMAINS = DISPOSABLE_DOMAINS[:3]
+THROWAWAY_DOMAINS = ["tempmail.com", "throwaway.email", "guerrillamail.com"]
 PRIVATE_IPV4_SHORT = r"^(10\.|192\.168\.|127\.|172\.1[67]\.)"
 PRIVATE_IPV4 = r"^(10\.|192\.168\.|127\.|172\.(1[6-9]|2[0-9]|3[01])\.)"
 

@@ -97,20 +97,44 @@ def cyclic_core(edges: DataFrame) -> DataFrame:
     return left
 
 
-def admit_edges(nodes: DataFrame, edges: DataFrame, new_edges: DataFrame) -> DataFrame:
-    """Verdict per new edge: unknown endpoint, self loop, or a cycle (its target already reaches
-    its source over old or admissible new edges). Only edges inside the cyclic core need the
-    reachability test, and it stays inside the core."""
+def admit_edges(nodes: DataFrame, edges: DataFrame, new_edges: DataFrame, order: str | None = None) -> DataFrame:
+    """Verdict per new edge in proposal order (column ``order``; else by source and target): an
+    unknown endpoint, or a cycle, which is a self loop or a target that already reaches its source
+    over old edges and those accepted before.
+
+    Only edges inside the cyclic core need the reachability test. They settle in rounds: what old
+    and accepted edges close is refused; what all open edges together cannot close is accepted; of
+    the rest, the first proposal of each group of nodes that reach one another is accepted. Groups
+    settle side by side, so the rounds are at most the proposals of the largest group."""
     known = nodes.select("node").distinct()
     n = new_edges.join(known.select(F.col("node").alias("source"), F.lit(True).alias("__s")), "source", "left").join(
         known.select(F.col("node").alias("target"), F.lit(True).alias("__t")), "target", "left")
     checked = cut(n.withColumn("__bad", F.col("__s").isNull() | F.col("__t").isNull()).drop("__s", "__t"))
-    valid = checked.filter(~F.col("__bad")).select("source", "target")
-    core = cyclic_core(edges.select("source", "target").unionByName(valid))
-    suspects = valid.join(core, ["source", "target"], "left_semi")
-    back = closure(core, suspects.select(F.col("target").alias("node")).distinct())
-    closing = suspects.join(back.select(F.col("start").alias("target"), F.col("node").alias("source")), ["source", "target"], "left_semi")
-    loops = closing.unionByName(suspects.filter("source = target")).distinct().withColumn("__cycle", F.lit(True))
+    at = F.struct(*([F.col(order)] if order else []), F.col("source"), F.col("target"))
+    valid = checked.filter(~F.col("__bad")).groupBy("source", "target").agg(F.min(at).alias("__at"))
+    base = edges.select("source", "target").distinct()
+    core = cyclic_core(base.unionByName(valid.select("source", "target")))
+    refused = valid.filter("source = target").select("source", "target")
+    open_ = cut(valid.filter("source <> target").join(core, ["source", "target"], "left_semi").join(base, ["source", "target"], "left_anti"))
+    taken = cut(base.join(core, ["source", "target"], "left_semi"))
+    while not open_.isEmpty():
+        starts = open_.select(F.col("target").alias("node")).distinct()
+        back = closure(taken, starts).select(F.col("start").alias("target"), F.col("node").alias("source"))
+        closed = cut(open_.join(back, ["source", "target"], "left_semi"))
+        refused = refused.unionByName(closed.select("source", "target"))
+        left = cut(open_.join(closed.select("source", "target"), ["source", "target"], "left_anti"))
+        whole = taken.unionByName(left.select("source", "target"))
+        reach = cut(closure(whole, left.select(F.col("target").alias("node")).unionByName(left.select(F.col("source").alias("node"))).distinct()))
+        both = reach.alias("a").join(reach.alias("b"), (F.col("a.start") == F.col("b.node")) & (F.col("a.node") == F.col("b.start")))
+        group = both.groupBy(F.col("a.start").alias("source")).agg(F.min("b.start").alias("__other"))
+        group = group.select("source", F.least("source", "__other").alias("__group"))
+        tied = left.join(reach.select(F.col("start").alias("target"), F.col("node").alias("source")), ["source", "target"], "left_semi").join(group, "source")
+        first = tied.groupBy("__group").agg(F.min(F.struct("__at", "source", "target")).alias("x")).select("x.source", "x.target")
+        free = left.join(tied.select("source", "target"), ["source", "target"], "left_anti").select("source", "target")
+        now = cut(free.unionByName(first))
+        taken = cut(taken.unionByName(now))
+        open_ = cut(left.join(now, ["source", "target"], "left_anti"))
+    loops = refused.distinct().withColumn("__cycle", F.lit(True))
     reason = F.when(F.col("__bad"), "unknown_node").when(F.col("__cycle"), "cycle")
     return checked.join(loops, ["source", "target"], "left").select(*new_edges.columns, reason.isNull().alias("accepted"), reason.alias("reason"))
 

@@ -50,6 +50,10 @@ def constraint_errors(field: Field, text: Column, number: Column) -> list[Column
     return out
 
 
+#: RFC 3339: a time without an offset names no instant.
+OFFSET_TIME = r"^[0-9-]+[Tt ][0-9:.]+([Zz]|[+-][0-9]{2}:[0-9]{2})$"
+
+
 def _kind_ok(field: Field, kind: Column, node: Column) -> Column:
     text = F.try_variant_get(node, "$", "string")
     number = kind.startswith("DECIMAL") | kind.isin("BIGINT", "DOUBLE", "FLOAT")
@@ -61,7 +65,7 @@ def _kind_ok(field: Field, kind: Column, node: Column) -> Column:
     return {
         "string": kind == "STRING", "binary": kind == "STRING", "integer": kind == "BIGINT", "float": number,
         "boolean": kind == "BOOLEAN", "json": kind.startswith("OBJECT"), "struct": kind.startswith("OBJECT"),
-        "timestamp": (kind == "STRING") & text.rlike("T") & F.try_to_timestamp(text).isNotNull(),
+        "timestamp": (kind == "STRING") & text.rlike(OFFSET_TIME) & F.try_to_timestamp(text).isNotNull(),
         "date": (kind == "STRING") & text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$") & text.try_cast("date").isNotNull(),
         "enum": (kind == "STRING") & text.isin([str(x) for x in field.one_of or ()]),
     }[base]

@@ -88,9 +88,10 @@ def top_k(df: DataFrame, key: str, k: int) -> DataFrame:
     return counts.orderBy(F.desc("n"), key).limit(k)
 
 
-def page(df: DataFrame, order: list, number: int = 1, size: int = 20) -> DataFrame:
-    """A page of a sorted table plus page facts (size 1..100, 0 means 20; page 0 means 1)."""
-    number, size = max(number, 1), min(size or 20, 100)
+def page(df: DataFrame, order: list, number: int = 1, size: int = 20, largest: int = 100) -> DataFrame:
+    """A page of a sorted table plus page facts (size 0 means 20; page 0 means 1). No page is
+    larger than ``largest``: a larger size gives pages of that many rows, and says so."""
+    number, size = max(number, 1), min(size or 20, largest)
     rows = df.orderBy(*order).offset((number - 1) * size).limit(size)
     total = df.agg(F.count("*").alias("total_items"))
     pages = F.ceil(F.col("total_items") / size)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from ..functions import conditions as X, text as T
@@ -78,6 +80,15 @@ def _(spark, sf):
     return hits.groupBy(F.regexp_extract("path", "source=([^/]*)", 1).alias("source"), "pii_type").agg(F.count("*").alias("hits"))
 
 
+@query("s05_file_report", f"""{DOC_DET}, c AS (SELECT source, count(*) AS hits FROM det JOIN documents USING (doc_id) GROUP BY source)
+   SELECT source, true AS scanned, coalesce(hits,0) AS hits, 0 AS errors FROM (SELECT DISTINCT source FROM documents) LEFT JOIN c USING (source)""")
+def _(spark, sf):
+    path = workspace(spark, "files")
+    docs(spark, sf).select("source", F.col("text").alias("value")).write.partitionBy("source").text(path)
+    report = S.file_report(spark, path, include="*.txt")
+    return report.groupBy(F.regexp_extract("path", "source=([^/]*)", 1).alias("source")).agg(F.bool_and("scanned").alias("scanned"), F.sum("hits").alias("hits"), F.count("error").cast("int").alias("errors"))
+
+
 @query("s06_export", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus='F' AND o_totalprice > 100000")
 def _(spark, sf):
     path = workspace(spark, "export")
@@ -89,8 +100,9 @@ def _(spark, sf):
 def _(spark, sf):
     d = docs(spark, sf)
     path = workspace(spark, "store")
-    S.put_content(d.filter("lang <> 'en'"), "text", path)
-    return S.put_content(d, "text", path).select("hash", "shard", F.length("payload").alias("n"))
+    first = S.put_content(d.filter("lang <> 'en'"), "text", path)
+    # what the second call adds is what the first has not stored
+    return first.unionByName(S.put_content(d, "text", path)).select("hash", "shard", F.length("payload").alias("n"))
 
 
 @query("s08_write_audit", "SELECT strftime(ts,'%Y-%m') AS month, event_type, count(*) AS n FROM events WHERE strftime(ts,'%Y-%m') BETWEEN '2024-01' AND '2024-01' GROUP BY ALL")
@@ -229,10 +241,10 @@ def _(spark, sf):
     return table(spark, sf, "pages").select("page_id", T.normalize_path(F.col("url")).alias("path"))
 
 
-@query("p12_sanitize_text", "SELECT page_id, left(trim(regexp_replace(regexp_replace(replace(html,chr(0),''),'<[^>]*>','','g'),'\\s+',' ','g')),10000) AS clean, array_to_string(regexp_extract_all(lower(html),'[a-z ]+'),'') AS letters FROM pages")
+@query("p12_sanitize_text", "SELECT page_id, trim(regexp_replace(regexp_replace(replace(html,chr(0),''),'<[^>]*>','','g'),'\\s+',' ','g')) AS clean, left(trim(regexp_replace(regexp_replace(replace(html,chr(0),''),'<[^>]*>','','g'),'\\s+',' ','g')),10000) AS limited, array_to_string(regexp_extract_all(lower(html),'[a-z ]+'),'') AS letters FROM pages")
 def _(spark, sf):
     letters = T.SanitizeRules(lower=True, allowed="[a-z ]+")
-    return spread(table(spark, sf, "pages")).select("page_id", T.sanitize(F.col("html")).alias("clean"), T.sanitize(F.col("html"), letters).alias("letters"))
+    return spread(table(spark, sf, "pages")).select("page_id", T.sanitize(F.col("html")).alias("clean"), T.sanitize(F.col("html"), replace(T.STRICT, max_length=10_000)).alias("limited"), T.sanitize(F.col("html"), letters).alias("letters"))
 
 
 def _any_sql(col, pats):

@@ -12,6 +12,7 @@ from ..operators import content as C, detect as D, quality as Q
 from ..operators import privacy as K
 from ..functions import strategies as R
 from ..functions.spans import lookup
+from ..session import cut
 
 FORMATS = {"json": "json", "jsonl": "json", "csv": "csv", "parquet": "parquet", "orc": "orc", "avro": "avro",
            "text": "text", "binary": "binaryFile"}
@@ -77,17 +78,32 @@ def ingest_idempotent(df: DataFrame, keys: list[str], order: list[str], existing
     return first.select(*keys, "r.*").select(*df.columns)
 
 
-def scan_files(spark: SparkSession, path: str, include: str = "*", exclude: str | None = None, max_mb: int = 10,
-               config: D.DetectConfig = D.DetectConfig()) -> DataFrame:
-    """Detections in files below a folder, by name globs and size cap. The cap is applied to
-    the listing, before contents are read."""
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", include).load(path)
-             .filter(F.col("length") <= max_mb * 1024 * 1024))
+def _listed(spark: SparkSession, path: str, include: str, exclude: str | None) -> DataFrame:
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", include).load(path)
     if exclude:
         name = F.substring_index("path", "/", -1)
         files = files.filter(~name.rlike(fnmatch.translate(exclude).replace(r"\Z", "$").replace("(?s:", "(?:")))
-    texts = files.select("path", F.decode("content", "UTF-8").alias("text"))
-    return D.detect(texts, "text", ["path"], config)
+    return files
+
+
+def scan_files(spark: SparkSession, path: str, include: str = "*", exclude: str | None = None, max_mb: int = 10,
+               config: D.DetectConfig = D.DetectConfig()) -> DataFrame:
+    """Detections in files below a folder, by name globs and size cap. The cap is applied to
+    the listing, before contents are read; ``file_report`` lists what it leaves out. Bytes that
+    are no UTF-8 become U+FFFD."""
+    files = _listed(spark, path, include, exclude).filter(F.col("length") <= max_mb * 1024 * 1024)
+    return D.detect(files.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text")), "text", ["path"], config)
+
+
+def file_report(spark: SparkSession, path: str, include: str = "*", exclude: str | None = None, max_mb: int = 10,
+                config: D.DetectConfig = D.DetectConfig()) -> DataFrame:
+    """One row per file: path, length, scanned, hits, error ("too large", "not UTF-8" or null)."""
+    small = F.col("length") <= max_mb * 1024 * 1024
+    files = _listed(spark, path, include, exclude)
+    read = files.filter(small).select("path", "length", F.is_valid_utf8(F.col("content").cast("string")).alias("valid"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
+    hits = D.with_spans(read, "text", config).select("path", "length", F.lit(True).alias("scanned"), F.size("spans").cast("bigint").alias("hits"), F.when(~F.col("valid"), "not UTF-8").alias("error"))
+    large = files.filter(~small).select("path", "length", F.lit(False).alias("scanned"), F.lit(0).cast("bigint").alias("hits"), F.lit("too large").alias("error"))
+    return hits.unionByName(large)
 
 
 def export(df: DataFrame, path: str, fields: list[str], where: str | Column, order: list, fmt: str = "parquet", compression: str = "none") -> None:
@@ -107,8 +123,9 @@ def put_content(df: DataFrame, payload: str, store_path: str) -> DataFrame:
     # ranges of the hash are even, touch few folders each and give files narrow hash bounds; a
     # folder is one digit wide, the four-character shard is a column
     folders = fresh.withColumn("folder", F.substring("hash", 1, 1)).repartitionByRange("hash").sortWithinPartitions("hash")
-    folders.write.mode("append").partitionBy("folder").parquet(store_path)
-    return spark.read.parquet(store_path).drop("folder")
+    added = cut(folders)  # what is new must not be asked again once it is stored
+    added.write.mode("append").partitionBy("folder").parquet(store_path)
+    return added.drop("folder")
 
 
 def write_audit(df: DataFrame, path: str, time_col: str, mode: str = "append") -> None:

@@ -97,7 +97,7 @@ def rate_counters(stream: DataFrame, key: str, width: str = "1 hour") -> DataFra
 
 
 def usage(stream: DataFrame, key: str) -> DataFrame:
-    return stream.groupBy(key).agg(F.max("ts").alias("last_used"), F.count("*").alias("requests"))
+    return event_time(stream).groupBy(key).agg(F.max("ts").alias("last_used"), F.count("*").alias("requests"))
 
 
 def first_seen(stream: DataFrame, keys: list[str]) -> DataFrame:
@@ -125,8 +125,8 @@ def token_bucket_stream(stream: DataFrame, key: str, rate: int, burst: int) -> D
         out = []
         for ts, event in zip(rows["ts_us"], rows["event_id"]):
             ts = int(ts)
-            level, ok = refill(level, 0 if before is None else (ts - before) * rate, cap)
-            before = ts
+            level, ok = refill(level, 0 if before is None else max(0, ts - before) * rate, cap)
+            before = ts if before is None else max(before, ts)  # a late request gains nothing
             out.append((name[0], int(event), ok, level // TOKEN))
         state.update((level, before))
         yield pd.DataFrame(out, columns=["key", "event_id", "allowed", "remaining"])
