@@ -338,4 +338,5 @@ def test_scan_files(spark, tmp_path):
 def test_content_store_adds_only_new_payloads(spark, tmp_path):
     df = spark.createDataFrame([("a",), ("b",), ("a",)], "t string")
     assert S.put_content(df, "t", str(tmp_path / "store")).count() == 2
-    assert S.put_content(df.unionAll(spark.createDataFrame([("c",)], "t string")), "t", str(tmp_path / "store")).count() == 3
+    assert S.put_content(df.unionAll(spark.createDataFrame([("c",)], "t string")), "t", str(tmp_path / "store")).count() == 1
+    assert spark.read.parquet(str(tmp_path / "store")).count() == 3
