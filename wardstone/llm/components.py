@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from wardstone.llm.store import kept_rows
 
+#: Parts into which the neighbours of a node are cut when its minimum comes back to them.
+SALTS = 16
+
 
 def local_roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(node, smallest node it is linked with) for the nodes of some edges, without the roots."""
@@ -56,7 +59,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round links the larger neighbours of every node, then the smaller ones, to its smallest
     neighbour (large-star and small-star); stars are the fixed point. A round groups by minima and
-    joins them back, so a node with very many neighbours is never gathered in one place."""
+    joins them back to salted neighbours, so a node with very many of them is never gathered in
+    one place."""
     now = kept_rows(contract(edges.filter("a <> b")).distinct())
     state = None
     while True:
@@ -65,8 +69,9 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         state = new_state
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select("b", "a"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        larger = both.filter("v > u").withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+        large = larger.join(least, ["u", "salt"]).select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         lower = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(lower, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = kept_rows(small.union(lower.select("a", "m")).distinct())
