@@ -21,7 +21,9 @@ from tokenizers import Tokenizer
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Words of either generation that a worker keeps (about 200 bytes each).
-CACHE = 500_000
+CACHE = 200_000
+#: Bytes of text encoded at a time; words are looked up once for each.
+SLICE = 4 << 20
 
 
 def byte_letters() -> dict[int, str]:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from wardstone.llm.bpe import with_end, worker_encoder
+from wardstone.llm.bpe import SLICE, with_end, worker_encoder
 from wardstone.llm.store import kept, slices
 
 PIECES = "doc_id bigint, start bigint, length bigint, ids binary, ids_crc32 bigint, doc_tokens bigint, part int, nth bigint"
@@ -76,7 +76,7 @@ def cut(docs: DataFrame, size: int, *, id_col: str = "doc_id", text_col: str = "
     def work(batches):
         part, encoder, seen = TaskContext.get().partitionId(), None, np.zeros(size + 1, np.int64)
         for batch in batches:
-            for rows in slices(batch, "text"):
+            for rows in slices(batch, "text", SLICE):
                 encoder = encoder or worker_encoder(tokenizer)
                 ids, counts = with_end(*encoder.encode(rows.column("text")), end)
                 raw = memoryview(ids.astype("<u4").tobytes())

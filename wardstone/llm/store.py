@@ -69,3 +69,5 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator
         stop = max(start + 1, int(np.searchsorted(ends, done + limit, "right")))
         yield batch.slice(start, stop - start)
         start = stop
+    # what this batch needed must not add up in workers that live on
+    pa.default_memory_pool().release_unused()

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from wardstone.llm.bpe import with_end, worker_encoder
+from wardstone.llm.bpe import SLICE, with_end, worker_encoder
 from wardstone.llm.store import kept_rows, new_file, open_new, open_old, slices
 
 BLOCK_MAGIC, FILE_MAGIC = b"WTB1", b"WTF1"
@@ -56,6 +56,7 @@ class Models:
         self.next1, self.next2 = np.zeros(vocabulary, np.int64), np.zeros(1 << self.bits, np.int64)
         self.seen = np.zeros((128, 3), np.int64)
         self.counts = np.zeros(vocabulary, np.int64)
+        self.uncounted: list[np.ndarray] = []
         self.last = np.zeros(lanes, np.int64)
         self.before = np.zeros(lanes, np.int64)
         self.step = 0
@@ -63,6 +64,9 @@ class Models:
 
     def _base(self):
         """Order-0 shares: at least 1 each, 2^BASE_BITS together."""
+        if self.uncounted:
+            self.counts += np.bincount(np.concatenate(self.uncounted), minlength=self.vocabulary)
+            self.uncounted = []
         spare = (1 << BASE_BITS) - self.vocabulary
         total = int(self.counts.sum())
         shares = np.ones(self.vocabulary, np.int64)
@@ -106,7 +110,7 @@ class Models:
         for nexts, at, entry, hit in ((self.next2, slot, self.entry2[live], hit2), (self.next1, last, self.entry1[live], hit1)):
             sure = entry & 7
             nexts[at] = np.where(hit, entry + (sure < 7), np.where(sure > 1, entry - sure + (sure >> 1), fresh))
-        self.counts += np.bincount(ids, minlength=self.vocabulary)
+        self.uncounted.append(ids)
         self.before, self.last = self.last, self.last.copy()
         self.last[live] = ids
         self.step += 1
@@ -324,7 +328,7 @@ def write_tokens(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_c
     def work(batches):
         part, writer = TaskContext.get().partitionId(), None
         for batch in batches:
-            for piece in slices(batch, "text"):
+            for piece in slices(batch, "text", SLICE):
                 if writer is None:
                     encoder, path = worker_encoder(tokenizer), new_file(folder, part, ".wtb")
                     writer = Writer(open_new(path))
