@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -58,6 +59,15 @@ def open_old(path: str):
     return fs.open_input_file(inner)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers live on after a task, and what earlier ones
+    needed counts against the executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that a slice holds about `limit` bytes of a text column (one row at least)."""
     if not batch.num_rows:
@@ -69,5 +79,4 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator
         stop = max(start + 1, int(np.searchsorted(ends, done + limit, "right")))
         yield batch.slice(start, stop - start)
         start = stop
-    # what this batch needed must not add up in workers that live on
-    pa.default_memory_pool().release_unused()
+    give_back()
