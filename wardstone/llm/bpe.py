@@ -75,6 +75,10 @@ class Stretches:
             found = self.words[word] = self.older.get(word) or packed(ids(word))
         return found
 
+    def forget(self):
+        """Drop the older generation: a worker keeps no more between tasks than it must."""
+        self.older = {}
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids (uint32) and the number of ids of each text; a null text is an empty one."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from wardstone.llm.bpe import SLICE, with_end, worker_encoder
-from wardstone.llm.store import kept, slices
+from wardstone.llm.store import give_back, kept, slices
 
 PIECES = "doc_id bigint, start bigint, length bigint, ids binary, ids_crc32 bigint, doc_tokens bigint, part int, nth bigint"
 #: Ranks below 2^RANK_BITS, lengths above them: one sorted key for both.
@@ -98,6 +98,9 @@ def cut(docs: DataFrame, size: int, *, id_col: str = "doc_id", text_col: str = "
                     [rows.column("doc_id").take(pa.array(of)).cast(pa.int64()), pa.array(start), pa.array(length), pa.array([bytes(p) for p in parts], pa.binary()),
                      pa.array([zlib.crc32(p) for p in parts], pa.int64()), pa.array(counts[of]), pa.array(np.full(len(of), part, np.int32)), pa.array(nth)],
                     names=["doc_id", "start", "length", "ids", "ids_crc32", "doc_tokens", "part", "nth"])
+        if encoder is not None:
+            encoder.forget()
+            give_back()
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(work, PIECES)
 
