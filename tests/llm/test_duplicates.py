@@ -5,7 +5,7 @@ import random
 
 import numpy as np
 import pytest
-from brute import levenshtein, near_components, without_repeated_lines
+from brute import levenshtein, near_components, without_like_lines, without_repeated_lines
 
 from wardstone.llm import components, fingerprints, linededup, neardedup
 from wardstone.llm.queries import QUERIES
@@ -138,6 +138,50 @@ def test_fuzzy_lines(spark, crowd):
     assert got == without_repeated_lines(rows)
 
 
+def test_segments_lose_no_short_pair():
+    rng = random.Random(11)
+    for _ in range(3000):
+        a = "".join(rng.choice("abc ") for _ in range(rng.randrange(5, 25)))
+        b = list(a)
+        for _ in range(rng.randrange(1, 6)):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randrange(2)] = rng.choice(["", "a", "c", "d"])
+        a, b = sorted((a, "".join(b)), key=len)
+        if a != b and len(b) <= linededup.SHORT and linededup.alike(a, b, 0.8):
+            assert set(linededup.segment_keys(a, 0.8)[0]) & set(linededup.segment_keys(b, 0.8)[1]), (a, b)
+
+
+def test_lines_with_one_changed_word(spark):
+    """Lines of 1 to 40 words and a copy of each: a word of 10 changed beyond 4 bits of a SimHash,
+    a letter of a short line, a word left out."""
+    rng = random.Random(21)
+
+    def word():
+        return "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(4, 9)))
+
+    rows = []
+    for k, n in enumerate([1, 1, 2, 2, 3, 3, 8, 10, 10, 12, 12, 15, 15, 20, 20, 30, 40] * 3):
+        words = [word() for _ in range(n)]
+        copy, at = words.copy(), rng.randrange(n)
+        if n < 4:
+            copy[at] = copy[at][:-1] + "0"
+        elif k % 3:
+            copy[at] = word()
+        else:
+            del copy[at]
+        rows += [(k, " ".join(words)), (1000 + k, " ".join(copy))]
+    want = without_like_lines(rows)
+    assert sum(not t for t in want.values()) > 45
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == want
+
+
+def test_lines_of_the_smallest_scale(spark, docs_001):
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(spark.read.parquet(f"{SF}/documents.parquet")).collect()}
+    want = without_like_lines(docs_001)
+    assert {d for d, t in got.items() if t != want[d]} == set()
+
+
 def test_line_dedup_of_odd_rows(spark, odd_docs):
     got = linededup.dedup_lines(odd_docs)
     texts = sorted(((r.doc_id, r.text) for r in got.collect()), key=str)
