@@ -167,3 +167,21 @@ def test_sanitising_cuts_nothing_unasked(spark):
 
     row = spark.createDataFrame([("y " * 20_000,)], "t string").select(F.length(X.sanitize(F.col("t"))).alias("n"), F.length(X.sanitize(F.col("t"), replace(X.STRICT, max_length=50))).alias("m")).first()
     assert (row.n, row.m) == (39_999, 50)
+
+
+def test_no_cap_scans_every_file(spark, tmp_path):
+    (tmp_path / "large.txt").write_text("mail a@b.org\n" + "plain words\n" * 1_000_000)
+    report = [(r.scanned, r.hits, r.error) for r in IO.file_report(spark, str(tmp_path), max_mb=None).collect()]
+    assert report == [(True, 1, None)] and IO.scan_files(spark, str(tmp_path), max_mb=None).count() == 1
+
+
+def test_file_queries_report_every_file_at_any_size(spark, tmp_path):
+    """One source of 12 MB in one task, more than the default cap."""
+    from wardstone.plans.tables import query  # noqa: F401 - registers the queries
+    from wardstone.plans.registry import QUERIES
+
+    text = F.concat(F.lit("mail a@b.org "), F.repeat(F.lit("plain words "), 340))
+    df = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("en").alias("lang"), F.lit("web").alias("source"), F.length(text).cast("bigint").alias("n_chars"))
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    assert [(r.source, r.scanned, r.hits, r.errors) for r in QUERIES["s05_file_report"](spark, str(tmp_path)).collect()] == [("web", True, 3000, 0)]
+    assert [r.hits for r in QUERIES["s05_scan_files"](spark, str(tmp_path)).collect()] == [3000]

@@ -72,11 +72,16 @@ def _(spark, sf):
     return S.ingest_idempotent(e, ["user_id", "props"], ["ts", "event_id"], old).select("user_id", "props", "event_id")
 
 
+def source_files(spark, sf, path):
+    """Texts as files of a source; a file is one row when it is read, so its rows are bounded."""
+    docs(spark, sf).select("source", F.col("text").alias("value")).write.option("maxRecordsPerFile", 1000).partitionBy("source").text(path)
+
+
 @query("s05_scan_files", f"{DOC_DET} SELECT source, pii_type, count(*) AS hits FROM det JOIN documents USING (doc_id) GROUP BY ALL")
 def _(spark, sf):
     path = workspace(spark, "files")
-    docs(spark, sf).select("source", F.col("text").alias("value")).write.partitionBy("source").text(path)
-    hits = S.scan_files(spark, path, include="*.txt", exclude="_*", max_mb=64)
+    source_files(spark, sf, path)
+    hits = S.scan_files(spark, path, include="*.txt", exclude="_*", max_mb=None)
     return hits.groupBy(F.regexp_extract("path", "source=([^/]*)", 1).alias("source"), "pii_type").agg(F.count("*").alias("hits"))
 
 
@@ -84,8 +89,8 @@ def _(spark, sf):
    SELECT source, true AS scanned, coalesce(hits,0) AS hits, 0 AS errors FROM (SELECT DISTINCT source FROM documents) LEFT JOIN c USING (source)""")
 def _(spark, sf):
     path = workspace(spark, "files")
-    docs(spark, sf).select("source", F.col("text").alias("value")).write.partitionBy("source").text(path)
-    report = S.file_report(spark, path, include="*.txt")
+    source_files(spark, sf, path)
+    report = S.file_report(spark, path, include="*.txt", max_mb=None)
     return report.groupBy(F.regexp_extract("path", "source=([^/]*)", 1).alias("source")).agg(F.bool_and("scanned").alias("scanned"), F.sum("hits").alias("hits"), F.count("error").cast("int").alias("errors"))
 
 

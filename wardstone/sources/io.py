@@ -86,19 +86,24 @@ def _listed(spark: SparkSession, path: str, include: str, exclude: str | None) -
     return files
 
 
-def scan_files(spark: SparkSession, path: str, include: str = "*", exclude: str | None = None, max_mb: int = 10,
+def _capped(max_mb: int | None) -> Column:
+    return F.lit(True) if max_mb is None else F.col("length") <= max_mb * 1024 * 1024
+
+
+def scan_files(spark: SparkSession, path: str, include: str = "*", exclude: str | None = None, max_mb: int | None = 10,
                config: D.DetectConfig = D.DetectConfig()) -> DataFrame:
-    """Detections in files below a folder, by name globs and size cap. The cap is applied to
+    """Detections in files below a folder, by name globs and size cap (None: every file). The cap is applied to
     the listing, before contents are read; ``file_report`` lists what it leaves out. Bytes that
     are no UTF-8 become U+FFFD."""
-    files = _listed(spark, path, include, exclude).filter(F.col("length") <= max_mb * 1024 * 1024)
+    files = _listed(spark, path, include, exclude).filter(_capped(max_mb))
     return D.detect(files.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text")), "text", ["path"], config)
 
 
-def file_report(spark: SparkSession, path: str, include: str = "*", exclude: str | None = None, max_mb: int = 10,
+def file_report(spark: SparkSession, path: str, include: str = "*", exclude: str | None = None, max_mb: int | None = 10,
                 config: D.DetectConfig = D.DetectConfig()) -> DataFrame:
-    """One row per file: path, length, scanned, hits, error ("too large", "not UTF-8" or null)."""
-    small = F.col("length") <= max_mb * 1024 * 1024
+    """One row per file: path, length, scanned, hits, error ("too large", "not UTF-8" or null).
+    Without a cap (None) every file is scanned."""
+    small = _capped(max_mb)
     files = _listed(spark, path, include, exclude)
     read = files.filter(small).select("path", "length", F.is_valid_utf8(F.col("content").cast("string")).alias("valid"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
     hits = D.with_spans(read, "text", config).select("path", "length", F.lit(True).alias("scanned"), F.size("spans").cast("bigint").alias("hits"), F.when(~F.col("valid"), "not UTF-8").alias("error"))
