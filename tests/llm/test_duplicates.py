@@ -94,6 +94,13 @@ def test_near_dedup_of_odd_rows(spark, odd_docs):
     assert neardedup.drop_near_duplicates(odd_docs.limit(0)).count() == 0
 
 
+def test_one_id_on_unlike_texts_loses_no_group(spark):
+    rng = random.Random(6)
+    a, b = (" ".join(f"{x}{rng.randrange(5000)}" for _ in range(60)) for x in "ab")
+    df = spark.createDataFrame([(1, a), (1, b), (2, b), (3, a)], "doc_id bigint, text string")
+    assert sorted((r.doc_id, r.text) for r in neardedup.drop_near_duplicates(df).collect()) == sorted([(1, a), (1, b)])
+
+
 def test_near_copies_are_one_group(spark):
     rng = random.Random(4)
     words = [f"w{rng.randrange(5000)}" for _ in range(400)]

@@ -205,6 +205,18 @@ def links(fps: DataFrame, bits: int = 4, blocks: int = 3) -> DataFrame:
     return dealt.repartition(parts, "anchor", "part").sortWithinPartitions("anchor", "part").mapInArrow(compare, "a bigint, b bigint")
 
 
+def rooted_rows(docs: DataFrame, bits: int, words: int, blocks: int, id_col: str, text_col: str) -> DataFrame:
+    """The rows of near_groups with their component's root, a fingerprint: it names the component,
+    which component_id does not if an id stands on unlike texts."""
+    rows = kept(fingerprints(docs, id_col=id_col, text_col=text_col, words=words), "fingerprints")
+    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    tree = components(links(kept(distinct.select("fp"), "distinct-fingerprints"), bits, blocks))
+    rooted = distinct.join(tree.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = rooted.join(ids, "root").select("fp", "root", "component_id")
+    return rows.join(named, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
+
+
 def near_groups(docs: DataFrame, *, bits: int = 4, words: int = 4, blocks: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, text_hash, fp (bigint), component_id (the smallest doc_id
     that links of at most `bits` differing bits reach, the own one included).
@@ -212,13 +224,7 @@ def near_groups(docs: DataFrame, *, bits: int = 4, words: int = 4, blocks: int =
     Null, empty and blank texts have fingerprint 0 and are linked like any other. Rows with equal
     ids stay apart (text_hash). Null ids are the smallest of a group only if all are null. An
     empty table gives an empty result; other columns are not looked at."""
-    rows = kept(fingerprints(docs, id_col=id_col, text_col=text_col, words=words), "fingerprints")
-    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    tree = components(links(kept(distinct.select("fp"), "distinct-fingerprints"), bits, blocks))
-    rooted = distinct.join(tree.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(ids, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "text_hash", "fp", "component_id")
+    return rooted_rows(docs, bits, words, blocks, id_col, text_col).drop("root")
 
 
 def fp_hex(fp: Column) -> Column:
@@ -228,11 +234,9 @@ def fp_hex(fp: Column) -> Column:
 def drop_near_duplicates(docs: DataFrame, *, bits: int = 4, words: int = 4, blocks: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs`, all columns, of which one of each group stays: that with the smallest
     id (nulls last, then by text hash; of repeated rows one)."""
-    groups = near_groups(docs, bits=bits, words=words, blocks=blocks, id_col=id_col, text_col=text_col)
+    groups = rooted_rows(docs, bits, words, blocks, id_col, text_col)
     smallest = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "text_hash")
-    # groups with ids are named by an id; groups of null ids alone by their fingerprint
-    name = F.when(F.col("component_id").isNull(), F.col("fp"))
-    stays = groups.groupBy("component_id", name.alias("name")).agg(F.min(smallest).alias("x"))
+    stays = groups.groupBy("root").agg(F.min(smallest).alias("x"))
     none = F.lit(-(2**63)).cast("bigint")
     stays = stays.select(F.coalesce("x.doc_id", none).alias("__keep_id"), F.col("x.text_hash").alias("__keep_hash")).distinct()
     keyed = docs.withColumns({"__keep_id": F.coalesce(F.col(id_col).cast("bigint"), none), "__keep_hash": F.xxhash64(F.col(text_col))})
