@@ -175,11 +175,12 @@ def test_no_cap_scans_every_file(spark, tmp_path):
     assert report == [(True, 1, None)] and IO.scan_files(spark, str(tmp_path), max_mb=None).count() == 1
 
 
-def test_file_queries_report_every_file_at_any_size(spark, tmp_path):
+def test_file_queries_report_every_file_at_any_size(spark, tmp_path, monkeypatch):
     """One source of 12 MB in one task, more than the default cap."""
-    from wardstone.plans.tables import query  # noqa: F401 - registers the queries
+    from wardstone.plans import tables
     from wardstone.plans.registry import QUERIES
 
+    monkeypatch.setattr(tables, "docs", lambda spark, sf: tables.table(spark, sf, "documents").coalesce(1))
     text = F.concat(F.lit("mail a@b.org "), F.repeat(F.lit("plain words "), 340))
     df = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("en").alias("lang"), F.lit("web").alias("source"), F.length(text).cast("bigint").alias("n_chars"))
     df.write.parquet(str(tmp_path / "documents.parquet"))
