@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from wardstone.llm.filteraudit import filter_audit, filter_audit_sql
 from wardstone.llm.fingerprints import with_edits
 from wardstone.llm.linededup import dedup_lines
 from wardstone.llm.neardedup import fp_hex, near_groups
@@ -16,6 +17,7 @@ from wardstone.llm.store import shared_folder
 from wardstone.llm.tokenfiles import document_digests, write_tokens
 from wardstone.llm.topk import top_k
 from wardstone.llm.toxicity import held_out, score, train
+from wardstone.llm.vectorcodes import codebooks_sha256, compress, compress_sql, with_label_error
 from wardstone.llm.warc import read_warc, write_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +111,15 @@ def document_fingerprints(spark, folder):
 @query("op9_simhash_near_dedup")
 def simhash_near_dedup(spark, folder):
     return near_groups(table(spark, folder, "documents")).select("doc_id", fp_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@query("op11_vector_codes", compress_sql())
+def vector_codes(spark, folder):
+    coded, books = compress(table(spark, folder, "embeddings"))
+    code = F.array_join(F.transform("codes", lambda c: F.lpad(F.lower(F.hex(c)), 2, "0")), "")
+    return with_label_error(coded).select("vec_id", code.alias("code"), "error", "label_error", F.lit(codebooks_sha256(books)).alias("codebooks_sha256"))
+
+
+@query("op12_filter_audit", filter_audit_sql())
+def audited_filters(spark, folder):
+    return filter_audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
