@@ -25,7 +25,7 @@ def test_sql(spark, name):
 
 
 def test_names():
-    assert [next(q for q in QUERIES if q.startswith(f"op{n}_")) for n in range(1, 11)] and len(QUERIES) == 10
+    assert [next(q for q in QUERIES if q.startswith(f"op{n}_")) for n in range(1, 14)] and len(QUERIES) == 13
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line dedup", "SimHash near-dedup", "packing"]
 
 

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from wardstone.llm import languages
 from wardstone.llm.filteraudit import filter_audit, filter_audit_sql
 from wardstone.llm.fingerprints import with_edits
 from wardstone.llm.linededup import dedup_lines
@@ -123,3 +124,10 @@ def vector_codes(spark, folder):
 @query("op12_filter_audit", filter_audit_sql())
 def audited_filters(spark, folder):
     return filter_audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op13_language_id")
+def language_id(spark, folder):
+    docs = table(spark, folder, "documents")
+    found = languages.predict(docs, languages.train(docs))
+    return found.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score")

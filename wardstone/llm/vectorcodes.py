@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 from wardstone.llm.store import kept, kept_rows
 
 #: Owners of a crowded entry, and the bound of an integer component.
-SALTS, CLIP = 64, 1 << 24
+SALTS, CLIP = 16, 1 << 24
 OWNER = ["pos", "entry", "salt"]
 
 
@@ -74,7 +74,7 @@ def assigned(parts: DataFrame, books: np.ndarray) -> DataFrame:
 
 def member_sums(members: DataFrame, shape: tuple[int, int, int]) -> tuple[np.ndarray, np.ndarray]:
     """Sums and counts of the members of every entry: owners add up what lives with them, and one
-    row per owner and component leaves it. At most positions * entries * components come back."""
+    row per owner leaves a task. At most positions * entries rows come back."""
     width = shape[2]
 
     def work(batches):
@@ -88,13 +88,13 @@ def member_sums(members: DataFrame, shape: tuple[int, int, int]) -> tuple[np.nda
                 sums[owner] += np.add.reduceat(rows[order], start, axis=0)
                 counts[owner] += np.diff(np.r_[start, len(at)])
         own = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(sums[own].tolist(), pa.list_(pa.int64())), pa.array(counts[own])], names=["owner", "sums", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(counts[own]), *map(pa.array, sums[own].T.copy())], names=names)
 
-    local = members.select("pos", "entry", "part").mapInArrow(work, "owner bigint, sums array<bigint>, n bigint")
-    total = local.select("owner", F.posexplode(F.concat("sums", F.array("n")))).groupBy("owner", "pos").agg(F.sum("col").alias("x"))
+    names = ["owner", "n", *(f"s{k}" for k in range(width))]
+    local = members.select("pos", "entry", "part").mapInArrow(work, ", ".join(f"{c} bigint" for c in names))
     out = np.zeros((shape[0] * shape[1], width + 1), np.int64)
-    for owner, pos, x in total.collect():
-        out[owner, pos] = x
+    for owner, n, *total in local.groupBy("owner").agg(*[F.sum(c).alias(c) for c in names[1:]]).collect():
+        out[owner] = [*total, n]
     return out[:, :width].reshape(shape), out[:, width].reshape(shape[:2])
 
 
