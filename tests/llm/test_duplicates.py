@@ -1,5 +1,6 @@
 """Near-duplicates, line dedup and fingerprints against plain versions."""
 
+import collections
 import hashlib
 import random
 
@@ -196,6 +197,18 @@ def test_line_dedup_of_odd_rows(spark, odd_docs):
     assert linededup.dedup_lines(odd_docs.limit(0)).count() == 0
 
 
+def plain_fingerprint(text):
+    mask, votes = (1 << 64) - 1, [0] * 64
+    for word, n in collections.Counter(text.lower().split()).items():
+        h = sum((ord(c) + 1) * pow(0x9E3779B97F4A7C15, k, 1 << 64) for k, c in enumerate(word)) & mask
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            h = (h ^ h >> shift) * factor & mask
+        h ^= h >> 31
+        for k in range(64):
+            votes[k] += (1 if h >> k & 1 else -1) * n.bit_length()
+    return sum(1 << k for k in range(64) if votes[k] > 0)
+
+
 def test_fingerprint_query(spark, docs_001):
     got = {r.doc_id: r for r in QUERIES["op8_document_fingerprints"](spark, SF).collect()}
     order = docs_001[::-1]
@@ -204,6 +217,7 @@ def test_fingerprint_query(spark, docs_001):
         cut = len(text) // 3
         edited = text[: len(text) - cut] + other[:cut]
         r = got[doc]
+        assert (int(r.fingerprint, 16), int(r.edited_fingerprint, 16)) == (plain_fingerprint(text), plain_fingerprint(edited))
         assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
         assert r.near_next == 1 - (int(r.fingerprint, 16) ^ int(got[following].fingerprint, 16)).bit_count() / 64
         assert r.near_edited == 1 - (int(r.fingerprint, 16) ^ int(r.edited_fingerprint, 16)).bit_count() / 64

@@ -1,6 +1,7 @@
 """Sharding, toxicity, top-k, archives, the pipeline and the registration."""
 
 import collections
+import math
 import random
 
 import numpy as np
@@ -95,6 +96,47 @@ def test_toxicity_of_odd_rows(spark, odd_docs):
     assert toxicity.score(odd_docs.limit(0), model, name="tox").count() == 0
 
 
+def plain_score(text, model):
+    """The score of one text, word by word and window by window."""
+    mask, at = (1 << 64) - 1, []
+    for word in (text or "").lower().split():
+        word = word.strip(".,;:!?\"'()[]{}<>*#&$%-_`~/\\|+=@^")
+        if not word:
+            continue
+        marked, ids = f"<{word}>", []
+        for n in (3, 4, 5, 6):
+            for k in range(len(marked) - n + 1):
+                h = 0
+                for c in marked[k : k + n]:
+                    h = (h * 0x100000001B3 + ord(c)) & mask
+                ids.append(((h + n) * 0x9E3779B97F4A7C15 & mask) >> 46)
+        ids.append(toxicity.hash_word(marked))
+        at.append((sum(model.weights[k] for k in ids), len(ids)))
+    if not at:
+        return 1 / (1 + math.exp(30))
+    windows = [at[k : k + 5] for k in range(max(1, len(at) - 4))]
+    best = max(sum(s for s, _ in w) / sum(n for _, n in w) for w in windows)
+    return 1 / (1 + math.exp(-max(-30, min(30, (best + model.bias) * model.scale + model.offset))))
+
+
+def test_scores_like_plain_windows(docs_001):
+    rng = np.random.default_rng(8)
+    model = toxicity.Model(rng.normal(size=toxicity.BUCKETS), 0.1, 2.0, -1.0)
+    texts = [t for _, t in docs_001[:25]] + [None, "", " \n ", "*** --", "one", "a b c d e", "a b c d e f"]
+    got = toxicity.score_texts(pa.array(texts, pa.large_string()), model)
+    assert np.allclose(got, [plain_score(t, model) for t in texts], rtol=1e-9)
+
+
+def test_equal_texts_get_equal_scores(docs_001):
+    rng = np.random.default_rng(9)
+    model = toxicity.Model(rng.normal(size=toxicity.BUCKETS), 0.0, 1.0, 0.0)
+    texts = [t for _, t in docs_001[:40]] + ["", None, "--", "the end of the text"]
+    whole = toxicity.score_texts(pa.array(texts, pa.large_string()), model).tolist()
+    alone = [toxicity.score_texts(pa.array([t], pa.large_string()), model)[0] for t in texts]
+    assert whole == alone and toxicity.score_texts(pa.array(texts[::-1], pa.large_string()), model).tolist() == alone[::-1]
+    assert whole[40] == whole[41] == whole[42]
+
+
 def test_top_k_is_exact(spark):
     rng = np.random.default_rng(1)
     rows = [(i, rng.normal(size=16).round(3).tolist()) for i in range(3000)]
@@ -169,3 +211,29 @@ def test_pipeline(spark, docs_001):
     for r in corpus_pipeline.run(spark, SF).collect():
         got[r.doc_id] += r.length
     assert got == {d: len(x) for (d, _), x in zip(left, ids, strict=True)}
+
+
+def test_pipeline_of_odd_rows(spark, odd_docs):
+    """Nulls, empty and long texts, repeated rows and clashing columns through every stage."""
+    from pyspark.sql import functions as F
+
+    docs = odd_docs.withColumn("n_chars", F.lit(-1).cast("bigint")).withColumn("lang", F.lit(None).cast("string"))
+    for empty in (False, True):
+        now = docs.limit(0) if empty else docs
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            before, now = now, stage(spark, now, SF)
+            if k < 3:
+                assert now.columns == docs.columns and now.schema["n_chars"].dataType == docs.schema["n_chars"].dataType
+            if empty:
+                assert now.count() == 0
+            elif k == 0:
+                assert now.count() == 10
+            elif k == 1:
+                texts = sorted(((r.doc_id, r.text, r.n_chars) for r in now.collect()), key=str)
+                want = [(r.doc_id, "" if r.doc_id == 7 else r.text) for r in docs.collect()]
+                assert texts == sorted(((d, t, None if t is None else len(t)) for d, t in want), key=str)
+            elif k == 2:
+                assert sorted((r.doc_id for r in now.collect()), key=str) == [1, 4, 5, 6, 8, None]
+            else:
+                left = [r.text for r in before.collect()]
+                assert sum(r.length for r in now.collect()) == sum(len(x) for x in token_ids(left, 1))

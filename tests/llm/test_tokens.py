@@ -17,7 +17,8 @@ from wardstone.llm.queries import QUERIES
 from wardstone.llm.store import shared_folder
 
 SF = "/root/testdata/sf0.001"
-ODD = ["", None, " ", "  a  b", " lead", "trail ", "a\n b", "x \n\n  y", "it's we'll 'S <|endoftext|> # ##", "日本語 テスト é è  ß", "a  b", "tab\t\tx \tq", "1 22  333,4 ;;; --", "\n", "ab\x00c \x1c d", "▁x ▁▁y"]
+ODD = ["", None, " ", "  a  b", " lead", "trail ", "a\n b", "x \n\n  y", "it's we'll 'S <|endoftext|> # ##", "日本語 テスト é è  ß", "a  b", "tab\t\tx \tq", "1 22  333,4 ;;; --", "\n", "ab\x00c \x1c d", "▁x ▁▁y",
+       "a<|endoftext|>", "<|endoftext|>", "<|endoftext|> b c", "x <|endoftext|>y", "one <|endoftext|><|endoftext|> two", "<|endoftext", "endoftext|>"]
 
 
 def test_encoder_equals_library():
@@ -168,3 +169,35 @@ def test_sentencepiece_round_trip(spark, odd_docs):
     back = pieces.decode(encoded).collect()
     assert sorted(r.text for r in back) == sorted(r.text or "" for r in odd_docs.collect())
     assert pieces.encode(odd_docs.limit(0)).count() == 0
+
+
+def test_an_added_token_is_one_id():
+    ids, counts = Encoder().encode(pa.array(["a<|endoftext|>", "plain text", "<|endoftext|>b"]))
+    assert ids.tolist()[:2] == [64, 50256] and counts[0] == 2 and counts[2] == 2 and ids[-2] == 50256
+
+
+def test_whole_sequences(spark, docs_001):
+    """Every sequence of a whole scale, id by id: nothing lost, gapless, padded."""
+    packed = packing.pack(spark.read.parquet(f"{SF}/documents.parquet"))
+    rows = packed.drop("ids").collect()
+    whole = {d: x for (d, _), x in zip(docs_001, token_ids([t for _, t in docs_001], 1), strict=True)}
+    want = {}
+    for r in rows:
+        want.setdefault(r.sequence_id, {})[r.offset] = whole[r.doc_id][r.start : r.start + r.length]
+    got = packing.sequences(packed, pad=7).collect()
+    assert sorted(r.sequence_id for r in got) == list(range(len(want)))
+    for r in got:
+        ids, at = np.frombuffer(bytes(r.ids), "<u4"), 0
+        for offset in sorted(want[r.sequence_id]):
+            own = want[r.sequence_id][offset]
+            assert offset == at and (ids[at : at + len(own)] == own).all()
+            at += len(own)
+        assert at == r.used and (ids[at:] == 7).all() and len(ids) == (at if at & (at - 1) == 0 else 2048)
+    assert sum(r.length for r in rows) == sum(map(len, whole.values()))
+
+
+def test_sequences_of_odd_rows(spark, odd_docs):
+    packed = packing.pack(odd_docs, 64)
+    got = packing.sequences(packed, 64).collect()
+    assert sum(r.used for r in got) == sum(len(x) for x in token_ids([r.text for r in odd_docs.collect()], 1))
+    assert packing.sequences(packed.limit(0), 64).count() == 0

@@ -3,7 +3,8 @@
 In a byte-level BPE the pattern cuts before every space that a non-space follows, so the stretch
 from such a space to the next is encoded alike wherever it stands. A text is therefore the
 concatenation of the ids of its stretches, and a bounded cache of words saves most of the
-library's work. Texts in which some space is followed by white space take the plain path."""
+library's work. Texts in which some space is followed by white space, and those that hold an added
+token of the tokenizer, take the plain path."""
 
 from __future__ import annotations
 
@@ -52,6 +53,8 @@ class Stretches:
     `lead` stands before the first stretch, and `space` before the others."""
 
     lead, space, odd_first = "", " ", False
+    #: Strings that the library takes as one id wherever they stand.
+    added: tuple[str, ...] = ()
 
     def __init__(self):
         self.words: dict[str, bytes] = {}
@@ -96,6 +99,8 @@ class Stretches:
         if not self.odd_first:
             odd_at[first] = False
         plain = np.add.reduceat(odd_at, first) > 0
+        for token in self.added:
+            plain |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
         raw = [self.alone(self.space + w) for w in spelled]
         if self.lead != self.space:
             raw += [self.alone(self.lead + spelled[c]) for c in codes[first].tolist()]
@@ -125,7 +130,7 @@ class Encoder(Stretches):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path(TOKENIZER))
-        self.tokenizer.encode_special_tokens = True
+        self.added = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.model = self.tokenizer.model
         self.pieces = regex.compile(public_tokenizers.PATTERN).findall
         self.letters = byte_letters()

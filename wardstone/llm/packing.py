@@ -135,7 +135,8 @@ def pack(docs: DataFrame, size: int = 2048, *, id_col: str = "doc_id", text_col:
 def sequences(packed: DataFrame, size: int = 2048, pad: int = 0) -> DataFrame:
     """One row per sequence: sequence_id, used, ids (little-endian uint32). Sequences are padded
     to `size`; one that is exactly a power of two long is left as it is. At most `size` ids meet
-    in a group."""
+    in a group. `packed` is a result of `pack`, whose pieces of null and empty texts and of repeated
+    rows each have their own place; an empty one gives an empty result."""
     whole = packed.groupBy("sequence_id").agg(
         F.sum("length").alias("used"), F.array_sort(F.collect_list(F.struct("offset", F.hex("ids").alias("h")))).alias("parts"))
     joined = F.array_join(F.transform("parts", lambda p: p["h"]), "")

@@ -31,6 +31,8 @@ BUCKETS, DIMENSIONS, GRAMS = 1 << 18, 12, (3, 4, 5, 6)
 WINDOW = 5
 #: Bound of the training sample: labelled documents of each class, and characters of one.
 SAMPLE, LONGEST = 1500, 8000
+#: Distinct words whose n-grams are held at a time, and bytes of text scored at a time.
+LOT, SLICE = 10_000, 1 << 20
 
 
 def held_out(doc_id: Column) -> Column:
@@ -80,13 +82,16 @@ class Model:
 def worst(sums: np.ndarray, sizes: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of each document the largest window average and where the window begins. sums and sizes
     are of words; documents without words get -inf."""
-    a, b = np.r_[0, np.cumsum(sums)], np.r_[0, np.cumsum(sizes)]
-    ends = np.repeat(starts + counts, counts)
-    at = np.arange(len(sums))
-    stop = np.minimum(at + WINDOW, ends)
+    ends, at = np.repeat(starts + counts, counts), np.arange(len(sums))
+    # added up inside the window: what lies around it must not move the last digits
+    total, size = sums.astype(np.float64), sizes.astype(np.int64)
+    for k in range(1, WINDOW):
+        inside = np.flatnonzero(at + k < ends)
+        total[inside] += sums[inside + k]
+        size[inside] += sizes[inside + k]
     # a window cut short by the document's end stands only if the document has no whole one
     first = np.repeat(starts, counts)
-    value = np.where((at + WINDOW <= ends) | (at == first), (a[stop] - a[at]) / np.maximum(b[stop] - b[at], 1), -np.inf)
+    value = np.where((at + WINDOW <= ends) | (at == first), total / np.maximum(size, 1), -np.inf)
     best = np.full(len(counts), -np.inf)
     where = np.zeros(len(counts), np.int64)
     full = np.flatnonzero(counts)
@@ -124,7 +129,7 @@ class Trainer:
         self.labels = labels
         codes, self.counts, spelled = words_of(pa.array(texts, pa.large_string()))
         self.codes, self.starts = codes, np.cumsum(self.counts) - self.counts
-        parts = [grams(spelled[k : k + 10_000]) for k in range(0, len(spelled), 10_000)]
+        parts = [grams(spelled[k : k + LOT]) for k in range(0, len(spelled), LOT)]
         self.grams, self.sizes = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int32) for k in (0, 1))
         self.first = np.cumsum(self.sizes) - self.sizes
         self.vectors = self.random.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (BUCKETS, DIMENSIONS)).astype(np.float32)
@@ -225,11 +230,13 @@ class Trainer:
 
 def score_texts(texts: pa.Array, model: Model) -> np.ndarray:
     codes, counts, spelled = words_of(texts)
-    if not len(codes):
-        return np.zeros(len(texts))
-    ids, sizes = grams(spelled)
-    per_word = np.add.reduceat(model.weights[ids], np.cumsum(sizes) - sizes)
-    best, _ = worst(per_word[codes], sizes[codes], np.cumsum(counts) - counts, counts)
+    best = np.full(len(texts), -np.inf)
+    if len(codes):
+        per_word, sizes = np.zeros(len(spelled)), np.zeros(len(spelled), np.int64)
+        for k in range(0, len(spelled), LOT):
+            ids, n = grams(spelled[k : k + LOT])
+            per_word[k : k + LOT], sizes[k : k + LOT] = np.add.reduceat(model.weights[ids], np.cumsum(n) - n), n
+        best, _ = worst(per_word[codes], sizes[codes], np.cumsum(counts) - counts, counts)
     z = np.where(np.isfinite(best), (np.where(np.isfinite(best), best, 0) + model.bias) * model.scale + model.offset, -30)
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
@@ -254,12 +261,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, longest: int
 
 
 def score(docs: DataFrame, model: Model, *, text_col: str = "text", name: str = "score") -> DataFrame:
-    """`docs` with the score (0 to 1) of every whole text as column `name`. Null texts and texts
-    without words get the lowest score; nothing but the text enters it."""
+    """`docs` with the score (0 to 1) of every whole text as column `name`, which replaces a column
+    of that name. Null texts and texts without words get the lowest score; equal texts, repeated
+    rows among them, get equal scores, whatever rows stand around them; nothing but the text enters
+    the score. An empty table gives an empty one."""
 
     @F.arrow_udf("double")
     def toxic(texts: pa.Array) -> pa.Array:
         whole = pa.RecordBatch.from_arrays([texts], names=["text"])
-        return pa.array(np.concatenate([np.zeros(0), *(score_texts(rows.column("text"), model) for rows in slices(whole, "text"))]))
+        return pa.array(np.concatenate([np.zeros(0), *(score_texts(rows.column("text"), model) for rows in slices(whole, "text", SLICE))]))
 
     return docs.withColumn(name, toxic(F.col(text_col).cast("string")))
