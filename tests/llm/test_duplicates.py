@@ -116,6 +116,9 @@ def test_edit_distance():
     for _ in range(400):
         a, b = ("".join(rng.choice("abcd") for _ in range(rng.randrange(14))) for _ in range(2))
         assert linededup.edit_distance(a, b) == levenshtein(a, b)
+        most = rng.randrange(8)
+        bounded = linededup.edit_distance(a, b, most)
+        assert bounded == levenshtein(a, b) or min(bounded, levenshtein(a, b)) > most
 
 
 def test_line_dedup_query(spark, docs_001):
@@ -128,8 +131,10 @@ def test_line_dedup_query(spark, docs_001):
     assert dropped == {d: t.count("\n") - want[d].count("\n") + (1 if t and not want[d] and dropped[d] else 0) for d, t in docs_001}
 
 
-@pytest.mark.parametrize("crowd", [4000, 15])
-def test_fuzzy_lines(spark, crowd):
+@pytest.mark.parametrize(("crowd", "members"), [(4000, 10_000), (15, 10)])
+def test_fuzzy_lines(spark, crowd, members, monkeypatch):
+    monkeypatch.setattr(linededup, "MEMBERS", members)
+    monkeypatch.setattr(linededup, "SHARE", 1 if members == 10 else 64)
     rng = random.Random(7)
     base = ["the quick brown fox jumps over the lazy dog and then it sleeps for a while near the old tree number one two three",
             "another line about something else entirely with several more words than the former one had in it today or so"]
