@@ -1,0 +1,228 @@
+"""The prefix scan, deep pages, quantiles by selection, reach by bitmaps, networks, deep JSON."""
+
+import datetime
+import ipaddress
+import json
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from wardstone.functions import jsontext, ordering as O, text as T
+from wardstone.operators import events as E, lineage as L, privacy as K, records as R, sampling as M, versions as V
+
+
+def plain(rows, group, order, value):
+    """position, sum, max, min, lag and lead of `value` per row index."""
+    out = {}
+    for g in {group(r) for r in rows}:
+        seq, s = sorted((r for r in rows if group(r) == g), key=order), 0
+        for n, r in enumerate(seq):
+            s += value(r)
+            seen = [value(x) for x in seq[: n + 1]]
+            out[r[-1]] = (n + 1, s, max(seen), min(seen), value(seq[n - 1]) if n else None, value(seq[n + 1]) if n + 1 < len(seq) else None)
+    return out
+
+
+def scanned(df, group, order, **kw):
+    v = F.col("v")
+    got = O.along(df, group, order, position="p", sums={"s": v}, maxima={"hi": v}, minima={"lo": v}, lags={"b": v}, leads={"a": v}, **kw)
+    return got, {r.id: (r.p, r.s, r.hi, r.lo, r.b, r.a) for r in got.collect()}
+
+
+def test_scan_of_one_key_on_one_day(spark):
+    """All rows on one key and one day: they lie in many cells, and nothing is one task's work."""
+    rng = random.Random(2)
+    day = datetime.datetime(2024, 3, 1)
+    rows = [("hot", day + datetime.timedelta(seconds=rng.randrange(86_400)), rng.randrange(9), k) for k in range(4000)]
+    df = spark.createDataFrame(rows, "g string, t timestamp_ntz, v int, id int")
+    got, found = scanned(df, ["g"], ["t", "id"])
+    assert found == plain(rows, lambda r: r[0], lambda r: (r[1], r[3]), lambda r: r[2])
+    cells = O.cut_points(df, ["g"], ["t", "id"])
+    sizes = [r["count"] for r in df.groupBy(cells.column()).count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 3 * 4000 / 8
+    text = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert text.count("Exchange hashpartitioning") + text.count("Exchange SinglePartition") <= 3 and "SinglePartition" not in text
+
+
+@pytest.mark.parametrize("kind", ["bigint", "double", "string", "date", "decimal(12,3)", "boolean", "timestamp", "binary"])
+def test_scan_over_any_order(spark, kind):
+    """Nulls, ties of the first column, extremes; the second column decides."""
+    rng = random.Random(5)
+    make = {"bigint": lambda: rng.choice([-(2**63), 2**63 - 1, 0, rng.randrange(-50, 50)]), "double": lambda: rng.choice([-1e308, 1e-300, 0.0, float("inf"), float("-inf"), rng.random()]),
+            "string": lambda: rng.choice(["", "same prefix of many letters ", "é"]) + "abcdef"[: rng.randrange(6)], "date": lambda: datetime.date(1900 + rng.randrange(200), 1, 1),
+            "decimal(12,3)": lambda: __import__("decimal").Decimal(rng.randrange(-9999, 9999)) / 8, "boolean": lambda: rng.random() < 0.5,
+            "timestamp": lambda: datetime.datetime(2000 + rng.randrange(20), 1, 1), "binary": lambda: bytes([rng.randrange(256) for _ in range(rng.randrange(3))])}[kind]
+    rows = [(rng.choice(["a", "b", None, "c"]) if k % 3 else "hot", None if rng.random() < 0.05 else make(), rng.randrange(-5, 9), k) for k in range(900)]
+    df = spark.createDataFrame([(g, o if kind != "decimal(12,3)" else o, v, k) for g, o, v, k in rows], f"g string, o {kind}, v int, id int")
+    _, found = scanned(df, ["g"], ["o", "id"])
+    assert found == plain(rows, lambda r: r[0], lambda r: (r[1] is not None, r[1] if r[1] is not None else 0, r[3]), lambda r: r[2])
+    whole = O.grouped_index(df, [], ["o", "id"])
+    order = sorted(rows, key=lambda r: (r[1] is not None, r[1] if r[1] is not None else 0, r[3]))
+    assert [r.id for r in whole.orderBy("position").collect()] == [r[3] for r in order]
+
+
+def test_scan_of_nothing_and_of_little(spark):
+    df = spark.createDataFrame([("a", 1, 2, 7)], "g string, t int, v int, id int")
+    assert scanned(df, ["g"], ["t"])[1] == {7: (1, 2, 2, 2, None, None)}
+    assert scanned(df.limit(0), ["g"], ["t"])[1] == {}
+
+
+def test_calls_share_cells(spark):
+    df = spark.range(2000).select((F.col("id") % 3).alias("g"), F.col("id").alias("t"), (F.col("id") % 7).alias("v"))
+    base, bucket, cells = O.in_cells(df, ["g"], ["t"], None)
+    one = O.along(base, ["g"], ["t"], bucket, cells=cells, lags={"before": F.col("t")})
+    two = O.along(one, ["g"], ["t"], bucket, cells=cells, sums={"run": (F.col("v") == 0).cast("bigint")})
+    got = O.along(two, ["g", "run"], ["t"], bucket, cells=cells, position="p")
+    state = {}
+    for r in sorted(got.collect(), key=lambda r: r.t):
+        run, p, last = state.get(r.g, (0, 0, None))
+        run, p = (run + 1, 1) if r.v == 0 else (run, p + 1)
+        assert (r.run, r.p, r.before) == (run, p, last)
+        state[r.g] = (run, p, r.t)
+
+
+def test_ordered_operators_without_buckets(spark):
+    rng = random.Random(8)
+    rows = [("k" if k % 4 else f"r{k % 5}", 1000 + k // 3, k, rng.choice([True, False])) for k in range(1500)]
+    df = spark.createDataFrame(rows, "k string, t int, id int, ok boolean")
+    by = {}
+    for k, t, i, ok in rows:
+        by.setdefault(k, []).append((t, i, ok))
+    streaks, versions, batches = {}, {}, {}
+    for k, seq in by.items():
+        streak = 0
+        for n, (t, i, ok) in enumerate(sorted(seq)):
+            streak = 0 if ok else streak + 1
+            streaks[i], versions[i], batches[i] = streak, n + 1, n // 7
+    assert {r.id: r.consecutive_failures for r in E.failure_streaks(df, "k", ["t", "id"], None, F.col("ok"), 3).collect()} == streaks
+    assert {r.id: r.version for r in V.number_versions(df, "k", ["t", "id"]).collect()} == versions
+    assert {r.id: r.batch for r in E.batch_events(df.withColumn("event_type", F.col("k")), ["t", "id"], None, 7).collect()} == batches
+    assert sorted(r.id for r in M.sample_systematic(df, "id", None, 11, 2).collect()) == [k for k in range(1500) if k % 11 == 2]
+    top = E.recent_by_type(df.withColumn("event_type", F.col("k")), ["t", "id"], None, 4)
+    assert {(r.k, r.id, r.rank) for r in top.collect()} == {(k, i, n + 1) for k, seq in by.items() for n, (_, i, _) in enumerate(sorted(seq)[::-1][:4])}
+    asked = df.withColumn("eps", F.lit(0.25))
+    got = K.privacy_ledger(asked, "k", ["t", "id"], "eps", None, 10.0)
+    assert {r.id for r in got.filter("accepted").collect()} == {i for seq in by.values() for _, i, _ in sorted(seq)[:40]}
+
+
+@pytest.mark.parametrize(("offset", "limit"), [(0, 10), (1990, 25), (2500, 10), (700, 300), (2995, 50), (4000, 5)])
+def test_deep_pages(spark, offset, limit):
+    rng = random.Random(3)
+    rows = [(rng.choice([None, 1.5, rng.random()]), k) for k in range(3000)]
+    df = spark.createDataFrame(rows, "x double, id int").repartition(5)
+    for order in (["x", "id"], ["-x", "id"], ["-x", "-id"], ["id"]):
+        def key(r):
+            out = []
+            for name in order:
+                v = r[0] if name[-1] == "x" else r[1]
+                at = (v is not None, v if v is not None else 0)
+                out.append(tuple(-z for z in map(float, at)) if name[0] == "-" else at)
+            return out
+        want = [r[1] for r in sorted(rows, key=key)][offset : offset + limit]
+        assert [r.id for r in O.sorted_slice(df, order, offset, limit, few=100).collect()] == want
+    tied = df.select(F.lit(1).alias("x"), "id")
+    assert [r.id for r in O.sorted_slice(tied, ["x", "-id"], 2000, 3, few=100).collect()] == [999, 998, 997]
+    assert [r.id for r in R.list_records(df, {}, ["-id"], 2, 5).collect()] == [2994, 2993]
+
+
+def test_cursor_page_says_its_largest(spark):
+    df = spark.range(300).select(F.lit(0).alias("v"), "id")
+    assert M.cursor_page(df, ("v", "id"), None, 250).count() == 100 and M.cursor_page(df, ("v", "id"), None, 250, largest=1000).count() == 250
+
+
+@pytest.mark.parametrize("few", [10_000, 20, 1])
+def test_quantiles_by_selection(spark, few):
+    import numpy as np
+
+    rng = random.Random(4)
+    groups = {"wide": [rng.choice([-1, 1]) * 10 ** rng.uniform(-300, 300) for _ in range(500)], "ties": [rng.choice([1.0, 2.0]) for _ in range(400)], "one": [3.25], "two": [1.0, 2.0],
+              None: [rng.random() for _ in range(700)], "equal": [7.5] * 300, "empty": []}
+    rows = [(g, v) for g, vs in groups.items() for v in vs] + [("empty", None), ("one", None), ("two", float("nan"))]
+    got = E.exact_quantiles(spark.createDataFrame(rows, "g string, x double").repartition(4), ["g"], "x", {"a": 0.0, "b": 0.37, "c": 0.5, "d": 1.0}, few=few)
+    found = {r.g: (r.a, r.b, r.c, r.d) for r in got.collect()}
+    assert found["empty"] == (None,) * 4 and set(found) == set(groups)
+    for g, vs in groups.items():
+        if vs:
+            assert np.allclose(found[g], np.quantile(np.array(vs), [0.0, 0.37, 0.5, 1.0]), rtol=1e-9, atol=1e-6), g
+    assert E.exact_quantiles(spark.createDataFrame([], "g string, x double"), ["g"], "x", {"a": 0.5}).count() == 0
+
+
+def test_reach_by_bitmaps(spark):
+    rng = random.Random(6)
+    nodes = [(f"n{k}", "abc"[k % 3]) for k in range(300)]
+    edges = {(f"n{rng.randrange(300)}", f"n{rng.randrange(300)}") for _ in range(420)} | {(f"n{k}", f"n{k + 1}") for k in range(40)} | {("n5", "n5"), ("n7", "gone"), ("gone", "n250")}
+    starts = [f"n{k}" for k in range(0, 300, 2)] + ["gone", "nowhere"]
+    down = {}
+    for a, b in edges:
+        down.setdefault(a, []).append(b)
+    kind, want = dict(nodes), {}
+    for s in starts:
+        depth, front, d = {s: 0}, [s], 0
+        while front:
+            d += 1
+            front = [b for b in dict.fromkeys(b for a in front for b in down.get(a, [])) if b not in depth]
+            depth.update(dict.fromkeys(front, d))
+        for n, at in depth.items():
+            if at and n in kind:
+                want[s, kind[n], at] = want.get((s, kind[n], at), 0) + 1
+    n, e = spark.createDataFrame(nodes, "node string, type string"), spark.createDataFrame(sorted(edges), "source string, target string")
+    st = spark.createDataFrame([(s,) for s in [*starts, starts[0]]], "node string")
+    got = {(r.start, r.type, r.depth): r.n for r in L.reach_counts(e, st, n, "type").collect()}
+    assert got == want
+    near = {(r.start, r.type, r.depth): r.n for r in L.reach_counts(e, st, n, "type", max_depth=2).collect()}
+    assert near == {k: v for k, v in want.items() if k[2] <= 2}
+    assert L.reach_counts(e.limit(0), st, n, "type").count() == 0
+    impact = {r.start: (r.affected, r.max_depth) for r in L.impact_analysis(n, e, st.distinct(), ("a", "b")).collect()}
+    assert impact == {s: (sum(v for k, v in want.items() if k[0] == s), max((k[2] for k in want if k[0] == s), default=0)) for s in starts}
+
+
+def test_networks_of_both_families(spark):
+    rng = random.Random(1)
+    ips = ["10.1.2.3", "10.9.9.9", "255.255.255.255", "0.0.0.0", "2001:db8::1", "2001:DB8:0:0:0:0:0:1", "2001:db9::", "::", "::1", "fe80::1:2", "::ffff:10.1.2.3", "1:2:3:4:5:6:7:8", "64:ff9b::1.2.3.4"]
+    ips += [str(ipaddress.IPv6Address(rng.getrandbits(128))) for _ in range(30)] + [str(ipaddress.IPv4Address(rng.getrandbits(32))) for _ in range(30)]
+    bad = ["bad", "300.1.1.1", "1.2.3", "1.2.3.4.5", "1:2:3", ":::", "1::2::3", "12345::", "", "01.2.3.4", "g::1", "1:2:3:4:5:6:7:8:9", "::1:", None]
+    nets = [("10.0.0.0/8", "block"), ("10.1.0.0/16", "allow"), ("2001:db8::/32", "block"), ("2001:db8::1", "allow"), ("::/3", "block"), ("fe80::/10", "allow"), ("8000::/1", "block"), ("128.0.0.0/1", "block"),
+            ("200.0.0.0/7", "allow"), ("255.255.255.255/32", "allow"), ("0.0.0.0/30", "block"), ("4000::/2", "allow")]
+    known = [(ipaddress.ip_network(n, strict=False), k) for n, k in nets]
+
+    def verdict(ip):
+        at = ipaddress.ip_address(ip)
+        hit = [k for n, k in known if n.version == at.version and at in n]
+        return "allow" in hit or "block" not in hit
+
+    df = spark.createDataFrame([(ip, 1, 2) for ip in [*ips, *bad, "10.9.9.9"]], "ip string, digits int, family int")
+    got = T.ip_filter(df, "ip", spark.createDataFrame(nets, "network string, list string"))
+    assert got.columns == ["ip", "digits", "family", "allowed"] and got.count() == len(ips) + len(bad) + 1
+    assert {r.ip: r.allowed for r in got.collect()} == {ip: verdict(ip) for ip in ips} | dict.fromkeys(bad, False)
+    none = T.ip_filter(df, "ip", spark.createDataFrame([], "network string, list string"))
+    assert {r.ip for r in none.filter("allowed").collect()} == set(ips)
+    for wrong in ("10.0.0.0/33", "::/129", "10.0.0.0/x", "zz/8", "1.2.3.4/-1"):
+        with pytest.raises(ValueError, match="unreadable"):
+            T.ip_filter(df, "ip", spark.createDataFrame([(wrong, "block")], "network string, list string"))
+
+
+def test_deep_and_malformed_json():
+    deep = 30_000
+    assert [x["value"] for x in jsontext.leaves("[" * deep + '"x"' + "]" * deep)] == ["x"]
+    for text in ("[" * deep + '"x"' + "]" * (deep + 1), "[" * deep + '"x",' + "]" * deep, "[" * deep + '"x', '{"a":' * deep + '"x"', "[" * deep + "1 2" + "]" * deep, "[" * deep + "}" * deep):
+        assert jsontext.leaves(text) is None
+    rng = random.Random(1)
+
+    def value(d):
+        k = rng.random()
+        if d > 3 or k < 0.3:
+            return rng.choice(["s", 'a"b', "é\n", 1, -2.5e3, True, None, ""])
+        return [value(d + 1) for _ in range(rng.randrange(4))] if k < 0.6 else {rng.choice("abc") + str(i): value(d + 1) for i in range(rng.randrange(4))}
+
+    for _ in range(500):
+        text = json.dumps(value(0), indent=rng.choice([None, 1]))
+        assert jsontext.scanned(text) == jsontext.found(text)
+        broken = list(text)
+        broken[rng.randrange(len(broken))] = rng.choice('[]{},:" x1')
+        try:
+            json.loads("".join(broken))
+        except ValueError:
+            assert jsontext.scanned("".join(broken)) is None
+        else:
+            assert jsontext.scanned("".join(broken)) is not None

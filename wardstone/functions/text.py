@@ -118,26 +118,71 @@ def ipv4_number(ip: Column) -> Column:
     return n
 
 
+OCTET = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+IPV4 = "^" + r"\.".join([OCTET] * 4) + "$"
+
+
+def address_digits(ip: Column) -> Column:
+    """An address as hexadecimal digits, 8 of IPv4 and 32 of IPv6 (any short form; a dotted end
+    counts as its two groups); null if it can't be read."""
+    octets = F.transform(F.split(ip, "\\."), lambda o: F.lower(F.lpad(F.hex(o.try_cast("bigint")), 2, "0")))
+    v4 = F.array_join(octets, "")
+    tail = F.substring_index(ip, ":", -1)
+    tail_octets = F.transform(F.split(tail, "\\."), lambda o: F.lower(F.lpad(F.hex(o.try_cast("bigint")), 2, "0")))
+    tail_hex = F.array_join(tail_octets, "")
+    plain = F.when(tail.rlike(IPV4), F.concat(F.substring(ip, F.lit(1), F.length(ip) - F.length(tail)), F.substring(tail_hex, 1, 4), F.lit(":"), F.substring(tail_hex, 5, 4))).otherwise(ip)
+    halves = F.split(plain, "::", -1)
+
+    def groups(part: Column) -> Column:
+        return F.when(part == "", F.array().cast("array<string>")).otherwise(F.split(part, ":", -1))
+
+    left, right = groups(F.get(halves, 0)), F.when(F.size(halves) == 2, groups(F.get(halves, 1))).otherwise(F.array().cast("array<string>"))
+    both, n = F.concat(left, right), F.size(left) + F.size(right)
+    sound = F.forall(both, lambda g: g.rlike("^[0-9a-fA-F]{1,4}$")) & (((F.size(halves) == 1) & (n == 8)) | ((F.size(halves) == 2) & (n <= 7)))
+    wide = lambda part: F.array_join(F.transform(part, lambda g: F.lower(F.lpad(g, 4, "0"))), "")
+    v6 = F.concat(wide(left), F.repeat(F.lit("0000"), 8 - n), wide(right))
+    return F.when(ip.rlike(IPV4), v4).when(ip.contains(":") & sound, v6)
+
+
+def prefix_key(digits: Column, bits: Column) -> Column:
+    """The first ``bits`` bits of hexadecimal digits; the digit that they end in is masked."""
+    whole = F.floor(bits / 4).cast("int")
+    digit, rest = F.substring(digits, whole + 1, F.lit(1)), bits % 4
+    hexes = "0123456789abcdef"
+    masked = [F.translate(digit, hexes, "".join(hexes[k & m] for k in range(16))) for m in (0b1000, 0b1100, 0b1110)]
+    last = F.when(rest == 1, masked[0]).when(rest == 2, masked[1]).when(rest == 3, masked[2]).otherwise("")
+    return F.concat(F.substring(digits, F.lit(1), whole), last)
+
+
 def ip_filter(df: DataFrame, ip_col: str, networks: DataFrame) -> DataFrame:
-    """Add ``allowed``: an allow-listed network beats a block-listed one.
-
-    ``networks``: (network 'a.b.c.d/n', list 'allow'|'block'). Containment is an equality on
-    (prefix length, masked address), so the network table may be of any size; the driver only
-    learns which of the 33 prefix lengths occur."""
-    nets = networks.select(
-        "list", F.coalesce(F.element_at(F.split("network", "/"), 2).try_cast("int"), F.lit(32)).alias("bits"),
-        ipv4_number(F.substring_index("network", "/", 1)).alias("base"))
-    nets = nets.withColumn("masked", F.floor(F.col("base") / F.pow(F.lit(2.0), 32 - F.col("bits"))).cast("bigint"))
-    lengths = sorted(r[0] for r in nets.select("bits").distinct().collect())
-    if not lengths:
-        return df.withColumn("allowed", F.lit(True))
-    per_net = nets.groupBy("bits", "masked").agg(F.bool_or(F.col("list") == "allow").alias("a"), F.bool_or(F.col("list") == "block").alias("b"))
-    number = ipv4_number(F.col(ip_col))
-    ips = df.select(ip_col).distinct().select(ip_col, F.explode(F.array(*[
-        F.struct(F.lit(n).alias("bits"), F.floor(number / float(2 ** (32 - n))).cast("bigint").alias("masked")) for n in lengths])).alias("m"))
-    hits = ips.join(per_net, (F.col("m.bits") == per_net["bits"]) & (F.col("m.masked") == per_net["masked"]))
-    verdict = hits.groupBy(ip_col).agg((F.bool_or("a") | ~F.bool_or("b")).alias("__ok"))
-    return df.join(verdict, ip_col, "left").withColumn("allowed", F.coalesce("__ok", F.lit(True))).drop("__ok")
+    """Add ``allowed``: an allow-listed network beats a block-listed one, an address in no network
+    is allowed, and one that can't be read (null too) is not, whatever the lists say.
+
+    ``networks``: (network 'address/n' or a bare address, of IPv4 or IPv6; list 'allow'|'block').
+    A network that can't be read, or whose prefix is longer than its addresses, is an error. The
+    families are apart: an IPv6 form of an IPv4 address lies in IPv6 networks. Containment is an
+    equality on (digits, prefix length, masked prefix), so the network table may be of any size;
+    the driver only learns which prefix lengths occur."""
+    base, length = F.substring_index("network", "/", 1), F.substring_index("network", "/", -1)
+    nets = networks.select("network", "list", address_digits(base).alias("digits"), F.when(F.contains("network", F.lit("/")), length.try_cast("int")).otherwise(999).alias("n"))
+    most = F.length("digits") * 4
+    nets = nets.withColumn("bits", F.when(F.col("n") == 999, most).otherwise(F.col("n")))
+    bad = nets.filter(F.col("digits").isNull() | F.col("bits").isNull() | (F.col("bits") < 0) | (F.col("bits") > most)).limit(5).collect()
+    if bad:
+        raise ValueError(f"unreadable networks: {[r['network'] for r in bad]}")
+    nets = nets.select("list", F.length("digits").alias("family"), "bits", prefix_key(F.col("digits"), F.col("bits")).alias("prefix"))
+    lengths = sorted(tuple(r) for r in nets.select("family", "bits").distinct().collect())  # at most 33 and 129
+    ips = df.select(ip_col).distinct().select(ip_col, address_digits(F.col(ip_col)).alias("digits"))
+    per_net = nets.groupBy("family", "bits", "prefix").agg(F.bool_or(F.col("list") == "allow").alias("a"), F.bool_or(F.col("list") == "block").alias("b"))
+    wanted = F.array(*[F.struct(F.lit(f).alias("family"), F.lit(n).alias("bits")) for f, n in lengths]) if lengths else F.array().cast("array<struct<family:int,bits:int>>")
+    own = F.filter(wanted, lambda w: w["family"] == F.length("digits"))
+    keyed = ips.select(ip_col, "digits", F.explode(own).alias("w")).select(ip_col, "w.family", "w.bits", prefix_key(F.col("digits"), F.col("w.bits")).alias("prefix"))
+    hits = keyed.join(per_net, ["family", "bits", "prefix"])
+    verdict = hits.groupBy(F.col(ip_col).alias("__ip")).agg((F.bool_or("a") | ~F.bool_or("b")).alias("__ok"))
+    known = ips.select(F.col(ip_col).alias("__ip"), F.col("digits").isNotNull().alias("__read")).join(verdict, "__ip", "left")
+    known = known.select("__ip", (F.col("__read") & F.coalesce("__ok", F.lit(True))).alias("__ok"))
+    joined = df.join(known, F.col(ip_col) == F.col("__ip"), "left")
+    return joined.select(*[F.col(c) for c in df.columns], F.coalesce("__ok", F.lit(False)).alias("allowed"))
 
 
 def trigrams(text: Column) -> Column:

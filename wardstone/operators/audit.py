@@ -30,7 +30,7 @@ def entry_body(id_: Column, sequence: Column, fields: list[Column]) -> Column:
     return F.concat(*[F.coalesce(c.cast("string"), F.lit("")) for c in (id_, sequence, *fields)])
 
 
-def build_chain(events: DataFrame, chain: str, order: list[str], bucket: Column, id_col: str, fields: list[str], segment_rows: int = 1000) -> DataFrame:
+def build_chain(events: DataFrame, chain: str, order: list[str], bucket: Column | None, id_col: str, fields: list[str], segment_rows: int = 1000) -> DataFrame:
     """Add sequence, segment, previous_hash and entry_hash per chain.
 
     A hash chain is sequential by nature, so a chain is a series of segments of a fixed number
@@ -119,7 +119,7 @@ def verify_chain(chained: DataFrame, chain: str, id_col: str, fields: list[str],
 
 
 def _broken_links(chained: DataFrame, chain: str, id_col: str, fields: list[str], segment_rows: int) -> DataFrame:
-    seen = along(chained, [chain], ["sequence"], F.floor(F.col("sequence") / segment_rows), lags={"__prev": F.col("entry_hash")}, position="__pos")
+    seen = along(chained, [chain], ["sequence"], lags={"__prev": F.col("entry_hash")}, position="__pos")
     h = F.sha2(F.concat(entry_body(F.col(id_col), F.col("sequence"), [F.col(c) for c in fields]), F.coalesce("previous_hash", F.lit(""))), 256)
     starts = (F.col("sequence") - 1) % segment_rows == 0
     expected = F.when(~starts, F.col("__prev"))

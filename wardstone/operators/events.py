@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.ordering import along, first_n, grouped_index
+from ..functions.ordering import along, first_n, grouped_index, in_cells, join_same
 from ..functions.strategies import hmac_sha256
+from ..session import cut
 from .audit import category_of
 
 # ---- fixed values: histogram bounds ---------------------------------------------------------
@@ -47,11 +48,11 @@ def recent_events(events: DataFrame, order: list[str], n: int) -> DataFrame:
     return events.orderBy(*[F.desc(c) for c in order]).limit(n)
 
 
-def recent_by_type(events: DataFrame, order: list[str], bucket: Column, n: int) -> DataFrame:
+def recent_by_type(events: DataFrame, order: list[str], bucket: Column | None, n: int) -> DataFrame:
     return first_n(events, ["event_type"], order, bucket, n, "rank", descending=True)
 
 
-def batch_events(events: DataFrame, order: list[str], bucket: Column, size: int) -> DataFrame:
+def batch_events(events: DataFrame, order: list[str], bucket: Column | None, size: int) -> DataFrame:
     placed = grouped_index(events, ["event_type"], order, bucket, "__pos")
     return placed.withColumn("batch", F.floor((F.col("__pos") - 1) / size)).drop("__pos")
 
@@ -64,10 +65,11 @@ def delivery_stats(deliveries: DataFrame, target: str, ok: Column, time_col: str
         F.max(F.when(ok, F.col(time_col))).alias("last_success"), F.max(F.when(~ok, F.col(time_col))).alias("last_failure"))
 
 
-def failure_streaks(deliveries: DataFrame, target: str, order: list[str], bucket: Column, ok: Column, threshold: int) -> DataFrame:
+def failure_streaks(deliveries: DataFrame, target: str, order: list[str], bucket: Column | None, ok: Column, threshold: int) -> DataFrame:
     """Consecutive failures after each delivery, and whether the target is disabled then."""
-    placed = along(deliveries, [target], order, bucket, position="__pos")
-    seen = along(placed, [target], order, bucket, maxima={"__good": F.when(ok, F.col("__pos"))})
+    base, bucket, cells = in_cells(deliveries, [target], order, bucket)
+    placed = along(base, [target], order, bucket, cells=cells, position="__pos")
+    seen = along(placed, [target], order, bucket, cells=cells, maxima={"__good": F.when(ok, F.col("__pos"))})
     streak = F.col("__pos") - F.coalesce("__good", F.lit(0))
     return seen.select(*deliveries.columns, streak.alias("consecutive_failures"), (streak >= threshold).alias("disabled"))
 
@@ -76,7 +78,7 @@ def retry_delay(attempt: Column, base: float = 1.0, multiplier: float = 2.0, lon
     return F.least(F.floor(base * F.pow(F.lit(multiplier), attempt - 1)), F.lit(longest)).cast("bigint")
 
 
-def retry_schedule(attempts: DataFrame, delivery: list[str], order: list[str], bucket: Column, time_col: str, max_attempts: int, base: float = 1.0,
+def retry_schedule(attempts: DataFrame, delivery: list[str], order: list[str], bucket: Column | None, time_col: str, max_attempts: int, base: float = 1.0,
                    multiplier: float = 2.0, longest: int = 60) -> DataFrame:
     """Failed attempts numbered per delivery with status, delay and next retry (in seconds)."""
     placed = grouped_index(attempts, delivery, order, bucket, "attempt")
@@ -119,7 +121,7 @@ def rate_buckets(events: DataFrame, key: str, time_col: str, units: list[str] =
     return out
 
 
-def brute_force(events: DataFrame, key: str, time_col: str, tie: str, failed: Column, succeeded: Column, bucket: Column, max_failures: int = 5, lock_seconds: int = 900) -> DataFrame:
+def brute_force(events: DataFrame, key: str, time_col: str, tie: str, failed: Column, succeeded: Column, bucket: Column | None, max_failures: int = 5, lock_seconds: int = 900) -> DataFrame:
     """Per failure: failures inside the window since the last success, whether that locks the
     key, and whether it was locked already.
 
@@ -129,17 +131,19 @@ def brute_force(events: DataFrame, key: str, time_col: str, tie: str, failed: Co
     width = lock_seconds * 1_000_000
     order = ["ts_us", "tie"]
     base = events.select(F.col(key).alias("key"), F.unix_micros(F.col(time_col).cast("timestamp")).alias("ts_us"), F.col(tie).alias("tie"),
-                         bucket.alias("b"), failed.alias("bad"), succeeded.alias("good")).filter("bad OR good")
-    cutup = along(base, ["key"], order, F.col("b"), sums={"island": F.col("good").cast("bigint")}).filter("bad")
+                         *([] if bucket is None else [bucket.alias("b")]), failed.alias("bad"), succeeded.alias("good")).filter("bad OR good")
+    base, bucket, cells = in_cells(base, ["key"], order, None if bucket is None else F.col("b"))
+    base = base.withColumn("b", bucket)
+    cutup = along(base, ["key"], order, F.col("b"), cells=cells, sums={"island": F.col("good").cast("bigint")}).filter("bad")
     cell = F.floor(F.col("ts_us") / width)
     visits = cutup.withColumn("v", F.explode(F.array(F.struct(cell.alias("cell"), F.lit(False).alias("guest")), F.struct((cell + 1).alias("cell"), F.lit(True).alias("guest")))))
     near = W.partitionBy("key", "island", "v.cell").orderBy("ts_us").rangeBetween(-(width - 1), 0)
     peers = W.partitionBy("key", "island", "v.cell", "ts_us").orderBy(F.desc("tie"))
     counted = visits.select("*", (F.count("*").over(near) - F.row_number().over(peers) + 1).alias("attempts")).filter(~F.col("v.guest"))
     locks = F.when(F.col("attempts") >= max_failures, F.col("ts_us") + width)
-    timed = along(counted.select("key", "ts_us", "tie", "b", "island", "attempts"), ["key", "island"], order, F.col("b"), maxima={"lock_until": locks})
+    timed = along(counted.select("key", "ts_us", "tie", "b", "island", "attempts"), ["key", "island"], order, F.col("b"), cells=cells, maxima={"lock_until": locks})
     # the lock in force before this attempt comes from the row before
-    final = along(timed, ["key", "island"], order, F.col("b"), lags={"__held": F.col("lock_until")})
+    final = along(timed, ["key", "island"], order, F.col("b"), cells=cells, lags={"__held": F.col("lock_until")})
     return final.select(F.col("key").alias(key), F.col("tie").alias(tie), "attempts", (F.col("attempts") >= max_failures).alias("locks"),
                         F.coalesce(F.col("__held") > F.col("ts_us"), F.lit(False)).alias("was_locked"))
 
@@ -164,10 +168,77 @@ def histogram(log: DataFrame, dims: list[str], value: Column, bounds: list[float
     return wide.select(*dims, "total", F.explode(F.array(*[F.struct(F.lit(b).alias("le"), F.col(f"b{i}").alias("n")) for i, b in enumerate(bounds)])).alias("x")).select(*dims, "total", "x.le", "x.n")
 
 
+#: Cells of a round of the selection, values of one group that may meet in a sort, and its salts.
+SELECT_CELLS, SELECT_FEW, SELECT_SALTS = 256, 10_000, 16
+
+
+def magnitude(x: Column) -> Column:
+    """A logarithm of either sign: never falls while x rises, 0 at 0, and finite."""
+    return F.when(x == 0, F.lit(0.0)).otherwise(F.signum(x) * F.least(F.ln(F.abs(x)) + 745, F.lit(1500.0)))
+
+
+def exact_quantiles(log: DataFrame, dims: list[str], value: str, marks: dict[str, float], few: int = SELECT_FEW) -> DataFrame:
+    """Interpolated quantiles of each group, exact. Null and NaN values are left out; a group
+    without values has null quantiles.
+
+    Distributed selection: a quantile lies between two ranks. One aggregate counts the values of a
+    group in SELECT_CELLS cells of its range, and only the cell that holds the rank goes on, with
+    its own least and largest value as the next range, until the range is one value or holds at
+    most ``few``, which are sorted. All groups and ranks go on together, and no buffer ever holds
+    the values of a larger group."""
+    x = F.col(value).cast("double")
+    keyed = log.select(*[F.col(d).alias(f"__d{k}") for k, d in enumerate(dims)], F.when(~F.isnan(x), x).alias("v"))
+    keys = [f"__d{k}" for k in range(len(dims))]
+    groups = cut(keyed.groupBy(*keys).agg(F.count("v").alias("size"), F.min("v").alias("lo"), F.max("v").alias("hi")))
+    values = keyed.filter("v IS NOT NULL").withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SELECT_SALTS)).cast("int"))
+    places = F.array(*[F.struct(F.lit(n).alias("mark"), (F.lit(m) * (F.col("size") - 1)).alias("place")) for n, m in marks.items()])
+    wanted = groups.filter("size > 0").select("*", F.explode(places).alias("p"))
+    ends = F.array_distinct(F.array(F.floor("p.place"), F.ceil("p.place")))
+    open_ = wanted.select(*keys, F.explode(ends).alias("target"), "size", "lo", "hi").distinct().withColumn("rank", F.col("target"))
+    settled = None
+
+    def near(ranges: DataFrame) -> DataFrame:
+        """Values joined with the ranges they lie in; ranges are repeated for every salt."""
+        salted = ranges.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SELECT_SALTS - 1))))
+        return join_same(values, salted, [*keys, "salt"]).filter(F.col("v").between(F.col("lo"), F.col("hi")))
+
+    while True:
+        done = open_.filter((F.col("lo") == F.col("hi")) | (F.col("size") <= few))
+        settled = done if settled is None else settled.unionByName(done)
+        open_ = open_.filter((F.col("lo") < F.col("hi")) & (F.col("size") > few))
+        if open_.isEmpty():
+            break
+        ranges = open_.select(*keys, "lo", "hi").distinct()
+        # a range of many magnitudes is cut along logarithms, else evenly: a few rounds either way
+        lo, hi, at = (magnitude(F.col(c)) for c in ("lo", "hi", "v"))
+        even = (F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
+        share = F.when(hi - lo > 1, (at - lo) / (hi - lo)).otherwise(even)
+        cell = F.least(F.floor(share * SELECT_CELLS), F.lit(SELECT_CELLS - 1))
+        counts = near(ranges).groupBy(*keys, "lo", "hi", cell.alias("cell")).agg(F.count("*").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"))
+        upto = F.sum("n").over(W.partitionBy(*keys, "lo", "hi").orderBy("cell"))  # at most SELECT_CELLS rows
+        counts = counts.withColumn("upto", upto)
+        both = join_same(open_, counts, [*keys, "lo", "hi"]).filter((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n")))
+        open_ = cut(both.select(*keys, "target", F.col("n").alias("size"), F.col("least").alias("lo"), F.col("most").alias("hi"),
+                                (F.col("rank") - F.col("upto") + F.col("n")).alias("rank")))
+    small = settled.filter("lo < hi").select(*keys, "lo", "hi").distinct()
+    lists = near(small).groupBy(*keys, "lo", "hi").agg(F.array_sort(F.collect_list("v")).alias("values"))
+    picked = join_same(settled, lists, [*keys, "lo", "hi"], "left")
+    found = picked.select(*keys, "target", F.coalesce(F.get("values", F.col("rank").cast("int")), F.col("lo")).alias("found"))
+    held = found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("target", "found"))).alias("found"))  # two for each mark
+    whole = join_same(groups.select(*keys, "size"), held, keys, "left")
+
+    def quantile(m: float) -> Column:
+        place = F.lit(m) * (F.col("size") - 1)
+        low, high = (F.try_element_at("found", e(place)) for e in (F.floor, F.ceil))
+        return low + (high - low) * (place - F.floor(place))
+
+    return whole.select(*[F.col(k).alias(d) for k, d in zip(keys, dims, strict=True)], *[F.round(quantile(m), 6).alias(n) for n, m in marks.items()])
+
+
 def latency_quantiles(log: DataFrame, dims: list[str], value: str, exact: bool = True) -> DataFrame:
     marks = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
     if exact:
-        return log.groupBy(*dims).agg(*[F.round(F.percentile(value, m), 6).alias(n) for n, m in marks.items()])
+        return exact_quantiles(log, dims, value, marks)
     return log.groupBy(*dims).agg(*[F.approx_percentile(value, m).alias(n) for n, m in marks.items()])
 
 

@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut
 
+#: Starts of a block: the bits of a whole number.
+BLOCK = 64
+
 
 def closure(edges: DataFrame, starts: DataFrame, direction: str = "down", max_depth: int | None = None) -> DataFrame:
     """(start, node, depth): nodes reachable from each start, each once at its least depth,
@@ -69,12 +72,49 @@ def graph_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return n.unionByName(edges.groupBy(F.concat(F.lit("edge:"), "kind").alias("kind")).agg(F.count("*").alias("n")))
 
 
+def reach_counts(edges: DataFrame, starts: DataFrame, nodes: DataFrame, label: str, direction: str = "down", max_depth: int | None = None) -> DataFrame:
+    """(start, label, depth, n): how many nodes of each label (a column of ``nodes``) are reached
+    from each start, by their least depth; the start itself is left out, and nodes that are not in
+    ``nodes`` don't count.
+
+    A breadth-first search from all starts at once, BLOCK of them to a number: a node carries the
+    starts that reach it as bits, a round sends new bits along the edges, joins them by OR and
+    keeps what was not there. No (start, node) pair is ever a row; a round moves at most a number
+    for each edge and block, and totals are sums of bits."""
+    a, b = ("source", "target") if direction == "down" else ("target", "source")
+    first = cut(starts.select("node").distinct().withColumn("at", F.monotonically_increasing_id()))
+    hop = cut(edges.select(F.col(a).alias("from"), F.col(b).alias("to")).distinct().repartition("from"))
+    bit = F.pmod(F.col("at"), F.lit(BLOCK)).cast("int")
+    front = first.select("node", F.floor(F.col("at") / BLOCK).alias("block"), F.call_function("shiftleft", F.lit(1).cast("bigint"), bit).alias("bits"))
+    none = F.lit(0).cast("bigint")
+    seen, found, depth = front, None, 0
+    while max_depth is None or depth < max_depth:
+        depth += 1
+        step = front.join(hop, F.col("node") == F.col("from")).select(F.col("to").alias("node"), "block", "bits", none.alias("old"))
+        both = step.union(seen.select("node", "block", none.alias("bits"), F.col("bits").alias("old")))
+        joined = both.groupBy("node", "block").agg(F.bit_or("bits").alias("bits"), F.bit_or("old").alias("old"))
+        now = cut(joined.select("node", "block", F.col("bits").bitwiseOR(F.col("old")).alias("bits"), F.col("bits").bitwiseAND(F.bitwise_not("old")).alias("fresh")))
+        seen = now.select("node", "block", "bits")
+        front = now.filter("fresh <> 0").select("node", "block", F.col("fresh").alias("bits"))
+        if front.isEmpty():
+            break
+        new = front.withColumn("depth", F.lit(depth))
+        found = new if found is None else found.union(new)
+    if found is None:
+        found = front.withColumn("depth", F.lit(0)).limit(0)
+    ones = [F.sum(F.shiftrightunsigned("bits", k).bitwiseAND(F.lit(1).cast("bigint"))).alias(f"n{k}") for k in range(BLOCK)]
+    totals = found.join(nodes.select("node", label), "node").groupBy("block", label, "depth").agg(*ones)
+    each = F.posexplode(F.array(*[f"n{k}" for k in range(BLOCK)])).alias("bit", "n")
+    counted = totals.select((F.col("block") * BLOCK).alias("__at"), label, "depth", each).filter("n > 0")
+    return counted.join(first, F.col("__at") + F.col("bit") == F.col("at")).select(F.col("node").alias("start"), label, "depth", "n")
+
+
 def impact_analysis(nodes: DataFrame, edges: DataFrame, starts: DataFrame, types=("dataset", "model", "output")) -> DataFrame:
-    """Downstream totals by type for every start. The ids stay rows of ``closure``: an impact
-    of millions of nodes is a table, not one list."""
-    reached = closure(edges, starts).join(nodes.select("node", "type"), "node")
-    per = reached.groupBy("start").agg(F.count("*").alias("affected"), F.max("depth").alias("max_depth"),
-                                       *[F.count_if(F.col("type") == t).alias(f"{t}s") for t in types])
+    """Downstream totals by type for every start, by ``reach_counts``. The nodes themselves are
+    rows of ``closure``, for starts whose impact is to be listed."""
+    reached = reach_counts(edges, starts, nodes, "type")
+    per = reached.groupBy("start").agg(F.sum("n").alias("affected"), F.max("depth").alias("max_depth"),
+                                       *[F.sum(F.when(F.col("type") == t, F.col("n"))).alias(f"{t}s") for t in types])
     zero = F.lit(0)
     return starts.select(F.col("node").alias("start")).join(per, "start", "left").select(
         "start", *[F.coalesce(c, zero).alias(c) for c in ("affected", "max_depth", *[f"{t}s" for t in types])])

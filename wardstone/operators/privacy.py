@@ -9,7 +9,7 @@ from itertools import product
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.ordering import along, join_same
+from ..functions.ordering import along, in_cells, join_same
 from ..functions.strategies import unit_noise
 from ..session import cut
 
@@ -200,7 +200,7 @@ def charge(epsilon: Column, k: Column, composition: str, delta: float = 1e-5) ->
     return F.round(epsilon * F.sqrt(2 * k * log(1 / delta)) * 1e6).cast("bigint")
 
 
-def privacy_ledger(requests: DataFrame, dataset: str, order: list[str], epsilon: str, bucket: Column, budget: float,
+def privacy_ledger(requests: DataFrame, dataset: str, order: list[str], epsilon: str, bucket: Column | None, budget: float,
                    composition: str = "basic") -> DataFrame:
     """Charge requests in order; a request is accepted while the total stays within budget.
 
@@ -211,12 +211,13 @@ def privacy_ledger(requests: DataFrame, dataset: str, order: list[str], epsilon:
     of distinct epsilons, and every round works on all datasets at once."""
     limit = int(round(budget * 1e6))
     at = F.struct(*order)
-    todo = requests.select("*", bucket.alias("__b"), F.lit(0).cast("bigint").alias("__spent"), F.lit(0).cast("bigint").alias("__k"))
+    requests_in, bucket, cells = in_cells(requests, [dataset], order, bucket)
+    todo = requests_in.select("*", bucket.alias("__b"), F.lit(0).cast("bigint").alias("__spent"), F.lit(0).cast("bigint").alias("__k"))
     settled = None
     while True:
-        placed = along(todo, [dataset], order, F.col("__b"), position="__pos")
+        placed = along(todo, [dataset], order, F.col("__b"), cells=cells, position="__pos")
         priced = placed.withColumn("__cost", charge(F.col(epsilon), F.col("__k") + F.col("__pos"), composition))
-        summed = along(priced, [dataset], order, F.col("__b"), sums={"__run": F.col("__cost")})
+        summed = along(priced, [dataset], order, F.col("__b"), cells=cells, sums={"__run": F.col("__cost")})
         summed = cut(summed.withColumn("__total", F.col("__run") + F.col("__spent")))
         over = F.col("__total") > limit
         stops = summed.filter(over).groupBy(dataset).agg(

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.ordering import sorted_slice
+
 
 def where_set(df: DataFrame, filters: dict[str, object]) -> DataFrame:
     """Conjunction of the equality filters that are set; lists mean IN."""
@@ -15,7 +17,7 @@ def where_set(df: DataFrame, filters: dict[str, object]) -> DataFrame:
 
 
 def list_records(df: DataFrame, filters: dict[str, object], order: list, limit: int, offset: int = 0) -> DataFrame:
-    return where_set(df, filters).orderBy(*order).offset(offset).limit(limit)
+    return sorted_slice(where_set(df, filters), order, offset, limit)
 
 
 def query_records(df: DataFrame, predicate: str, fields: list[str]) -> DataFrame:
@@ -33,7 +35,7 @@ def audit_query(df: DataFrame, filters: dict[str, object], time_col: str, start:
         out = out.filter(F.col(time_col) <= F.lit(end).cast(kind))
     if limit is None:
         return out
-    return out.orderBy(*order).offset(offset).limit(limit)
+    return sorted_slice(out, order, offset, limit)
 
 
 def find_by_tag(df: DataFrame, tags: str, key: str, value: str) -> DataFrame:

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.ordering import along, first_n, grouped_index, hash_bucket, hash_key, join_same
+from ..functions.ordering import along, first_n, grouped_index, hash_bucket, hash_key, join_same, sorted_slice
 
 UNIT = float(16**13)
 
@@ -30,7 +30,7 @@ def sample_stratified(df: DataFrame, stratum: str, key: str, seed: str, n: int |
     return first_n(h, [stratum], ["__h", key], hash_bucket(F.col("__h")), n, "__pos").select(*df.columns)
 
 
-def sample_systematic(df: DataFrame, order: str, bucket: Column, interval: int, offset: int = 0) -> DataFrame:
+def sample_systematic(df: DataFrame, order: str, bucket: Column | None, interval: int, offset: int = 0) -> DataFrame:
     """Every ``interval``-th row of the whole order."""
     placed = grouped_index(df, [], [order], bucket, "__pos")
     return placed.filter((F.col("__pos") - 1 - offset) % interval == 0).select(*df.columns)
@@ -56,7 +56,7 @@ def corpus_entries(turns: DataFrame, conv: str, turn: str, role: str, text: str,
     answers (``truth``: conv, turn, ground_truth) also prompt with ground truth. An entry is
     complete if it holds all that its type asks for."""
     nxt = F.struct(F.col(role).alias("role"), F.col(text).alias("text"))
-    seen = along(turns, [conv], [turn], F.floor(F.col(turn) / 1000), leads={"__next": nxt})
+    seen = along(turns, [conv], [turn], leads={"__next": nxt})
     answered = F.coalesce(F.col("__next.role") == "assistant", F.lit(False))
     asked = seen.filter(F.col(role) == "user")
     if truth is None:
@@ -92,7 +92,7 @@ def page(df: DataFrame, order: list, number: int = 1, size: int = 20, largest: i
     """A page of a sorted table plus page facts (size 0 means 20; page 0 means 1). No page is
     larger than ``largest``: a larger size gives pages of that many rows, and says so."""
     number, size = max(number, 1), min(size or 20, largest)
-    rows = df.orderBy(*order).offset((number - 1) * size).limit(size)
+    rows = sorted_slice(df, order, (number - 1) * size, size)
     total = df.agg(F.count("*").alias("total_items"))
     pages = F.ceil(F.col("total_items") / size)
     facts = total.select(
@@ -101,10 +101,11 @@ def page(df: DataFrame, order: list, number: int = 1, size: int = 20, largest: i
     return rows.crossJoin(F.broadcast(facts))  # one row of facts
 
 
-def cursor_page(df: DataFrame, columns: tuple[str, str], cursor: tuple | None, limit: int = 20, backward: bool = False) -> DataFrame:
-    """Keyset paging on (value, key): rows after the cursor, and whether more follow."""
+def cursor_page(df: DataFrame, columns: tuple[str, str], cursor: tuple | None, limit: int = 20, backward: bool = False, largest: int = 100) -> DataFrame:
+    """Keyset paging on (value, key): rows after the cursor, and whether more follow. No page is
+    larger than ``largest``; a larger limit gives that many rows, and has_more says so."""
     a, b = (F.col(c) for c in columns)
-    limit = min(limit, 100)
+    limit = min(limit, largest)
     rows = df
     if cursor is not None:
         x, y = F.lit(cursor[0]), F.lit(cursor[1])

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.ordering import along, group_key, group_name
+from ..functions.ordering import along, group_key, group_name, in_cells
 from ..session import cut
 
 TOKEN = 1_000_000  # one token; a rate of r tokens per second refills r units per microsecond
@@ -171,16 +171,18 @@ def _starts(summaries: DataFrame, cap: int, fanout: int) -> DataFrame:
     return _by_group(up, group, ["chunk"]).mapInPandas(job, f"key {kind}, run bigint, chunk bigint, level bigint")
 
 
-def token_bucket(events: DataFrame, key: str, time_col: str, tie: str, bucket: Column, rate: int, burst: int, chunk_rows: int = 1000, fanout: int = 1000) -> DataFrame:
+def token_bucket(events: DataFrame, key: str, time_col: str, tie: str, bucket: Column | None, rate: int, burst: int, chunk_rows: int = 1000, fanout: int = 1000) -> DataFrame:
     """(key, tie, allowed, remaining): ``rate`` tokens per second up to ``burst``, one each."""
     cap = burst * TOKEN
     order = ["ts_us", "tie"]
-    base = events.select(group_name(key).alias("key"), F.unix_micros(F.col(time_col).cast("timestamp")).alias("ts_us"), F.col(tie).alias("tie"), bucket.alias("b"))
-    timed = along(base, ["key"], order, F.col("b"), lags={"before": F.col("ts_us")})
+    base = events.select(group_name(key).alias("key"), F.unix_micros(F.col(time_col).cast("timestamp")).alias("ts_us"), F.col(tie).alias("tie"), *([] if bucket is None else [bucket.alias("b")]))
+    base, bucket, cells = in_cells(base, ["key"], order, None if bucket is None else F.col("b"))
+    base = base.withColumn("b", bucket)
+    timed = along(base, ["key"], order, F.col("b"), cells=cells, lags={"before": F.col("ts_us")})
     gained = F.least((F.col("ts_us") - F.col("before")) * rate, F.lit(cap))
     timed = timed.withColumn("gained", F.coalesce(gained, F.lit(cap)).cast("bigint"))
-    runs = along(timed, ["key"], order, F.col("b"), sums={"run": (F.col("gained") >= cap).cast("bigint")})
-    placed = along(runs, ["key", "run"], order, F.col("b"), position="pos")
+    runs = along(timed, ["key"], order, F.col("b"), cells=cells, sums={"run": (F.col("gained") >= cap).cast("bigint")})
+    placed = along(runs, ["key", "run"], order, F.col("b"), cells=cells, position="pos")
     rows = cut(placed.select("key", "run", F.floor((F.col("pos") - 1) / chunk_rows).alias("chunk"), "gained", *order))
     long_runs = rows.filter("chunk > 0").select("key", "run").distinct()
     if long_runs.isEmpty():
@@ -207,7 +209,7 @@ def token_bucket(events: DataFrame, key: str, time_col: str, tie: str, bucket: C
     return out.select(group_key("key", events.schema[key].dataType.simpleString()).alias(key), F.col("tie").alias(tie), "allowed", "remaining")
 
 
-def sliding_limit(events: DataFrame, key: str, time_col: str, tie: str, bucket: Column, limit: int, window_seconds: int) -> DataFrame:
+def sliding_limit(events: DataFrame, key: str, time_col: str, tie: str, bucket: Column | None, limit: int, window_seconds: int) -> DataFrame:
     """(key, tie, allowed): at most ``limit`` accepted requests in any window; refused requests
     are not logged. Requests without a key share one log.
 
@@ -216,10 +218,12 @@ def sliding_limit(events: DataFrame, key: str, time_col: str, tie: str, bucket:
     in memory."""
     width = window_seconds * 1_000_000
     order = ["ts_us", "tie"]
-    base = events.select(group_name(key).alias("key"), F.unix_micros(F.col(time_col).cast("timestamp")).alias("ts_us"), F.col(tie).alias("tie"), bucket.alias("b"))
-    timed = along(base, ["key"], order, F.col("b"), lags={"before": F.col("ts_us")})
+    base = events.select(group_name(key).alias("key"), F.unix_micros(F.col(time_col).cast("timestamp")).alias("ts_us"), F.col(tie).alias("tie"), *([] if bucket is None else [bucket.alias("b")]))
+    base, bucket, cells = in_cells(base, ["key"], order, None if bucket is None else F.col("b"))
+    base = base.withColumn("b", bucket)
+    timed = along(base, ["key"], order, F.col("b"), cells=cells, lags={"before": F.col("ts_us")})
     fresh = F.coalesce(F.col("ts_us") - F.col("before") > width, F.lit(True)).cast("bigint")
-    runs = cut(along(timed, ["key"], order, F.col("b"), sums={"run": fresh}).select("key", "run", *order))
+    runs = cut(along(timed, ["key"], order, F.col("b"), cells=cells, sums={"run": fresh}).select("key", "run", *order))
     busy = runs.groupBy("key", "run").agg(F.count("*").alias("n")).filter(F.col("n") > limit).select("key", "run")
     calm = runs.join(busy, ["key", "run"], "left_anti").select("key", "tie", F.lit(True).alias("allowed"))
 

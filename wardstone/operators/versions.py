@@ -92,7 +92,7 @@ def three_way_merge(base: DataFrame, ours: DataFrame, theirs: DataFrame) -> Data
 
 
 # ------------------------------------------------------------------------------- history
-def number_versions(changes: DataFrame, key: str, order: list[str], bucket: Column) -> DataFrame:
+def number_versions(changes: DataFrame, key: str, order: list[str], bucket: Column | None = None) -> DataFrame:
     return grouped_index(changes, [key], order, bucket, "version")
 
 
@@ -125,7 +125,7 @@ def apply_updates(current: DataFrame, updates: DataFrame, key: str, value: str,
         F.when(asked == 0, "kept").when(hit, "updated").otherwise("conflict").alias("outcome"), (asked - hit.cast("int")).alias("conflicts"))
 
 
-def blame(versions: DataFrame, key: str, order: list[str], bucket: Column, fields: list[str], version_col: str) -> DataFrame:
+def blame(versions: DataFrame, key: str, order: list[str], bucket: Column | None, fields: list[str], version_col: str) -> DataFrame:
     """Last version that changed each field of each record."""
     seen = along(versions, [key], order, bucket, lags={f"__p_{f}": F.col(f) for f in fields}, position="__n")
     cells = [F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value"),

@@ -120,12 +120,12 @@ def changes(spark, sf):
 
 @query("v06_record_history", "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS version FROM events")
 def _(spark, sf):
-    return V.number_versions(changes(spark, sf), "user_id", ["ts", "event_id"], F.to_date("ts")).select("user_id", "event_id", "version")
+    return V.number_versions(changes(spark, sf), "user_id", ["ts", "event_id"], None).select("user_id", "event_id", "version")
 
 
 @query("v06_record_at_version", "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS v FROM events) WHERE v=5")
 def _(spark, sf):
-    v = V.number_versions(changes(spark, sf), "user_id", ["ts", "event_id"], F.to_date("ts"))
+    v = V.number_versions(changes(spark, sf), "user_id", ["ts", "event_id"], None)
     return V.record_at_version(v, 5).select("user_id", "event_id")
 
 
@@ -151,7 +151,7 @@ def _(spark, sf):
    c AS (SELECT user_id, 'event_type' AS field, event_type AS value, event_id, ts FROM l WHERE n=1 OR event_type IS DISTINCT FROM pt UNION ALL SELECT user_id, 'props', props, event_id, ts FROM l WHERE n=1 OR props IS DISTINCT FROM pp)
    SELECT user_id, field, arg_max(event_id,(ts,event_id)) AS last_changed, arg_max(value,(ts,event_id)) AS value, count(*) AS changes FROM c GROUP BY ALL""")
 def _(spark, sf):
-    return V.blame(changes(spark, sf), "user_id", ["ts", "event_id"], F.to_date("ts"), ["event_type", "props"], "event_id")
+    return V.blame(changes(spark, sf), "user_id", ["ts", "event_id"], None, ["event_type", "props"], "event_id")
 
 
 def _fold(src, group, out):

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W, functions as F
 
 from ..functions import conditions as C, text as T
 from ..operators import access as X, audit as U, detect as D, events as E, throttle
-from ..session import spread, table, workspace
+from ..session import cut, spread, table, workspace
 from ..streaming import jobs as ST
 from .anonymization import DEFAULT_SQL_TEXT, hmac_sql
 from .detection import docs
@@ -208,14 +208,14 @@ def audit_log(spark, sf):
 
 
 def chain(spark, sf):
-    return U.build_chain(audit_log(spark, sf), "user_id", ["ts", "event_id"], F.to_date("ts"), "event_id", FIELDS, segment_rows=50)
+    return U.build_chain(audit_log(spark, sf), "user_id", ["ts", "event_id"], None, "event_id", FIELDS, segment_rows=50)
 
 
 def forged_chain(spark, sf):
     """The chains as someone would rebuild them around a changed first entry."""
     first = F.min(F.struct("ts", "event_id")).over(W.partitionBy("user_id"))
     log = audit_log(spark, sf).withColumn("target", F.when(F.struct("ts", "event_id") == first, "forged").otherwise(F.col("target")))
-    return U.build_chain(log, "user_id", ["ts", "event_id"], F.to_date("ts"), "event_id", FIELDS, segment_rows=50)
+    return U.build_chain(log, "user_id", ["ts", "event_id"], None, "event_id", FIELDS, segment_rows=50)
 
 
 _CHAIN = f"""WITH RECURSIVE {_LOG}, b AS (SELECT user_id, event_id, sequence, {_BODY} AS body FROM lg), c AS (SELECT user_id, event_id, sequence, NULL::VARCHAR AS previous_hash, sha256(body) AS entry_hash FROM b WHERE sequence%50=1
@@ -238,14 +238,14 @@ def _(spark, sf):
      WHEN user_id%7=5 THEN CASE WHEN n%50=1 THEN 'segment missing' ELSE 'segment forged' END WHEN user_id%7=6 THEN 'seals forged' END AS why FROM n)""")
 def _(spark, sf):
     m, s = F.col("user_id") % 7, F.col("sequence")
-    c = chain(spark, sf)
+    c = cut(chain(spark, sf))  # the test data is made once
     changed = c.withColumn("target", F.when((m == 1) & (s == 9), "forged").otherwise(F.col("target")))
     # entry 4 removed: the chain stops at 5; entry 11's stored hash replaced: 12 no longer fits
     removed = changed.filter(~((m == 2) & (s == 4))).withColumn("sequence", s)
     linked = removed.withColumn("previous_hash", F.when((m == 3) & (s == 12), "0" * 64).otherwise(F.col("previous_hash")))
     # a whole chain rebuilt around a changed entry (4: its seals are not; 6: its seals too), and
     # the last entry cut off (5)
-    built = forged_chain(spark, sf).filter(m.isin(4, 6))
+    built = cut(forged_chain(spark, sf).filter(m.isin(4, 6)))
     count = F.count("*").over(W.partitionBy("user_id"))  # of a test chain; their lengths are small
     short = linked.filter(~m.isin(4, 6)).withColumn("__n", count).filter(~((m == 5) & (s == F.col("__n")))).drop("__n")
     entries = short.unionByName(built.select(*short.columns))
@@ -341,7 +341,7 @@ def _(spark, sf):
 
 @query("e03_recent_events", "SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS rank FROM events QUALIFY rank <= 25")
 def _(spark, sf):
-    return E.recent_by_type(events(spark, sf), ["ts", "event_id"], F.to_date("ts"), 25).select("event_id", "event_type", "rank")
+    return E.recent_by_type(events(spark, sf), ["ts", "event_id"], None, 25).select("event_id", "event_type", "rank")
 
 
 @query("e03_recent_overall", "SELECT event_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 100")
@@ -351,7 +351,7 @@ def _(spark, sf):
 
 @query("e04_batch_events", "SELECT event_id, event_type, (row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id)-1)//100 AS batch FROM events")
 def _(spark, sf):
-    return E.batch_events(events(spark, sf), ["ts", "event_id"], F.to_date("ts"), 100).select("event_id", "event_type", "batch")
+    return E.batch_events(events(spark, sf), ["ts", "event_id"], None, 100).select("event_id", "event_type", "batch")
 
 
 def ok():
@@ -371,7 +371,7 @@ def _(spark, sf):
 @query("e06_auto_disable", """WITH a AS (SELECT event_id, user_id, event_type, ts, sum((event_type<>'error')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g FROM events),
    b AS (SELECT event_id, user_id, event_type, CASE WHEN event_type<>'error' THEN 0 ELSE row_number() OVER (PARTITION BY user_id, g, event_type='error' ORDER BY ts, event_id) END AS c FROM a) SELECT event_id, user_id, c AS consecutive_failures, c>=3 AS disabled FROM b""")
 def _(spark, sf):
-    out = E.failure_streaks(events(spark, sf), "user_id", ["ts", "event_id"], F.to_date("ts"), ok(), 3)
+    out = E.failure_streaks(events(spark, sf), "user_id", ["ts", "event_id"], None, ok(), 3)
     return out.select("event_id", "user_id", "consecutive_failures", "disabled")
 
 
@@ -379,7 +379,7 @@ _RETRY = "r AS (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY us
 
 
 def retries(spark, sf):
-    return E.retry_schedule(events(spark, sf).filter(~ok()), ["user_id"], ["ts", "event_id"], F.to_date("ts"), "ts", 8)
+    return E.retry_schedule(events(spark, sf).filter(~ok()), ["user_id"], ["ts", "event_id"], None, "ts", 8)
 
 
 @query("e07_retry_schedule", f"WITH {_RETRY} SELECT event_id, attempt, status, delay, CAST(floor(epoch(ts)) AS BIGINT)+delay AS next_retry FROM s")
@@ -431,7 +431,7 @@ def packed(spark, sf):
 
 @query("e11_rate_limit_token_bucket", _bucket_sql("user_id%3", "(epoch_us(ts)-1704067200000000)//1000", 1, 5))
 def _(spark, sf):
-    out = throttle.token_bucket(packed(spark, sf), "client", "at", "event_id", F.date_trunc("minute", "at"), 1, 5, chunk_rows=500, fanout=16)
+    out = throttle.token_bucket(packed(spark, sf), "client", "at", "event_id", None, 1, 5, chunk_rows=500, fanout=16)
     return out.select("event_id", "allowed", "remaining")
 
 
@@ -444,7 +444,7 @@ def _sliding_sql(key, us, limit, width):
 
 @query("e12_rate_limit_sliding", _sliding_sql("user_id%3", "(epoch_us(ts)-1704067200000000)//1000", 3, 2000000))
 def _(spark, sf):
-    return throttle.sliding_limit(packed(spark, sf), "client", "at", "event_id", F.date_trunc("minute", "at"), 3, 2).select("event_id", "allowed")
+    return throttle.sliding_limit(packed(spark, sf), "client", "at", "event_id", None, 3, 2).select("event_id", "allowed")
 
 
 @query("e13_rate_buckets", "SELECT user_id, 'minute' AS unit, strftime(date_trunc('minute',ts),'%Y-%m-%d %H:%M') AS bucket_start, count(*) AS requests FROM events GROUP BY ALL UNION ALL SELECT user_id, 'hour', strftime(date_trunc('hour',ts),'%Y-%m-%d %H:%M'), count(*) FROM events GROUP BY ALL UNION ALL SELECT user_id, 'day', strftime(date_trunc('day',ts),'%Y-%m-%d %H:%M'), count(*) FROM events GROUP BY ALL")
@@ -461,7 +461,7 @@ _BF = """i AS (SELECT *, epoch_us(ts) AS us, sum((event_type='signup')::INT) OVE
 @query("e14_brute_force", f"WITH {_BF} SELECT event_id, attempts, attempts>=3 AS locks, coalesce(held>us,false) AS was_locked FROM h")
 def _(spark, sf):
     e = events(spark, sf).withColumn("client", F.col("user_id") % 3)
-    out = E.brute_force(e, "client", "ts", "event_id", F.col("event_type") == "error", F.col("event_type") == "signup", F.to_date("ts"), 3, 7200)
+    out = E.brute_force(e, "client", "ts", "event_id", F.col("event_type") == "error", F.col("event_type") == "signup", None, 3, 7200)
     return out.select("event_id", "attempts", "locks", "was_locked")
 
 
@@ -470,7 +470,7 @@ def _(spark, sf):
    UNION ALL SELECT 'unknown', r, l, count(*) FROM (SELECT 'sql_injection' AS r, 'critical' AS l FROM pages WHERE {_any_sql('html', T.SQL_INJECTION)} UNION ALL SELECT 'xss','high' FROM pages WHERE {_any_sql('html', T.XSS)} UNION ALL SELECT 'path_traversal','high' FROM pages WHERE {_any_sql('html', T.PATH_TRAVERSAL)}) GROUP BY ALL""")
 def _(spark, sf):
     e = events(spark, sf).withColumn("client", F.col("user_id") % 3)
-    locks = E.brute_force(e, "client", "ts", "event_id", F.col("event_type") == "error", F.col("event_type") == "signup", F.to_date("ts"), 3, 7200).filter("locks")
+    locks = E.brute_force(e, "client", "ts", "event_id", F.col("event_type") == "error", F.col("event_type") == "signup", None, 3, 7200).filter("locks")
     a = locks.select(F.concat(F.lit("client:"), F.col("client").cast("string")).alias("key"), F.lit("brute_force").alias("kind"), F.lit("high").alias("level"))
     ips = D.detect(docs(spark, sf), "text", ["doc_id"]).filter("pii_type = 'ip_address'").select("value")
     blocked = T.ip_filter(ips, "value", spark.createDataFrame([("0.0.0.0/2", "block")], "network string, list string")).filter("NOT allowed")

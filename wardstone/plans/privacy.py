@@ -172,11 +172,11 @@ def _requests(spark, sf):
 
 @query("k10_privacy_ledger_basic", _ledger_sql("round(r.eps*1e6)::BIGINT", 40000000))
 def _(spark, sf):
-    out = K.privacy_ledger(_requests(spark, sf), "event_type", ["ts", "event_id"], "eps", F.to_date("ts"), 40.0)
+    out = K.privacy_ledger(_requests(spark, sf), "event_type", ["ts", "event_id"], "eps", None, 40.0)
     return out.select("event_id", "accepted", "charged_micro")
 
 
 @query("k10_privacy_ledger_advanced", _ledger_sql("round(r.eps*sqrt(2*(s.k+1)*11.512925464970229::DOUBLE)*1e6)::BIGINT", 900000000))
 def _(spark, sf):
-    out = K.privacy_ledger(_requests(spark, sf), "event_type", ["ts", "event_id"], "eps", F.to_date("ts"), 900.0, "advanced")
+    out = K.privacy_ledger(_requests(spark, sf), "event_type", ["ts", "event_id"], "eps", None, 900.0, "advanced")
     return out.select("event_id", "accepted", "charged_micro")

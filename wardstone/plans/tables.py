@@ -126,11 +126,33 @@ def _(spark, sf):
     return S.locate_hits(docs(spark, sf), "text", ["doc_id"])
 
 
-@query("s09_scan_summary", _LINES + " SELECT pii_type, count(*) AS hits, max(risk) AS max_risk, true AS failed FROM hit GROUP BY pii_type")
+_SUMMARY = """ SELECT pii_type, count(*) AS hits, max(risk) AS max_risk, count(*) > 0 AS failed FROM hit GROUP BY pii_type
+   UNION ALL SELECT '*', count(*), max(risk), count(*) > 0 FROM hit"""
+
+
+@query("s09_scan_summary", _LINES + _SUMMARY)
 def _(spark, sf):
     return S.scan_report(S.locate_hits(docs(spark, sf), "text", ["doc_id"]), "summary")
 
 
+@query("s09_scan_summary_clean", _LINES + ", clean AS (SELECT * FROM hit WHERE doc_id < 0)" + _SUMMARY.replace("FROM hit", "FROM clean"))
+def _(spark, sf):
+    return S.scan_report(S.locate_hits(docs(spark, sf), "text", ["doc_id"]).filter("doc_id < 0"), "summary")
+
+
+def _written(fmt):
+    def run(spark, sf):
+        folder = f"{workspace(spark, 'scan')}/{fmt}"
+        S.scan_report(S.locate_hits(docs(spark, sf), "text", ["doc_id"]), fmt, folder)
+        return S.read_report(spark, fmt, folder)
+
+    return run
+
+
+query("s09_scan_report_json", _LINES + " SELECT doc_id, pii_type, line, col AS \"column\", value, risk FROM hit")(_written("json"))
+query("s09_scan_report_csv", _LINES + " SELECT doc_id, pii_type, line, col AS \"column\", value, risk FROM hit")(_written("csv"))
+
+
 _EXPORT_K = 8
 
 
@@ -489,7 +511,7 @@ def _(spark, sf):
 
 @query("m03_sample_systematic", "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS r FROM documents) WHERE (r-1)%7=0")
 def _(spark, sf):
-    return M.sample_systematic(table(spark, sf, "documents").select("doc_id"), "doc_id", F.floor(F.col("doc_id") / 1000), 7)
+    return M.sample_systematic(table(spark, sf, "documents").select("doc_id"), "doc_id", None, 7)
 
 
 @query("m04_sample_reservoir", f"SELECT event_id FROM events ORDER BY {_hk('r', 'event_id')}, event_id LIMIT 500")
@@ -503,12 +525,14 @@ def _(spark, sf):
 
 
 @query("m06_corpus_entries", """WITH n AS (SELECT *, lead(role) OVER w AS nr, lead(text) OVER w AS nt FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
-   , g AS (SELECT *, CASE WHEN conv_id%5=0 THEN upper(text) END AS gt FROM n WHERE role='user')
+   , g AS (SELECT *, CASE WHEN conv_id%25=0 THEN NULL WHEN conv_id%15=0 THEN ' ' WHEN conv_id%5=0 THEN sha256(text) END AS gt FROM n WHERE role='user')
    SELECT conv_id, turn, text AS prompt, CASE WHEN nr='assistant' THEN nt END AS response, gt AS ground_truth, CASE WHEN gt IS NOT NULL THEN 'ground_truth' WHEN nr='assistant' THEN 'prompt_response' ELSE 'prompt_only' END AS entry_type,
    coalesce(trim(text)<>'',false) AND (CASE WHEN gt IS NOT NULL THEN trim(gt)<>'' WHEN nr='assistant' THEN coalesce(trim(nt)<>'',false) ELSE true END) AS complete FROM g""")
 def _(spark, sf):
-    turns = table(spark, sf, "conversations")
-    truth = turns.filter("role = 'user' AND conv_id % 5 = 0").select("conv_id", "turn", F.upper("text").alias("ground_truth"))
+    turns, c = table(spark, sf, "conversations"), F.col("conv_id")
+    # one answer in five is missing, one in three blank
+    answer = F.when(c % 25 == 0, F.lit(None)).when(c % 15 == 0, " ").otherwise(F.sha2("text", 256))
+    truth = turns.filter("role = 'user' AND conv_id % 5 = 0").select("conv_id", "turn", answer.alias("ground_truth"))
     return M.corpus_entries(turns, "conv_id", "turn", "role", "text", truth)
 
 
@@ -528,7 +552,7 @@ def _(spark, sf):
 
 @query("n01_page", "WITH t AS (SELECT count(*) AS total_items FROM orders) SELECT o_orderkey, 3 AS page, 25 AS page_size, total_items, ceil(total_items/25)::BIGINT AS total_pages, true AS has_previous, 3 < ceil(total_items/25) AS has_next FROM (SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25 OFFSET 50), t")
 def _(spark, sf):
-    return M.page(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), "o_orderkey"], 3, 25).drop("o_totalprice")
+    return M.page(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), ["-o_totalprice", "o_orderkey"], 3, 25).drop("o_totalprice")
 
 
 @query("n02_cursor_page", "SELECT o_totalprice, o_orderkey, true AS has_more FROM orders WHERE o_totalprice > 250000 OR (o_totalprice = 250000 AND o_orderkey > 100) ORDER BY o_totalprice, o_orderkey LIMIT 30")

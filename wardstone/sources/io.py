@@ -156,13 +156,26 @@ def locate_hits(df: DataFrame, text: str, keys: list[str], config: D.DetectConfi
 
 
 def scan_report(hits: DataFrame, fmt: str, path: str | None = None) -> DataFrame:
-    """Summary per type with the fail flag, or the hits themselves written as JSON or CSV."""
+    """Summary per type and over all (type "*", a row also for a clean corpus) with the fail flag,
+    or the hits themselves written as JSON or CSV (``read_report`` reads them back)."""
     if fmt == "summary":
-        return hits.groupBy("pii_type").agg(F.count("*").alias("hits"), F.max("risk").alias("max_risk")).withColumn("failed", F.col("hits") > 0)
-    hits.write.mode("errorifexists").format(fmt).save(path)
+        counts = [F.count("*").alias("hits"), F.max("risk").alias("max_risk")]
+        whole = hits.groupBy("pii_type").agg(*counts).unionByName(hits.agg(*counts).withColumn("pii_type", F.lit("*")))
+        return whole.withColumn("failed", F.col("hits") > 0)
+    hits.write.mode("errorifexists").format(fmt).options(**(_CSV if fmt == "csv" else {})).save(path)
     return hits
 
 
+#: Values may hold quotes, line ends and blanks at either end; an empty value is no null.
+_CSV = {"header": True, "escape": '"', "quoteAll": True, "multiLine": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "emptyValue": ""}
+
+
+def read_report(spark: SparkSession, fmt: str, path: str, keys: str = "doc_id bigint") -> DataFrame:
+    """The hits of a written scan report."""
+    schema = f"{keys}, pii_type string, line int, column int, value string, risk int"
+    return spark.read.schema(schema).format(fmt).options(**(_CSV if fmt == "csv" else {})).load(path)
+
+
 def anonymized_export(df: DataFrame, fields: list[str], cohort: Column, time_col: str, precision: str, pseudonym: str, key: str,
                       hierarchies: dict[str, list[Callable]], k: int, max_suppress: float = 0.05) -> DataFrame:
     """Cohort filter, field minimisation, coarse times, pseudonyms, then k-anonymity."""
