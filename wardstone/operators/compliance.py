@@ -197,9 +197,81 @@ def erase(records: DataFrame, key: str, extract: DataFrame) -> DataFrame:
     return records.join(extract.filter("kind = 'erasure'").select(key).distinct(), key, "left_anti")
 
 
-def usage_report(events: DataFrame, time_col: str, dims: list[str], measure: str) -> DataFrame:
+def in_range(df: DataFrame, time_col: str, start=None, end=None) -> DataFrame:
+    """Rows from ``start`` up to, but not at, ``end`` (timestamps or their text; null: open). Rows
+    without a time are in no bounded range."""
+    kind = dict(df.dtypes)[time_col]
+    for bound, test in ((start, F.col(time_col).__ge__), (end, F.col(time_col).__lt__)):
+        if bound is not None:
+            df = df.filter(test(F.lit(bound).cast(kind)))
+    return df
+
+
+def usage_report(events: DataFrame, time_col: str, dims: list[str], measure: str, start=None, end=None) -> DataFrame:
     """Counts per month and dimension with subtotals ('*')."""
-    view = events.withColumn("month", F.date_format(F.date_trunc("month", time_col), "yyyy-MM"))
+    view = in_range(events, time_col, start, end).withColumn("month", F.date_format(F.date_trunc("month", time_col), "yyyy-MM"))
     cols = ["month", *dims]
     out = view.cube(*cols).agg(F.count("*").alias("n"), F.round(F.sum(measure), 4).alias("total"), F.grouping_id().alias("g"))
     return out.select(*[F.coalesce(c, F.lit("*")).alias(c) for c in cols], "n", "total")
+
+
+def access_report(log: DataFrame, time_col: str, actor: str, kind: str, resource: str, allowed: Column, reads: list[str], start=None, end=None) -> DataFrame:
+    """Who touched what: per actor and kind of resource the reads, other actions and denials
+    among the actions of ``log`` (column action), distinct resources, first and last time."""
+    ok, read = F.coalesce(allowed, F.lit(False)), F.coalesce(F.col("action").isin(reads), F.lit(False))
+    return in_range(log, time_col, start, end).groupBy(actor, kind).agg(
+        F.count("*").alias("requests"), F.count_if(ok & read).alias("reads"), F.count_if(ok & ~read).alias("writes"), F.count_if(~ok).alias("denied"),
+        F.count_distinct(resource).alias("resources"), F.min(time_col).alias("first_at"), F.max(time_col).alias("last_at"))
+
+
+def framework_report(verdict_rows: DataFrame, time_col: str, start=None, end=None) -> DataFrame:
+    """Per framework: verdicts in the range, compliant ones, their share, violations.
+
+    ``verdict_rows``: framework, compliant, violations and a time. A verdict of null counts as
+    not compliant, an unknown number of violations as none."""
+    good = F.count_if(F.coalesce("compliant", F.lit(False)))
+    return in_range(verdict_rows, time_col, start, end).groupBy("framework").agg(
+        F.count("*").alias("verdicts"), good.alias("compliant"), F.round(good / F.count("*"), 6).alias("share"),
+        F.coalesce(F.sum("violations"), F.lit(0)).cast("bigint").alias("violations"))
+
+
+def security_report(events: DataFrame, time_col: str, category: Column, actor: str, failed: Column, start=None, end=None) -> DataFrame:
+    """Per day: all events, those of the security and access categories, failures among them,
+    actors who failed, and the most failures of one actor.
+
+    Counted per (day, actor) first, so a day's actors are never a buffer of one task."""
+    watched = F.coalesce(category.isin("security", "access"), F.lit(False))
+    bad = watched & F.coalesce(failed, F.lit(False))
+    per = in_range(events, time_col, start, end).groupBy(F.to_date(time_col).alias("day"), actor).agg(
+        F.count("*").alias("n"), F.count_if(watched).alias("w"), F.count_if(bad).alias("f"))
+    return per.groupBy("day").agg(
+        F.sum("n").alias("events"), F.sum("w").alias("watched"), F.sum("f").alias("failures"),
+        F.count_if(F.col("f") > 0).alias("failing_actors"), F.max("f").alias("most_by_one"))
+
+
+def lineage_report(edges: DataFrame, time_col: str, kind: str, start=None, end=None) -> DataFrame:
+    """Per kind of edge (parent, child) laid in the range: edges, nodes, nodes that only feed
+    (sources) or only receive (sinks), and the largest numbers of edges out of and into a node.
+    An end that is null is no node."""
+    laid = in_range(edges, time_col, start, end)
+    ends = laid.select(kind, F.explode(F.array(
+        F.struct(F.lit("").alias("side"), F.lit(None).cast("string").alias("node")),
+        F.struct(F.lit("out").alias("side"), F.col("parent").cast("string").alias("node")),
+        F.struct(F.lit("in").alias("side"), F.col("child").cast("string").alias("node")))).alias("e")).select(kind, "e.side", "e.node")
+    # the empty side counts the edges themselves
+    per = ends.filter("node IS NOT NULL OR side = ''").groupBy(kind, "node").agg(
+        F.count_if(F.col("side") == "out").alias("o"), F.count_if(F.col("side") == "in").alias("i"), F.count_if(F.col("side") == "").alias("e"))
+    node = F.col("node").isNotNull()
+    return per.groupBy(kind).agg(
+        F.sum("e").alias("edges"), F.count_if(node).alias("nodes"), F.count_if(node & (F.col("i") == 0)).alias("sources"), F.count_if(node & (F.col("o") == 0)).alias("sinks"),
+        F.max("o").alias("most_out"), F.max("i").alias("most_in"))
+
+
+def age_log(log: DataFrame, time_col: str, now: Column, keep_days: dict[str, int], kind: str, default_days: int | None = None) -> DataFrame:
+    """The rows of a log that are to stay: those younger than their kind's days. A kind without
+    an entry takes ``default_days`` (null: kept for ever); rows without a time stay."""
+    days = F.lit(default_days).cast("int")
+    for name, n in keep_days.items():
+        days = F.when(F.col(kind) == name, n).otherwise(days)
+    old = F.col(time_col).cast("timestamp") < now.cast("timestamp") - F.make_dt_interval(days)
+    return log.filter(~F.coalesce(old, F.lit(False)))

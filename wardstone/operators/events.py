@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..functions.conditions import Condition, Rules, compile_rules
 from ..functions.ordering import along, first_n, grouped_index, in_cells, join_same
 from ..functions.strategies import hmac_sha256
 from ..session import cut
@@ -14,25 +17,48 @@ LATENCY_BUCKETS = [0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0
 SIZE_BUCKETS = [10.0**n for n in range(2, 12)]
 
 
-def route_events(events: DataFrame, subscriptions: DataFrame, predicate: str | None = None) -> DataFrame:
+def route_events(events: DataFrame, subscriptions: DataFrame, predicate: str | None = None, expressions: dict[str, str | Rules | Condition] | None = None) -> DataFrame:
     """Fan out events to subscriptions. Unset filters (null) let everything pass.
 
-    ``subscriptions``: subscription, event_types, categories, tenant, user_id, active. The type
-    and category sets are unfolded, a catch-all becomes '*', and the join is an equality on
-    that label; Spark broadcasts the subscription side only when its size allows."""
-    live = subscriptions.filter("active")
-    star = F.array(F.lit("*"))
-    subs = live.select("subscription", F.col("tenant").alias("s_tenant"), F.col("user_id").alias("s_user"), F.explode(F.array_distinct(F.coalesce("event_types", star))).alias("s_type"), "categories")
-    subs = subs.select("subscription", "s_tenant", "s_user", "s_type", F.explode(F.array_distinct(F.coalesce("categories", star))).alias("s_category"))
-    label = F.when(F.col("s_type") != "*", F.concat(F.lit("t:"), "s_type")).when(F.col("s_category") != "*", F.concat(F.lit("c:"), "s_category")).otherwise("*")
-    subs = subs.withColumn("label", label)
+    ``subscriptions``: subscription, event_types, categories, active and, where wanted, tenant,
+    dataset, user_id and expression. An expression is the name of one of ``expressions`` (SQL text
+    or rules over the events' columns); a name that is not among them matches nothing, and so
+    does an expression that is null for an event.
+
+    The shape of a subscription says which filters are set; shape and values are the key of the
+    join. An event makes one key for each shape that occurs (at most 24, read from the subscriptions
+    beforehand), so subscriptions of other tenants, datasets and users never meet it. '*' in a set
+    of types or categories stands for any."""
+    fields = [c for c in ("tenant", "dataset", "user_id") if c in subscriptions.columns]
+
+    def labels(col: str) -> Column:
+        return F.when(F.col(col).isNull() | F.array_contains(col, "*"), F.array(F.lit("*"))).otherwise(F.array_distinct(col))
+
+    rule = F.col("expression") if "expression" in subscriptions.columns else F.lit(None)
+    subs = subscriptions.filter("active").select(
+        "subscription", rule.cast("string").alias("s_rule"), *[F.col(c).cast("string").alias(f"s_{c}") for c in fields],
+        F.explode(labels("event_types")).alias("s_type"), "categories")
+    subs = subs.withColumn("s_category", F.explode(labels("categories"))).drop("categories")
+    kind = F.when(F.col("s_type") != "*", "t").when(F.col("s_category") != "*", "c").otherwise("*")
+    subs = subs.withColumn("shape", F.concat(kind, *[F.when(F.col(f"s_{c}").isNull(), "-").otherwise("+") for c in fields]))
+    subs = subs.withColumn("value", F.when(F.col("shape").startswith("t"), F.col("s_type")).when(F.col("shape").startswith("c"), F.col("s_category")).otherwise(""))
+    subs = subs.select("subscription", "s_rule", "s_category", "shape", "value", *[F.coalesce(f"s_{c}", F.lit("")).alias(f"k_{c}") for c in fields])
+    shapes = sorted(r.shape for r in subs.select("shape").distinct().collect())
+
+    def key(shape: str) -> Column:
+        value = {"t": F.col("event_type"), "c": F.col("__cat")}.get(shape[0], F.lit(""))
+        parts = [F.col(c).cast("string") if flag == "+" else F.lit("") for c, flag in zip(fields, shape[1:], strict=True)]
+        known = reduce(lambda a, b: a & b, [p.isNotNull() for p in parts], value.isNotNull())
+        return F.when(known, F.struct(F.lit(shape).alias("shape"), value.alias("value"), *[p.alias(f"k_{c}") for c, p in zip(fields, parts, strict=True)]))
+
+    holds = [F.when(F.expr(r) if isinstance(r, str) else compile_rules(r), F.lit(name)) for name, r in (expressions or {}).items()]
+    passed = F.array_compact(F.array(*holds)) if holds else F.array().cast("array<string>")
     pool = events if predicate is None else events.filter(predicate)
-    category = category_of(F.col("event_type"))
-    labelled = pool.withColumn("__cat", category).withColumn("label", F.explode(F.array(
-        F.concat(F.lit("t:"), "event_type"), F.concat(F.lit("c:"), "__cat"), F.lit("*"))))
-    hit = labelled.join(subs, "label").filter(
-        ((F.col("s_type") == "*") | (F.col("s_type") == F.col("event_type"))) & ((F.col("s_category") == "*") | (F.col("s_category") == F.col("__cat")))
-        & (F.col("s_tenant").isNull() | (F.col("s_tenant") == F.col("tenant"))) & (F.col("s_user").isNull() | (F.col("s_user") == F.col("user_id"))))
+    keys = F.array_compact(F.array(*[key(s) for s in shapes or ["*" + "-" * len(fields)]]))
+    keyed = pool.withColumn("__cat", category_of(F.col("event_type"))).select("event_id", "__cat", passed.alias("__passed"), F.explode(keys).alias("k"))
+    keyed = keyed.select("event_id", "__cat", "__passed", "k.*")
+    hit = keyed.join(subs, ["shape", "value", *[f"k_{c}" for c in fields]]).filter(
+        ((F.col("s_category") == "*") | (F.col("s_category") == F.col("__cat"))) & (F.col("s_rule").isNull() | F.array_contains("__passed", F.col("s_rule"))))
     # an event has one type and one category, so it meets a subscription at most once
     return hit.select("subscription", "event_id")
 

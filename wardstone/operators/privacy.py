@@ -192,8 +192,9 @@ def dp_value(value: Column, pii_type: Column, key: Column, epsilon: float, sensi
 
 
 def charge(epsilon: Column, k: Column, composition: str, delta: float = 1e-5) -> Column:
-    """Cost of the k-th accepted request in millionths."""
-    if composition == "basic":
+    """Cost of the k-th accepted request in millionths. Zero-concentrated budgets add up linearly in
+    the parameter itself, so the request's own value is charged, as in basic composition."""
+    if composition in ("basic", "zero_concentrated"):
         return F.round(epsilon * 1e6).cast("bigint")
     from math import log
 

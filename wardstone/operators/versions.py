@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.ordering import along, fold_hashes, grouped_index, hash_bucket, join_same
@@ -91,6 +93,39 @@ def three_way_merge(base: DataFrame, ours: DataFrame, theirs: DataFrame) -> Data
     return out.select("key", "conflict", F.when(F.col("conflict").isNull(), merged).alias("merged_hash"), source.alias("source"))
 
 
+def merge_rows(base: DataFrame, ours: DataFrame, theirs: DataFrame, keys: list[str], prefer: str | None = None) -> DataFrame:
+    """Rows of a three-way merge: the side that changed wins, equal changes are one.
+
+    All three have the same columns; ``keys`` (null is a value) are unique inside each. Returns the keys, the
+    other columns as merged, source ('base', 'both', 'ours', 'theirs' or 'conflict') and conflict
+    (null, 'both_added', 'delete_modify' if ours deleted, 'modify_delete' if theirs did, or
+    'both_modified'). Rows deleted without conflict are left out. The columns of a conflict are
+    null and the three versions stand in base_row, our_row and their_row (null for clean rows);
+    with ``prefer`` ('ours' or 'theirs') that side's row is taken instead, source names it,
+    conflict still tells the kind, and a row which that side deleted is left out.
+
+    One shuffle: the versions are stacked and grouped by key, at most three rows each."""
+    cols = [c for c in ours.columns if c not in keys]
+    sides = {"b": base, "o": ours, "t": theirs}
+    # the constant tells a row whose columns are all null from a missing one
+    stacked = reduce(DataFrame.unionByName, [
+        df.select(*keys, F.lit(side).alias("__side"), F.struct(F.lit(True).alias("__there"), *[F.col(c) for c in cols]).alias("__row")) for side, df in sides.items()])
+    g = stacked.groupBy(*keys).agg(*[F.first(F.when(F.col("__side") == s, F.col("__row")), ignorenulls=True).alias(f"__{s}") for s in sides])
+    b, o, t = F.col("__b"), F.col("__o"), F.col("__t")
+    g = g.select("*", o.eqNullSafe(t).alias("__ot"), o.eqNullSafe(b).alias("__ob"), t.eqNullSafe(b).alias("__tb"))
+    same, kept, left = F.col("__ot"), F.col("__ob"), F.col("__tb")
+    conflict = (F.when(same | kept | left, F.lit(None).cast("string")).when(b.isNull(), "both_added").when(o.isNull(), "delete_modify")
+                .when(t.isNull(), "modify_delete").otherwise("both_modified"))
+    source = F.when(same, F.when(kept, "base").otherwise("both")).when(kept, "theirs").when(left, "ours").otherwise(prefer or "conflict")
+    g = g.select("*", conflict.alias("__conflict"), source.alias("__source"))
+    row = F.when(F.col("__source").isin("base", "both", "ours"), o).when(F.col("__source") == "theirs", t)
+    open_ = F.col("__source") == "conflict"
+    out = g.withColumn("__merged", row).filter(open_ | F.col("__merged").isNotNull())
+    return out.select(
+        *keys, *[F.col("__merged")[c].alias(c) for c in cols], F.col("__source").alias("source"), F.col("__conflict").alias("conflict"),
+        *[F.when(open_, F.col(f"__{s}").dropFields("__there")).alias(n) for s, n in (("b", "base_row"), ("o", "our_row"), ("t", "their_row"))])
+
+
 # ------------------------------------------------------------------------------- history
 def number_versions(changes: DataFrame, key: str, order: list[str], bucket: Column | None = None) -> DataFrame:
     return grouped_index(changes, [key], order, bucket, "version")
@@ -235,9 +270,11 @@ def commit_filter(commits: DataFrame, author: str | None = None, message: str |
 
 
 def history(commits: DataFrame, edges: DataFrame, starts: DataFrame, stops: DataFrame | None = None, first_parent: bool = False,
-            skip: int = 0, limit: int | None = None, newest_first: bool = True, **filters) -> DataFrame:
+            skip: int = 0, limit: int | None = None, sort: str | None = None, **filters) -> DataFrame:
     """Filtered walk with paging per root: skip and limit count in walk order (depth, then
-    commit), the chosen entries are then ranked by time."""
+    commit). ``sort`` then adds ``rank`` to the chosen entries of a root: 'topological' (walk
+    order), 'chronological' (oldest first) or 'reverse' (newest first). Entries of one time keep
+    walk order; those without a time stand first in both orders of time."""
     walk = history_walk(edges, starts, stops, first_parent)
     found = walk.join(commit_filter(commits, **filters), "commit")
     if skip or limit is not None:
@@ -246,7 +283,11 @@ def history(commits: DataFrame, edges: DataFrame, starts: DataFrame, stops: Data
         if limit is not None:
             found = found.filter(F.col("__pos") <= skip + limit)
         found = found.drop("__pos")
-    return found
+    if sort is None:
+        return found
+    at = F.unix_micros(F.col("time").cast("timestamp"))
+    at = {"topological": F.lit(0).cast("bigint"), "chronological": at, "reverse": -at}[sort]
+    return grouped_index(found.withColumn("__at", at), ["root"], ["__at", "depth", "commit"], None, "rank").drop("__at")
 
 
 def ancestors(edges: DataFrame, starts: DataFrame) -> DataFrame:

@@ -155,3 +155,32 @@ def _(spark, sf):
 @query("g08_compliance_report", "SELECT coalesce(m,'*') AS month, coalesce(event_type,'*') AS event_type, count(*) AS n, round(sum(value),4) AS total FROM (SELECT strftime(ts,'%Y-%m') AS m, event_type, value FROM events) GROUP BY CUBE (m, event_type)")
 def _(spark, sf):
     return G.usage_report(table(spark, sf, "events"), "ts", ["event_type"], "value")
+
+
+@query("g08_usage_in_range", "SELECT coalesce(m,'*') AS month, coalesce(event_type,'*') AS event_type, count(*) AS n, round(sum(value),4) AS total FROM (SELECT strftime(ts,'%Y-%m') AS m, event_type, value FROM events WHERE ts >= TIMESTAMP '2024-01-05 00:00:00' AND ts < TIMESTAMP '2024-01-20 12:00:00') GROUP BY CUBE (m, event_type)")
+def _(spark, sf):
+    return G.usage_report(table(spark, sf, "events"), "ts", ["event_type"], "value", "2024-01-05 00:00:00", "2024-01-20 12:00:00")
+
+
+@query("g08_framework_report", f"""WITH v AS (SELECT ({FRAMEWORKS!r})[user_id%5+1] AS framework, (props->>'$.k')::BIGINT%4 AS violations FROM events WHERE ts >= TIMESTAMP '2024-01-05 00:00:00')
+   SELECT framework, count(*) AS verdicts, count(*) FILTER (violations=0) AS compliant, round(count(*) FILTER (violations=0)/count(*)::DOUBLE,6) AS share, sum(violations)::BIGINT AS violations FROM v GROUP BY framework""")
+def _(spark, sf):
+    e = table(spark, sf, "events")
+    framework = F.element_at(F.array(*[F.lit(f) for f in FRAMEWORKS]), (F.col("user_id") % 5 + 1).cast("int"))
+    n = F.get_json_object("props", "$.k").cast("bigint") % 4
+    return G.framework_report(e.select("ts", framework.alias("framework"), n.alias("violations"), (n == 0).alias("compliant")), "ts", "2024-01-05 00:00:00")
+
+
+@query("g08_lineage_report", """WITH e AS (SELECT l_returnflag AS kind, 'p'||l_partkey AS parent, 'o'||l_orderkey AS child FROM lineitem WHERE l_shipdate >= DATE '1994-01-01' AND l_shipdate < DATE '1996-01-01'),
+   n AS (SELECT kind, node, sum(o) AS o, sum(i) AS i FROM (SELECT kind, parent AS node, 1 AS o, 0 AS i FROM e UNION ALL SELECT kind, child, 0, 1 FROM e) GROUP BY kind, node)
+   SELECT kind, any_value(c) AS edges, count(*) AS nodes, count(*) FILTER (i=0) AS sources, count(*) FILTER (o=0) AS sinks, max(o)::BIGINT AS most_out, max(i)::BIGINT AS most_in FROM n JOIN (SELECT kind, count(*) AS c FROM e GROUP BY kind) USING (kind) GROUP BY kind""")
+def _(spark, sf):
+    edges = table(spark, sf, "lineitem").select(
+        F.col("l_returnflag").alias("kind"), "l_shipdate", F.concat(F.lit("p"), "l_partkey").alias("parent"), F.concat(F.lit("o"), "l_orderkey").alias("child"))
+    return G.lineage_report(edges, "l_shipdate", "kind", "1994-01-01", "1996-01-01")
+
+
+@query("g06_aged_log", "SELECT event_id FROM events WHERE NOT (event_type='error' AND ts < TIMESTAMP '2024-01-30 00:00:00') AND NOT (event_type='click' AND ts < TIMESTAMP '2024-01-24 00:00:00')")
+def _(spark, sf):
+    now = F.lit("2024-02-01 00:00:00").cast("timestamp")
+    return G.age_log(table(spark, sf, "events"), "ts", now, {"error": 2, "click": 8}, "event_type").select("event_id")

@@ -118,6 +118,43 @@ def changes(spark, sf):
     return table(spark, sf, "events").select("event_id", "user_id", "ts", "event_type", "value", "props")
 
 
+def _rows(gone, changed, plus, every):
+    return f"""SELECT o_orderkey AS key, o_custkey, o_orderstatus, CASE WHEN {changed} THEN p+{plus} ELSE p END AS p FROM o WHERE NOT ({gone})
+      UNION ALL SELECT o_orderkey+200000000, o_custkey, o_orderstatus, p+{plus} FROM o WHERE o_orderkey%{every}=0"""
+
+
+def _merge_sql(conflict_row, conflict_source):
+    """Only p ever differs and no p is null, so p tells presence and change."""
+    return f"""WITH {BASE}, us AS ({_rows('o_orderkey%11=0', 'o_orderkey%5=0', 1, 40)}), th AS ({_rows('o_orderkey%13=0', 'o_orderkey%3=0', 2, 60)}), b AS (SELECT o_orderkey AS key, o_custkey, o_orderstatus, p FROM o),
+   j AS (SELECT key, coalesce(b.o_custkey,us.o_custkey,th.o_custkey) AS c, coalesce(b.o_orderstatus,us.o_orderstatus,th.o_orderstatus) AS s, b.p AS bp, us.p AS op, th.p AS tp FROM b FULL JOIN us USING (key) FULL JOIN th USING (key)),
+   k AS (SELECT *, CASE WHEN op IS NOT DISTINCT FROM tp OR op IS NOT DISTINCT FROM bp OR tp IS NOT DISTINCT FROM bp THEN NULL WHEN bp IS NULL THEN 'both_added' WHEN op IS NULL THEN 'delete_modify' WHEN tp IS NULL THEN 'modify_delete' ELSE 'both_modified' END AS conflict FROM j),
+   m AS (SELECT *, CASE WHEN conflict IS NOT NULL THEN {conflict_row} WHEN op IS NOT DISTINCT FROM tp THEN op WHEN op IS NOT DISTINCT FROM bp THEN tp ELSE op END AS p,
+     CASE WHEN conflict IS NOT NULL THEN '{conflict_source}' WHEN op IS NOT DISTINCT FROM tp THEN (CASE WHEN op IS NOT DISTINCT FROM bp THEN 'base' ELSE 'both' END) WHEN op IS NOT DISTINCT FROM bp THEN 'theirs' ELSE 'ours' END AS source FROM k)
+   SELECT key AS o_orderkey, CASE WHEN p IS NOT NULL THEN c END AS o_custkey, CASE WHEN p IS NOT NULL THEN s END AS o_orderstatus, p, source, conflict, CASE WHEN source='conflict' THEN op END AS our_p, CASE WHEN source='conflict' THEN tp END AS their_p
+   FROM m WHERE source='conflict' OR p IS NOT NULL"""
+
+
+def _merged(spark, sf, prefer=None):
+    o, k, p = orders(spark, sf), F.col("o_orderkey"), F.col("p")
+
+    def side(gone, changed, plus, every):
+        kept = o.filter(~gone).withColumn("p", F.when(changed, p + plus).otherwise(p))
+        return kept.unionByName(o.filter(k % every == 0).withColumn("p", p + plus).withColumn("o_orderkey", k + 200000000))
+
+    out = V.merge_rows(o, side(k % 11 == 0, k % 5 == 0, 1, 40), side(k % 13 == 0, k % 3 == 0, 2, 60), ["o_orderkey"], prefer)
+    return out.select("*", F.col("our_row.p").alias("our_p"), F.col("their_row.p").alias("their_p")).drop("base_row", "our_row", "their_row")
+
+
+@query("v04_merge_rows", _merge_sql("NULL", "conflict"))
+def _(spark, sf):
+    return _merged(spark, sf)
+
+
+@query("v04_merge_rows_ours", _merge_sql("op", "ours"))
+def _(spark, sf):
+    return _merged(spark, sf, "ours")
+
+
 @query("v06_record_history", "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS version FROM events")
 def _(spark, sf):
     return V.number_versions(changes(spark, sf), "user_id", ["ts", "event_id"], None).select("user_id", "event_id", "version")
@@ -237,6 +274,12 @@ def _(spark, sf):
     return V.history(commits, edges, heads, message="F", skip=1, limit=3).select("root", "commit", "depth")
 
 
+@query("v11_history_newest_first", "WITH RECURSIVE " + _WALK + " SELECT root, commit, row_number() OVER (PARTITION BY root ORDER BY time DESC, depth, commit) AS rank FROM walk JOIN g USING (commit)")
+def _(spark, sf):
+    commits, edges, heads = commit_graph(spark, sf)
+    return V.history(commits, edges, heads, sort="reverse").select("root", "commit", "rank")
+
+
 @query("v11_history_first_parent", "WITH " + _CG + " SELECT dataset AS root, commit, (total-n)::INT AS depth FROM g WHERE n > greatest(0, coalesce((SELECT max(s.n) FROM g s WHERE s.dataset=g.dataset AND s.commit%17=0),0))")
 def _(spark, sf):
     _, edges, heads = commit_graph(spark, sf)

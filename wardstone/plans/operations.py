@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from ..functions import conditions as C, text as T
-from ..operators import access as X, audit as U, detect as D, events as E, throttle
+from ..operators import access as X, audit as U, compliance as G, detect as D, events as E, throttle
 from ..session import cut, spread, table, workspace
 from ..streaming import jobs as ST
 from .anonymization import DEFAULT_SQL_TEXT, hmac_sql
@@ -322,6 +322,44 @@ def _(spark, sf):
     return E.route_events(gov_events(spark, sf), subs)
 
 
+_CHOSEN = {"even_day": "day(ts) % 2 = 0", "odd_event": Rules(all=(Condition("event_id", "ge", 10), Condition("odd", "eq", True)))}
+
+
+@query("e01_route_filters", f"""WITH {_GOV}, c AS (SELECT *, {_CAT} AS cat, 't'||(user_id%5) AS tenant, 'd'||(event_id%7) AS dataset FROM gv)
+   SELECT 'user'||user_id AS subscription, event_id FROM c WHERE user_id%3=0 OR (user_id%3=1 AND day(ts)%2=0) UNION ALL
+   SELECT 'd'||(event_id%7)||'-merges', event_id FROM c WHERE event_type='merge_completed' AND event_id%7<6 UNION ALL
+   SELECT 'odd', event_id FROM c WHERE cat='security' AND tenant='t2' AND event_id>=10 AND event_id%2=1""")
+def _(spark, sf):
+    e = gov_events(spark, sf).withColumn("dataset", F.concat(F.lit("d"), (F.col("event_id") % 7).cast("string"))).withColumn("odd", F.col("event_id") % 2 == 1)
+    schema = "subscription string, event_types array<string>, categories array<string>, tenant string, dataset string, user_id bigint, expression string, active boolean"
+    fixed = [(f"d{k}-merges", ["merge_completed"], None, None, f"d{k}", None, None, k < 6) for k in range(7)]
+    fixed += [("odd", None, ["security"], "t2", None, None, "odd_event", True), ("lost", None, None, None, None, None, "no such rule", True)]
+    u = events(spark, sf).select("user_id").distinct()
+    # a subscription of every user
+    own = u.select(F.concat(F.lit("user"), "user_id").alias("subscription"), F.lit(None).cast("array<string>").alias("event_types"), F.lit(None).cast("array<string>").alias("categories"),
+                   F.lit(None).cast("string").alias("tenant"), F.lit(None).cast("string").alias("dataset"), "user_id",
+                   F.when(F.col("user_id") % 3 == 1, "even_day").alias("expression"), (F.col("user_id") % 3 < 2).alias("active"))
+    return E.route_events(e, spark.createDataFrame(fixed, schema).unionByName(own), expressions=_CHOSEN)
+
+
+@query("g08_access_report", f"""WITH {REQ}, a AS (SELECT *, principal='role:admin' OR action<>'delete' AS ok FROM rq WHERE ts >= TIMESTAMP '2024-01-03 00:00:00' AND ts < TIMESTAMP '2024-01-25 00:00:00')
+   SELECT user_id, resource_type, count(*) AS requests, count(*) FILTER (ok AND action IN ('read','list')) AS reads, count(*) FILTER (ok AND action NOT IN ('read','list')) AS writes, count(*) FILTER (NOT ok) AS denied,
+     count(DISTINCT resource) AS resources, strftime(min(ts),'%Y-%m-%d %H:%M:%S') AS first_at, strftime(max(ts),'%Y-%m-%d %H:%M:%S') AS last_at FROM a GROUP BY user_id, resource_type""")
+def _(spark, sf):
+    ok = (F.col("principal") == "role:admin") | (F.col("action") != "delete")
+    out = G.access_report(requests(spark, sf), "ts", "user_id", "resource_type", "resource", ok, ["read", "list"], "2024-01-03 00:00:00", "2024-01-25 00:00:00")
+    return out.withColumn("first_at", F.date_format("first_at", "yyyy-MM-dd HH:mm:ss")).withColumn("last_at", F.date_format("last_at", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query("g08_security_report", f"""WITH {_GOV}, c AS (SELECT *, {_CAT} AS cat FROM gv WHERE ts < TIMESTAMP '2024-01-28 00:00:00'),
+   p AS (SELECT ts::DATE AS day, user_id, count(*) AS n, count(*) FILTER (cat IN ('security','access')) AS w, count(*) FILTER (cat IN ('security','access') AND event_type='permission_denied') AS f FROM c GROUP BY ALL)
+   SELECT strftime(day,'%Y-%m-%d') AS day, sum(n)::BIGINT AS events, sum(w)::BIGINT AS watched, sum(f)::BIGINT AS failures, count(*) FILTER (f>0) AS failing_actors, max(f) AS most_by_one FROM p GROUP BY day""")
+def _(spark, sf):
+    kind = F.col("event_type")
+    out = G.security_report(gov_events(spark, sf), "ts", U.category_of(kind), "user_id", kind == "permission_denied", end="2024-01-28 00:00:00")
+    return out.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+
+
 @query("e02_event_counts", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 def _(spark, sf):
     return E.event_counts(events(spark, sf))

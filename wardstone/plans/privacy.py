@@ -180,3 +180,9 @@ def _(spark, sf):
 def _(spark, sf):
     out = K.privacy_ledger(_requests(spark, sf), "event_type", ["ts", "event_id"], "eps", None, 900.0, "advanced")
     return out.select("event_id", "accepted", "charged_micro")
+
+
+@query("k10_privacy_ledger_zero_concentrated", _ledger_sql("round(r.eps*1e6)::BIGINT", 25000000))
+def _(spark, sf):
+    out = K.privacy_ledger(_requests(spark, sf), "event_type", ["ts", "event_id"], "eps", None, 25.0, "zero_concentrated")
+    return out.select("event_id", "accepted", "charged_micro")
