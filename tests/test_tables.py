@@ -1,6 +1,7 @@
 import hashlib
 import hmac
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -87,6 +88,51 @@ def test_token_bucket_with_a_hot_key_split_into_chunks(spark, rate, burst):
         assert [got[r[2]] for r in mine] == simulate([r[1] for r in mine], rate, burst)
 
 
+@pytest.mark.parametrize("shape", ["steady", "gaps", "few"])
+def test_sliding_limit_of_one_busy_key(spark, shape):
+    """Runs without a pause are cut into chunks; the result is that of a replay in order."""
+    rng = random.Random(9)
+    rows, t = [], 1_700_000_000_000_000
+    for i in range(3000):
+        t += {"steady": rng.randrange(1, 400_000), "gaps": rng.choice([1, 900_000, 2_000_000]), "few": 700_000}[shape]
+        rows.append((t, i))
+    df = spark.createDataFrame(rows, "us bigint, i int").select(F.lit("k").alias("k"), "i", F.timestamp_micros("us").alias("at"))
+    got = {r.i: r.allowed for r in TH.sliding_limit(df, "k", "at", "i", None, 3, 2, chunk_rows=100).collect()}
+    log, want = [], {}
+    for at, i in rows:
+        log = [x for x in log if at - x <= 2_000_000]
+        want[i] = len(log) < 3
+        log += [at] if want[i] else []
+    assert got == want and len(got) == 3000
+
+
+def test_entry_logs_of_chunks(spark):
+    rows = [("k", 1, i // 10, 1000 * i, i) for i in range(80)]
+    df = spark.createDataFrame(rows, "key string, run bigint, chunk bigint, ts_us bigint, tie int")
+    logs = {r.chunk: r.log for r in TH._entry_logs(df, 4, 25_000).collect()}
+    log, want = [], {}
+    for _, _, chunk, at, i in rows:
+        if i % 10 == 0 and log:
+            want[chunk] = list(log)
+        log = [x for x in log if at - x <= 25_000]
+        log += [at] if len(log) < 4 else []
+    assert logs == want
+
+
+def test_suppressed_rows_of_a_lattice(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice([None, 21, 25, 37, 38, 64]), rng.choice(["ab", "ac", "bd", None])) for _ in range(60)]
+    df = spark.createDataFrame(rows, "age int, zone string")
+    steps = {"age": [lambda c: c, lambda c: F.floor(c / 10), lambda c: F.lit(None).cast("int")], "zone": [lambda c: c, lambda c: F.substring(c, 1, 1), lambda c: F.lit("*")]}
+    plain = {"age": [lambda x: x, lambda x: None if x is None else x // 10, lambda x: None], "zone": [lambda x: x, lambda x: None if x is None else x[:1], lambda x: "*"]}
+    got = K.suppressed_rows(df, steps, 8)
+    assert len(got) == 9
+    for (a, z), n in got.items():
+        sizes = Counter((plain["age"][a](x), plain["zone"][z](y)) for x, y in rows)
+        assert n == sum(c for c in sizes.values() if c < 8)
+    assert K.choose_node(df.limit(0), steps, 8, 0.0) == (0, 0)
+
+
 def test_sliding_limit(spark):
     rng = random.Random(6)
     rows, t = [], 1_700_000_000_000_000

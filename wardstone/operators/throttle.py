@@ -91,7 +91,7 @@ _PIECES = "lo array<bigint>, value array<bigint>, flat array<bigint>"
 
 def _by_group(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
     """Groups together and in order inside partitions, for streaming over batches."""
-    return df.repartition(*group).sortWithinPartitions(*group, *order)
+    return df.repartition(*group).sortWithinPartitions(*group, *map(F.expr, order))
 
 
 def _summarise(rows: DataFrame, cap: int) -> DataFrame:
@@ -209,12 +209,75 @@ def token_bucket(events: DataFrame, key: str, time_col: str, tie: str, bucket: C
     return out.select(group_key("key", events.schema[key].dataType.simpleString()).alias(key), F.col("tie").alias(tie), "allowed", "remaining")
 
 
-def sliding_limit(events: DataFrame, key: str, time_col: str, tie: str, bucket: Column | None, limit: int, window_seconds: int) -> DataFrame:
+def _replay_logs(rows: DataFrame, logs: DataFrame | None, limit: int, width: int, ends: bool) -> DataFrame:
+    """Chunks replayed from their entry logs (none: empty): a verdict for each request, or the log
+    that each chunk leaves behind. A log goes ahead of its chunk as a row of its own."""
+    group, kinds = ["key", "run", "chunk"], dict(rows.dtypes)
+    both = rows.select(*group, "ts_us", "tie", F.lit(None).cast("array<bigint>").alias("log"))
+    if logs is not None:
+        both = both.unionByName(logs.select(*group, F.lit(0).cast("bigint").alias("ts_us"), F.lit(None).cast(kinds["tie"]).alias("tie"), "log"))
+
+    def job(batches):
+        current, log = None, deque()
+        for batch in batches:
+            done, verdicts = [], []
+            for k, r, c, ts, t, start in zip(*(batch[x] for x in (*group, "ts_us", "tie", "log"))):
+                if (k, r, c) != current:
+                    if current is not None:
+                        done.append((*current, list(log)))
+                    current, log = (k, r, c), deque()
+                if start is not None:
+                    log = deque(int(x) for x in start)
+                    continue
+                while log and ts - log[0] > width:
+                    log.popleft()
+                ok = len(log) < limit
+                if ok:
+                    log.append(int(ts))
+                verdicts.append((k, t, ok))
+            yield pd.DataFrame(done, columns=[*group, "log"]) if ends else pd.DataFrame(verdicts, columns=["key", "tie", "allowed"])
+        if ends and current is not None:
+            yield pd.DataFrame([(*current, list(log))], columns=[*group, "log"])
+
+    schema = f"key {kinds['key']}, run bigint, chunk bigint, log array<bigint>" if ends else f"key {kinds['key']}, tie {kinds['tie']}, allowed boolean"
+    return _by_group(both, group, ["log is null", "ts_us", "tie"]).mapInPandas(job, schema)
+
+
+def _entry_logs(rows: DataFrame, limit: int, width: int) -> DataFrame | None:
+    """The log at the start of each chunk, for those where it isn't empty; None without any.
+
+    All chunks are replayed at once from empty logs. Each passes its end log on, and only chunks
+    whose entry log changed are replayed again, until none does. After r rounds the first r + 1
+    chunks of a run are right whatever the guesses, and a chunk that forgets its entry (a quiet
+    spell of a window) settles all that follow at once."""
+    group = ["key", "run", "chunk"]
+    chunks = cut(rows.select(*group).distinct())
+
+    def passed(ends: DataFrame) -> DataFrame:
+        return ends.withColumn("chunk", F.col("chunk") + 1).join(chunks, group, "left_semi")
+
+    logs = cut(passed(_replay_logs(rows, None, limit, width, ends=True)))
+    changed = logs.filter(F.size("log") > 0)
+    if changed.isEmpty():
+        return None
+    while not changed.isEmpty():
+        again = rows.join(changed.select(*group), group, "left_semi")
+        new = passed(_replay_logs(again, changed, limit, width, ends=True)).withColumnRenamed("log", "new")
+        # a log for which nothing new arrived stays
+        both = cut(logs.join(new, group, "left").select(*group, F.coalesce("new", "log").alias("log"), (F.col("new") != F.col("log")).alias("differs")))
+        logs, changed = both.drop("differs"), both.filter("differs").drop("differs")
+    return logs.filter(F.size("log") > 0)
+
+
+def sliding_limit(events: DataFrame, key: str, time_col: str, tie: str, bucket: Column | None, limit: int, window_seconds: int, chunk_rows: int = 20_000) -> DataFrame:
     """(key, tie, allowed): at most ``limit`` accepted requests in any window; refused requests
-    are not logged. Requests without a key share one log.
+    are not logged. Requests without a key share one log; a request without a time is a run of
+    its own.
 
     Runs end at pauses longer than the window. A run of at most ``limit`` requests is accepted
-    as a whole without replay; longer runs are streamed in order with at most ``limit`` times
+    as a whole without replay. Longer runs are cut into chunks of ``chunk_rows`` requests, or as
+    many chunks as a shuffle has partitions if that gives larger ones; what the chunks start with
+    is found by ``_entry_logs``, then all are streamed side by side with at most ``limit`` times
     in memory."""
     width = window_seconds * 1_000_000
     order = ["ts_us", "tie"]
@@ -223,26 +286,14 @@ def sliding_limit(events: DataFrame, key: str, time_col: str, tie: str, bucket:
     base = base.withColumn("b", bucket)
     timed = along(base, ["key"], order, F.col("b"), cells=cells, lags={"before": F.col("ts_us")})
     fresh = F.coalesce(F.col("ts_us") - F.col("before") > width, F.lit(True)).cast("bigint")
-    runs = cut(along(timed, ["key"], order, F.col("b"), cells=cells, sums={"run": fresh}).select("key", "run", *order))
-    busy = runs.groupBy("key", "run").agg(F.count("*").alias("n")).filter(F.col("n") > limit).select("key", "run")
-    calm = runs.join(busy, ["key", "run"], "left_anti").select("key", "tie", F.lit(True).alias("allowed"))
-
-    def replay(batches):
-        current, log = None, deque()
-        for batch in batches:
-            out = []
-            for k, r, ts, t in zip(*(batch[x] for x in ("key", "run", "ts_us", "tie"))):
-                if (k, r) != current:
-                    current, log = (k, r), deque()
-                while log and ts - log[0] > width:
-                    log.popleft()
-                ok = len(log) < limit
-                if ok:
-                    log.append(ts)
-                out.append((k, t, ok))
-            yield pd.DataFrame(out, columns=["key", "tie", "allowed"])
-
-    kinds = dict(runs.dtypes)
-    hard = _by_group(runs.join(busy, ["key", "run"], "left_semi"), ["key", "run"], order).mapInPandas(
-        replay, f"key {kinds['key']}, tie {kinds['tie']}, allowed boolean")
-    return calm.unionByName(hard).select(group_key("key", events.schema[key].dataType.simpleString()).alias(key), F.col("tie").alias(tie), "allowed")
+    runs = along(timed, ["key"], order, F.col("b"), cells=cells, sums={"run": fresh})
+    placed = cut(along(runs, ["key", "run"], order, F.col("b"), cells=cells, position="pos").select("key", "run", "pos", *order))
+    most = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    busy = placed.groupBy("key", "run").agg(F.max("pos").alias("n")).filter(F.col("n") > limit)
+    calm = placed.join(busy, ["key", "run"], "left_anti").select("key", "tie", F.lit(True).alias("allowed"))
+    size = F.greatest(F.lit(chunk_rows), F.ceil(F.col("n") / most))
+    hard = cut(placed.join(busy, ["key", "run"]).select("key", "run", F.floor((F.col("pos") - 1) / size).alias("chunk"), *order))
+    long_runs = hard.filter("chunk > 0").select("key", "run").distinct()
+    logs = _entry_logs(hard.join(long_runs, ["key", "run"], "left_semi"), limit, width)
+    judged = _replay_logs(hard, logs, limit, width, ends=False)
+    return calm.unionByName(judged).select(group_key("key", events.schema[key].dataType.simpleString()).alias(key), F.col("tie").alias(tie), "allowed")

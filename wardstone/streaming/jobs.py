@@ -1,6 +1,9 @@
 """Structured Streaming forms of the operators.
 
-Every stateful query carries a ten-minute watermark. Sinks are append-only Parquet folders;
+Every stateful query carries a ten-minute watermark; rows from before the watermark that the last
+batch went by get no verdict and count nowhere. The state of a limiter is dropped by an event-time
+timer at the moment from which it equals that of a key never seen, so dropping it changes no
+verdict: rows from before that moment come too late to be judged. Counts by key are kept by day. Sinks are append-only Parquet folders;
 queries in update mode add the batch number, and readers keep the newest row per key, so a
 replayed batch changes nothing."""
 
@@ -97,7 +100,13 @@ def rate_counters(stream: DataFrame, key: str, width: str = "1 hour") -> DataFra
 
 
 def usage(stream: DataFrame, key: str) -> DataFrame:
-    return event_time(stream).groupBy(key).agg(F.max("ts").alias("last_used"), F.count("*").alias("requests"))
+    """Use of each key and day, whose state goes with the day; ``total_usage`` sums days up."""
+    return event_time(stream).groupBy(key, F.window("ts", "1 day").alias("w")).agg(F.max("ts").alias("last_used"), F.count("*").alias("requests")).select(
+        key, F.col("w.start").alias("day"), "last_used", "requests")
+
+
+def total_usage(rows: DataFrame, key: str) -> DataFrame:
+    return latest(rows, [key, "day"]).groupBy(key).agg(F.max("last_used").alias("last_used"), F.sum("requests").alias("requests"))
 
 
 def first_seen(stream: DataFrame, keys: list[str]) -> DataFrame:
@@ -112,7 +121,14 @@ def _in_order(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
 
 
 def _keyed(stream: DataFrame, key: str, *more) -> DataFrame:
-    return event_time(stream).select(F.col(key).cast("string").alias("key"), F.unix_micros("ts").alias("ts_us"), "event_id", *more).groupBy("key")
+    # ts stays, since it carries the watermark
+    return event_time(stream).select(F.col(key).cast("string").alias("key"), "ts", F.unix_micros("ts").alias("ts_us"), "event_id", *more).groupBy("key")
+
+
+def _keep_until(state: GroupState, value: tuple, neutral_us: int) -> None:
+    """Keep a state up to the time from which it equals none at all."""
+    state.update(value)
+    state.setTimeoutTimestamp(max(neutral_us // 1000, state.getCurrentWatermarkMs()) + 1)
 
 
 def token_bucket_stream(stream: DataFrame, key: str, rate: int, burst: int) -> DataFrame:
@@ -120,6 +136,9 @@ def token_bucket_stream(stream: DataFrame, key: str, rate: int, burst: int) -> D
     cap = burst * TOKEN
 
     def step(name, frames, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
         rows = _in_order(frames)
         level, before = state.get if state.exists else (cap, None)
         out = []
@@ -128,11 +147,11 @@ def token_bucket_stream(stream: DataFrame, key: str, rate: int, burst: int) -> D
             level, ok = refill(level, 0 if before is None else max(0, ts - before) * rate, cap)
             before = ts if before is None else max(before, ts)  # a late request gains nothing
             out.append((name[0], int(event), ok, level // TOKEN))
-        state.update((level, before))
+        _keep_until(state, (level, before), before + -(-(cap - level) // rate))
         yield pd.DataFrame(out, columns=["key", "event_id", "allowed", "remaining"])
 
     return _keyed(stream, key).applyInPandasWithState(
-        step, "key string, event_id bigint, allowed boolean, remaining bigint", "level bigint, before bigint", "append", GroupStateTimeout.NoTimeout)
+        step, "key string, event_id bigint, allowed boolean, remaining bigint", "level bigint, before bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def sliding_limit_stream(stream: DataFrame, key: str, limit: int, window_seconds: int) -> DataFrame:
@@ -140,6 +159,9 @@ def sliding_limit_stream(stream: DataFrame, key: str, limit: int, window_seconds
     width = window_seconds * 1_000_000
 
     def step(name, frames, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
         rows = _in_order(frames)
         log = [int(x) for x in state.get[0]] if state.exists else []
         out = []
@@ -149,11 +171,12 @@ def sliding_limit_stream(stream: DataFrame, key: str, limit: int, window_seconds
             if ok:
                 log.append(int(ts))
             out.append((name[0], int(event), ok))
-        state.update((log,))
+        last = int(rows["ts_us"].max())
+        _keep_until(state, (log,), max([last, *(t + width for t in log)]))
         yield pd.DataFrame(out, columns=["key", "event_id", "allowed"])
 
     return _keyed(stream, key).applyInPandasWithState(
-        step, "key string, event_id bigint, allowed boolean", "log array<bigint>", "append", GroupStateTimeout.NoTimeout)
+        step, "key string, event_id bigint, allowed boolean", "log array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def lockout_stream(stream: DataFrame, key: str, failed: str, succeeded: str, max_failures: int = 5, lock_seconds: int = 900) -> DataFrame:
@@ -163,6 +186,9 @@ def lockout_stream(stream: DataFrame, key: str, failed: str, succeeded: str, max
     width = lock_seconds * 1_000_000
 
     def step(name, frames, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
         rows = _in_order(frames)
         log, until = ([int(x) for x in state.get[0]], int(state.get[1])) if state.exists else ([], 0)
         out = []
@@ -175,11 +201,14 @@ def lockout_stream(stream: DataFrame, key: str, failed: str, succeeded: str, max
                 locks = len(log) >= max_failures
                 until = int(ts) + width if locks else until
                 out.append((name[0], int(event), len(log), locks, held))
-        state.update((log, until))
+        if log or until:
+            _keep_until(state, (log, until), max([until, *(t + width for t in log)]))
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(out, columns=["key", "event_id", "attempts", "locks", "was_locked"])
 
     return _keyed(stream, key, "event_type").applyInPandasWithState(
-        step, "key string, event_id bigint, attempts bigint, locks boolean, was_locked boolean", "log array<bigint>, until bigint", "append", GroupStateTimeout.NoTimeout)
+        step, "key string, event_id bigint, attempts bigint, locks boolean, was_locked boolean", "log array<bigint>, until bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def reservoir_stream(stream: DataFrame, key: str, seed: str, n: int, cells: int = 16) -> DataFrame:
