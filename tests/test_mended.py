@@ -2,13 +2,14 @@
 
 import datetime
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from wardstone.functions.jsontext import leaves
 from wardstone.functions.patterns import CATEGORY_OF_TYPE, PROFILES
-from wardstone.operators import anonymize as A, compliance as G, detect as D, privacy as K, sampling as M, throttle as T, versions as V
+from wardstone.operators import anonymize as A, compliance as G, detect as D, lineage as L, privacy as K, sampling as M, throttle as T, versions as V
 from wardstone.sources import io as IO
 from wardstone.streaming import jobs as ST
 from wardstone.session import workspace
@@ -186,3 +187,51 @@ def test_file_queries_report_every_file_at_any_size(spark, tmp_path, monkeypatch
     df.write.parquet(str(tmp_path / "documents.parquet"))
     assert [(r.source, r.scanned, r.hits, r.errors) for r in QUERIES["s05_file_report"](spark, str(tmp_path)).collect()] == [("web", True, 3000, 0)]
     assert [r.hits for r in QUERIES["s05_scan_files"](spark, str(tmp_path)).collect()] == [3000]
+
+
+def plain_walk(pairs, root):
+    depth, front = {root: 0}, [root]
+    while front:
+        found = {p for c, p in pairs if c in front and p not in depth}
+        depth |= {p: depth[front[0]] + 1 for p in found}
+        front = list(found)
+    return depth
+
+
+def test_walk_over_chains_branches_and_merges(spark):
+    rng = random.Random(3)
+    pairs, tips = [], [0]
+    for c in range(1, 160):  # mostly chains, with some branches and merges of unequal length
+        first = tips[-1] if rng.random() < 0.8 else rng.randrange(c)
+        pairs.append((c, first))
+        if rng.random() < 0.15:
+            pairs.append((c, rng.randrange(c)))
+        tips.append(c)
+    edges = spark.createDataFrame([(c, p, n) for n, (c, p) in enumerate(pairs)], "commit int, parent int, ord int")
+    roots = [159, 120, 77, 0]
+    starts = spark.createDataFrame([(f"r{r}", r) for r in roots], "root string, commit int")
+    got = {}
+    for r in V.history_walk(edges, starts).collect():
+        assert (r.root, r.commit) not in got
+        got[r.root, r.commit] = r.depth
+    assert got == {(f"r{r}", c): d for r in roots for c, d in plain_walk(set(pairs), r).items()}
+
+
+def test_rounds_of_a_long_chain(spark, monkeypatch):
+    cuts = []
+    for module in (V, L):
+        monkeypatch.setattr(module, "cut", lambda df, whole=module.cut: cuts.append(1) or whole(df))
+    n = 10_000
+    edges = spark.range(1, n).select(F.col("id").alias("commit"), (F.col("id") - 1).alias("parent"), F.lit(0).alias("ord"))
+    walk = V.history_walk(edges, spark.createDataFrame([("r", n - 1)], "root string, commit bigint"))
+    assert walk.count() == n and walk.filter(F.col("depth") + F.col("commit") == n - 1).count() == n
+    assert len(cuts) <= 26  # 14 doublings of pointers, 3 of steps, one a round of the walk
+
+
+def test_core_of_chains_rings_and_tails(spark):
+    ring = [(f"a{k}", f"a{(k + 1) % 500}") for k in range(500)]
+    tail = [("a3", "t0")] + [(f"t{k}", f"t{k + 1}") for k in range(300)]
+    lone = [("x", "y"), ("y", "z"), ("z", "x"), ("s", "s")]
+    edges = spark.createDataFrame(ring + tail + lone + [("q", "a9")], "source string, target string")
+    assert {tuple(r) for r in L.cyclic_core(edges).collect()} == set(ring + lone)
+    assert L.cyclic_core(edges.limit(0)).isEmpty()

@@ -120,21 +120,69 @@ def impact_analysis(nodes: DataFrame, edges: DataFrame, starts: DataFrame, types
         "start", *[F.coalesce(c, zero).alias(c) for c in ("affected", "max_depth", *[f"{t}s" for t in types])])
 
 
+def chain_places(edges: DataFrame, ends: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Chains of a graph (``edges``: distinct source, target, none of them null). An inner node has one edge in, one
+    out, and is not in ``ends`` (node).
+
+    Returns the place of inner nodes (node, head, off: edges from the chain's first inner node),
+    and the inner nodes of lone rings, which have no first (node). Pointers along a chain double
+    in every round, so rounds grow with the logarithm of the longest chain; no two open pointers
+    have one target, so no key is hot."""
+    one, none = F.lit(1), F.lit(0)
+    ways = edges.select(F.col("source").alias("node"), one.alias("out"), none.alias("into"), F.lit(None).cast(dict(edges.dtypes)["source"]).alias("before")).unionByName(
+        edges.select(F.col("target").alias("node"), none.alias("out"), one.alias("into"), F.col("source").alias("before")))
+    inner = ways.groupBy("node").agg(F.sum("out").alias("out"), F.sum("into").alias("into"), F.max("before").alias("before")).filter("out = 1 AND into = 1")
+    if ends is not None:
+        inner = inner.join(ends.select("node"), "node", "left_anti")
+    inner = cut(inner.select("node", "before"))
+    linked = inner.join(inner.select(F.col("node").alias("before"), F.lit(True).alias("linked")), "before", "left")
+    open_ = F.col("linked").isNotNull()
+    places = cut(linked.select("node", F.when(open_, F.col("before")).otherwise(F.col("node")).alias("at"), F.when(open_, 1).otherwise(0).cast("bigint").alias("off"), open_.alias("open")))
+    for _ in range(inner.count().bit_length() + 1):
+        left = places.filter("open")
+        if left.isEmpty():
+            break
+        onward = places.select(F.col("node").alias("__n"), F.col("at").alias("__at"), F.col("off").alias("__off"), F.col("open").alias("__open"))
+        moved = left.join(onward, F.col("at") == F.col("__n")).select("node", F.col("__at").alias("at"), (F.col("off") + F.col("__off")).alias("off"), F.col("__open").alias("open"))
+        places = cut(places.filter("NOT open").unionByName(moved))
+    return places.filter("NOT open").select("node", F.col("at").alias("head"), "off"), places.filter("open").select("node")
+
+
+def contract_chains(edges: DataFrame, ends: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """A graph whose chains are single edges: (source, target, len, head), head null for edges that
+    are no chain; the way into each chain (source, head), also of chains that lead nowhere; the
+    places of inner nodes; the nodes of lone rings."""
+    edges = edges.filter("source IS NOT NULL AND target IS NOT NULL")
+    place, rings = chain_places(edges, ends)
+    a = place.select(F.col("node").alias("source"), F.col("head").alias("__from"), F.col("off").alias("__off"))
+    b = place.select(F.col("node").alias("target"), F.col("head").alias("__into"))
+    tagged = cut(edges.join(a, "source", "left").join(b, "target", "left").join(rings.select(F.col("node").alias("source")), "source", "left_anti"))
+    into = tagged.filter("__from IS NULL AND __into IS NOT NULL").select("source", F.col("__into").alias("head"))
+    out = tagged.filter("__from IS NOT NULL AND __into IS NULL").select(F.col("__from").alias("head"), "target", (F.col("__off") + 2).alias("len"))
+    plain = tagged.filter("__from IS NULL AND __into IS NULL").select("source", "target", F.lit(1).cast("bigint").alias("len"), F.lit(None).cast(dict(place.dtypes)["head"]).alias("head"))
+    return plain.unionByName(into.join(out, "head").select("source", "target", "len", "head")), into, place, rings
+
+
 def cyclic_core(edges: DataFrame) -> DataFrame:
     """Edges that may lie on a cycle: edges into nodes without outgoing edges and edges out of
-    nodes without incoming edges are peeled off until nothing changes."""
-    left = cut(edges.select("source", "target").distinct())
+    nodes without incoming edges are peeled off until nothing changes. Chains are one edge each,
+    so a round peels a whole chain."""
+    whole = cut(edges.select("source", "target").distinct())
+    left, _, places, rings = contract_chains(whole)
+    left = cut(left)
     count = left.count()
     while count:
         inner = left.join(left.select(F.col("target").alias("source")).distinct(), "source", "left_semi")
-        inner = inner.join(left.select(F.col("source").alias("target")).distinct(), "target", "left_semi").select("source", "target")
-        inner = cut(inner)
-        now = inner.count()
-        left = inner
+        left = cut(inner.join(left.select(F.col("source").alias("target")).distinct(), "target", "left_semi").select(*left.columns))
+        now = left.count()
         if now == count:
             break
         count = now
-    return left
+    # an edge of a chain has an inner node at one end at least
+    heads = left.filter("head IS NOT NULL").select("head").distinct()
+    nodes = places.join(heads, "head", "left_semi").select("node").unionByName(rings)
+    touched = whole.join(nodes.select(F.col("node").alias("source")), "source", "left_semi").unionByName(whole.join(nodes.select(F.col("node").alias("target")), "target", "left_semi"))
+    return cut(left.filter("head IS NULL").select("source", "target").unionByName(touched.select("source", "target")).distinct())
 
 
 def admit_edges(nodes: DataFrame, edges: DataFrame, new_edges: DataFrame, order: str | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.ordering import along, fold_hashes, grouped_index, hash_bucket, join_same
 from ..session import cut
+from .lineage import contract_chains
 
 
 def row_hash(columns: list[str]) -> Column:
@@ -223,32 +224,34 @@ def tree_clashes(files: DataFrame, path: str, file_hash: str) -> DataFrame:
 def history_walk(edges: DataFrame, starts: DataFrame, stops: DataFrame | None = None, first_parent: bool = False, doublings: int = 3) -> DataFrame:
     """Breadth-first walk from start commits to parents: (root, commit, depth).
 
-    ``edges``: commit, parent, ord. All roots advance together. Edges are first extended to
-    paths of up to 2^doublings commits (commits have one or two parents, so this table stays a
-    small multiple of the edges); each round then settles that many depths: every commit of the
-    next depths is reached from the layer the last round ended with. A stop commit is neither
-    reported nor passed."""
+    ``edges``: commit, parent, ord. All roots advance together. A stop commit is neither reported
+    nor passed. Chains of commits with one parent and one child are single steps of their length
+    (``contract_chains``), and steps are extended to paths of up to 2^doublings steps, so the
+    rounds grow with the logarithm of the longest chain and with the branches and merges on the
+    way; the commits of a chain get their depths from its first one at the end."""
     up = edges.filter("ord = 0") if first_parent else edges
-    hop = up.select(F.col("commit").alias("__c"), F.col("parent").alias("__p"), F.lit(1).alias("__len"))
+    hop = up.select(F.col("commit").alias("source"), F.col("parent").alias("target"))
     front = starts.select("root", "commit")
     if stops is not None:
-        hop = hop.join(stops.select(F.col("commit").alias("__p")), "__p", "left_anti").select("__c", "__p", "__len")
+        hop = hop.join(stops.select(F.col("commit").alias("target")), "target", "left_anti")
         front = front.join(stops.select("commit"), "commit", "left_anti").select("root", "commit")
-    hop = cut(hop)
+    front = cut(front.distinct().withColumn("depth", F.lit(0).cast("bigint")))
+    steps, into, places, _ = contract_chains(cut(hop.select("source", "target").distinct()), front.select(F.col("commit").alias("node")).distinct())
+    hop = cut(steps.groupBy(F.col("source").alias("__c"), F.col("target").alias("__p")).agg(F.min("len").alias("__len")))
     for _ in range(doublings):
         onward = hop.select(F.col("__c").alias("__m"), F.col("__p").alias("__q"), F.col("__len").alias("__more"))
         longer = hop.join(onward, F.col("__p") == F.col("__m")).select("__c", F.col("__q").alias("__p"), (F.col("__len") + F.col("__more")).alias("__len"))
         hop = cut(hop.unionByName(longer).groupBy("__c", "__p").agg(F.min("__len").alias("__len")))
-    layer = cut(front.distinct().withColumn("depth", F.lit(0)))
-    seen, depth = layer, 0
-    while True:
-        step = layer.join(hop, F.col("commit") == F.col("__c")).groupBy("root", F.col("__p").alias("commit")).agg(F.min(F.col("depth") + F.col("__len")).alias("depth"))
-        found = cut(step.join(seen.select("root", "commit"), ["root", "commit"], "left_anti"))
-        depth += 2**doublings
-        seen = seen.unionByName(found)
-        layer = found.filter(F.col("depth") == depth)
-        if layer.isEmpty():
-            return seen
+    seen = layer = front
+    old = F.lit(None).cast("bigint").alias("old")
+    while not layer.isEmpty():
+        step = layer.join(hop, F.col("commit") == F.col("__c")).select("root", F.col("__p").alias("commit"), (F.col("depth") + F.col("__len")).alias("depth"), old)
+        both = step.unionByName(seen.select("root", "commit", "depth", F.col("depth").alias("old")))
+        now = cut(both.groupBy("root", "commit").agg(F.min("depth").alias("depth"), F.min("old").alias("old")))
+        seen, layer = now.drop("old"), now.filter("old IS NULL OR depth < old").drop("old")
+    entered = seen.join(into.withColumnRenamed("source", "commit"), "commit").select("root", "head", (F.col("depth") + 1).alias("__at"))
+    inside = entered.join(places, "head").select("root", F.col("node").alias("commit"), (F.col("__at") + F.col("off")).alias("depth"))
+    return seen.unionByName(inside).withColumn("depth", F.col("depth").cast("int"))
 
 
 def commit_filter(commits: DataFrame, author: str | None = None, message: str | None = None, since: Column | None = None,

@@ -482,7 +482,7 @@ def _sliding_sql(key, us, limit, width):
 
 @query("e12_rate_limit_sliding", _sliding_sql("user_id%3", "(epoch_us(ts)-1704067200000000)//1000", 3, 2000000))
 def _(spark, sf):
-    return throttle.sliding_limit(packed(spark, sf), "client", "at", "event_id", None, 3, 2, chunk_rows=500).select("event_id", "allowed")
+    return throttle.sliding_limit(packed(spark, sf), "client", "at", "event_id", None, 3, 2, chunk_rows=2000).select("event_id", "allowed")
 
 
 @query("e13_rate_buckets", "SELECT user_id, 'minute' AS unit, strftime(date_trunc('minute',ts),'%Y-%m-%d %H:%M') AS bucket_start, count(*) AS requests FROM events GROUP BY ALL UNION ALL SELECT user_id, 'hour', strftime(date_trunc('hour',ts),'%Y-%m-%d %H:%M'), count(*) FROM events GROUP BY ALL UNION ALL SELECT user_id, 'day', strftime(date_trunc('day',ts),'%Y-%m-%d %H:%M'), count(*) FROM events GROUP BY ALL")
