@@ -11,19 +11,31 @@ from ..session import cut
 
 #: Starts of a block: the bits of a whole number.
 BLOCK = 64
+#: Rows of a front that go to the edges by a broadcast.
+FEW = 50_000
+#: Rounds up to which edges are read again instead of written.
+BRIEF = 3
+
+
+def _onward(front: DataFrame, hop: DataFrame) -> DataFrame:
+    """Rows of a front (materialised, with a column node) with the edges (__a, __b) out of their nodes."""
+    near = F.broadcast(front) if front.limit(FEW + 1).count() <= FEW else front
+    return near.join(hop, F.col("node") == F.col("__a"))
 
 
 def closure(edges: DataFrame, starts: DataFrame, direction: str = "down", max_depth: int | None = None) -> DataFrame:
     """(start, node, depth): nodes reachable from each start, each once at its least depth,
     the start itself left out. ``edges``: source, target; ``starts``: node."""
     a, b = ("source", "target") if direction == "down" else ("target", "source")
-    # written once, grouped by the join key, and read by every round
-    hop = cut(edges.select(F.col(a).alias("__a"), F.col(b).alias("__b")).distinct().repartition("__a"))
+    hop = edges.select(F.col(a).alias("__a"), F.col(b).alias("__b"))
+    if max_depth is None or max_depth > BRIEF:
+        # written once, grouped by the join key, and read by every round
+        hop = cut(hop.distinct().repartition("__a"))
     front = cut(starts.select(F.col("node").alias("start"), "node").distinct().withColumn("depth", F.lit(0)))
     seen, depth = front, 0
     while max_depth is None or depth < max_depth:
         depth += 1
-        step = front.join(hop, F.col("node") == F.col("__a")).select("start", F.col("__b").alias("node")).distinct()
+        step = _onward(front, hop).select("start", F.col("__b").alias("node")).distinct()
         front = cut(step.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if front.isEmpty():
             break
@@ -39,18 +51,31 @@ def neighbours(edges: DataFrame, node: DataFrame, direction: str) -> DataFrame:
 def find_paths(edges: DataFrame, pairs: DataFrame, max_depth: int) -> DataFrame:
     """All simple paths of each pair (source, target) of at most ``max_depth`` edges.
 
-    Partial paths that can no longer reach the target are dropped by joining, per round, with
-    the nodes from which the target is reachable within the edges left."""
-    targets = pairs.select(F.col("target").alias("node")).distinct()
-    reach = closure(edges, targets, "up", max_depth).select(F.col("start").alias("__t"), F.col("node").alias("__n"), F.col("depth").alias("__left"))
-    reach = reach.unionByName(targets.select(F.col("node").alias("__t"), F.col("node").alias("__n"), F.lit(0).alias("__left")))
-    hop = edges.select(F.col("source").alias("__a"), F.col("target").alias("__b")).distinct()
+    A search from the targets up keeps, for each target, the edges that lead to it within the edges
+    left. Partial paths grow along the edges of their own target only, so no round has more rows
+    than there are partial paths that can still arrive."""
+    hop = edges.select(F.col("target").alias("__a"), F.col("source").alias("__b"))
+    if max_depth > BRIEF:
+        hop = cut(hop.distinct().repartition("__a"))
+    front = cut(pairs.select(F.col("target").alias("__t"), F.col("target").alias("node")).distinct())
+    seen, ways = front, None
+    for left in range(max_depth):
+        step = _onward(front, hop).select("__t", F.col("__b").alias("__from"), F.col("node").alias("__to")).distinct()
+        if left == max_depth - 1:  # only a first edge may have so many after it
+            step = step.join(pairs.select(F.col("target").alias("__t"), F.col("source").alias("__from")), ["__t", "__from"], "left_semi")
+        step = cut(step.withColumn("__left", F.lit(left)))
+        ways = step if ways is None else ways.unionByName(step)
+        if left < max_depth - 1:
+            front = cut(step.select("__t", F.col("__from").alias("node")).distinct().join(seen, ["__t", "node"], "left_anti"))
+            if front.isEmpty():
+                break
+            seen = seen.unionByName(front)
     front = pairs.select("source", "target", F.col("source").alias("node"), F.array("source").alias("path"))
     out = None
     for depth in range(1, max_depth + 1):
-        step = front.join(hop, F.col("node") == F.col("__a")).filter(~F.array_contains("path", F.col("__b")))
-        step = step.join(reach, (F.col("target") == F.col("__t")) & (F.col("__b") == F.col("__n")) & (F.col("__left") <= max_depth - depth))
-        step = cut(step.select("source", "target", F.col("__b").alias("node"), F.concat("path", F.array("__b")).alias("path")))
+        step = front.join(ways, (F.col("target") == F.col("__t")) & (F.col("node") == F.col("__from")) & (F.col("__left") <= max_depth - depth))
+        step = step.filter(~F.array_contains("path", F.col("__to")))
+        step = cut(step.select("source", "target", F.col("__to").alias("node"), F.concat("path", F.array("__to")).alias("path")))
         arrived = step.filter(F.col("node") == F.col("target")).select("source", "target", "path")
         out = arrived if out is None else out.unionByName(arrived)
         front = step.filter(F.col("node") != F.col("target"))
