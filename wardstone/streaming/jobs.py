@@ -23,12 +23,13 @@ WATERMARK = "10 minutes"
 
 
 def read_stream(spark: SparkSession, folder: str, name: str, files_per_trigger: int | None = None) -> DataFrame:
-    """A Parquet table of a folder as a stream of its files."""
+    """A Parquet table of a folder, one file or a folder of parts, as a stream of its files."""
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+    reader = spark.readStream.schema(schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(folder)
+    # as a pattern, which may match a file; a plain path of a stream must be a folder
+    return reader.parquet(f"{folder}/{name}[.]parquet")
 
 
 def event_time(stream: DataFrame, column: str = "ts") -> DataFrame:
