@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.ordering import along, fold_hashes, grouped_index, hash_bucket, join_same
-from ..session import cut
+from ..session import cut, dealt
 from .lineage import contract_chains
 
 
@@ -331,23 +331,21 @@ def children(edges: DataFrame) -> DataFrame:
 
 def version_stats(snapshots: DataFrame, dataset: str | None = None) -> DataFrame:
     """Per version and the one before it that exists: counts and sizes. ``snapshots``: version,
-    key, hash, kind, size. Version numbers may have gaps."""
+    key, hash, kind, size. Version numbers may have gaps.
+
+    What follows each version, a row for each, goes to the rows by a broadcast: a join by version
+    would gather a whole snapshot in one task."""
     keys = [dataset] if dataset else []
-    numbers = snapshots.select(*keys, "version").distinct()  # a row for each version
+    numbers = snapshots.select(*keys, "version").distinct()
     follow = W.partitionBy(*keys, F.lit(0)).orderBy("version")
     steps = numbers.select(*keys, "version", F.lead("version").over(follow).alias("__next")).filter("__next IS NOT NULL")
-    nxt = join_same(snapshots, steps, [*keys, "version"]).withColumn("version", F.col("__next"))
-    a = nxt.select(*keys, "version", "key", F.col("hash").alias("old_hash"), F.col("size").alias("old_size"), F.col("kind").alias("old_kind"))
-    b = snapshots.select(*keys, "version", "key", F.col("hash").alias("new_hash"), F.col("size").alias("new_size"), F.col("kind").alias("new_kind"))
-    # null-safe: renamed keys of the older side meet those of the newer
-    old = a.select(*[F.col(k).alias(f"__{k}") for k in [*keys, "version", "key"]], "old_hash", "old_size", "old_kind")
-    same = F.lit(True)
-    for k in [*keys, "version", "key"]:
-        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
-    found = F.col("new_hash").isNotNull()
-    both = old.join(b, same, "full_outer").select(*[F.when(found, F.col(k)).otherwise(F.col(f"__{k}")).alias(k) for k in [*keys, "version", "key"]], "old_hash", "old_size", "old_kind", "new_hash", "new_size", "new_kind")
+    nxt = join_same(snapshots.select(*keys, "version", "key", "hash"), steps, [*keys, "version"], small=True).withColumn("version", F.col("__next"))
+    at = F.struct(*keys, "version", "key").alias("__at")  # structs are equal where both lack a key
+    rows = snapshots.count()
+    old = dealt(nxt.select(at, F.col("hash").alias("old_hash")), rows, "__at")
+    new = dealt(snapshots.select(at, F.col("hash").alias("new_hash"), F.col("size").alias("new_size")), rows, "__at")
     change = (F.when(F.col("old_hash").isNull(), "added").when(F.col("new_hash").isNull(), "deleted").when(F.col("old_hash") != F.col("new_hash"), "modified").otherwise("unchanged"))
-    joined = both.withColumn("change", change)
+    joined = old.join(new, "__at", "full_outer").select(*[F.col("__at")[k].alias(k) for k in [*keys, "version"]], "new_hash", "new_size", change.alias("change"))
     per = joined.groupBy(*keys, "version").agg(
         F.count_if(F.col("change") == "added").alias("added"), F.count_if(F.col("change") == "modified").alias("modified"),
         F.count_if(F.col("change") == "deleted").alias("deleted"), F.count("new_hash").alias("records"), F.coalesce(F.sum("new_size"), F.lit(0)).alias("size"))
