@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import cut
+from ..session import cut, dealt
 
 #: Starts of a block: the bits of a whole number.
 BLOCK = 64
@@ -84,12 +84,19 @@ def find_paths(edges: DataFrame, pairs: DataFrame, max_depth: int) -> DataFrame:
     return out.withColumn("length", F.size("path") - 1)
 
 
+def _apart(nodes: DataFrame, edges: DataFrame, end: str) -> DataFrame:
+    """Nodes that are no such end of an edge."""
+    ends = edges.select(F.col(end).alias("node"))
+    rows = nodes.count() + ends.count()
+    return dealt(nodes, rows, "node").join(dealt(ends, rows, "node"), "node", "left_anti")
+
+
 def graph_roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    return nodes.join(edges.select(F.col("target").alias("node")).distinct(), "node", "left_anti")
+    return _apart(nodes, edges, "target")
 
 
 def graph_leaves(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    return nodes.join(edges.select(F.col("source").alias("node")).distinct(), "node", "left_anti")
+    return _apart(nodes, edges, "source")
 
 
 def graph_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
