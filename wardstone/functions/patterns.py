@@ -7,6 +7,7 @@ hold for a text before the regex is run on it (see ``functions.spans``).
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, replace
 
 RISK_LEVELS = ["low", "medium", "high", "critical"]
@@ -26,10 +27,21 @@ class Pattern:
 
     @property
     def java(self) -> str:
-        return self.regex.replace(r"\b", ASCII_EDGE) if self.ascii_words else self.regex
+        """The regex for Java. Where it begins with a word's edge and a known first character, that character is
+        looked for first: it is rarer and cheaper to test than the edge, and the matches are the same."""
+        if not self.ascii_words:
+            return self.regex
+        first = FIRST.match(self.regex)
+        if not first:
+            return self.regex.replace(r"\b", ASCII_EDGE)
+        flags, char, rest = first[1] or "", first[2], self.regex[first.end():]
+        return f"{flags}(?={char}){ASCII_START}{char}{rest.replace(chr(92) + 'b', ASCII_EDGE)}"
 
 
 ASCII_EDGE = "(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"
+ASCII_START = "(?<![0-9A-Za-z_])"  # the edge before a word character
+#: A word's edge before a digit, a letter of a range or a letter of its own that is not optional.
+FIRST = re.compile(r"(\(\?i\))?\\b(\\d|\[A-Z\](?:\[a-z\])?|[A-Za-z0-9])(?![*?]|\{0)")
 
 
 # ---- fixed values: the canonical profile ---------------------------------------------
