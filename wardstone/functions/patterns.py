@@ -24,6 +24,7 @@ class Pattern:
     validator: str | None = None
     gate: str | None = None
     ascii_words: bool = False  # \\b sees only ASCII letters, digits and _ as word characters
+    cuttable: bool = False  # in a match, white space stands only behind a digit, one of ),=: or white space
 
     @property
     def java(self) -> str:
@@ -171,8 +172,12 @@ def _ascii(patterns: list[Pattern]) -> list[Pattern]:
     return [replace(p, ascii_words=True) for p in patterns]
 
 
+def _cuttable(patterns: list[Pattern]) -> list[Pattern]:
+    return [replace(p, cuttable=True) for p in patterns]
+
+
 PROFILES = {
-    "canonical": CANONICAL,
+    "canonical": _cuttable(CANONICAL),
     "engine": ENGINE,
     "agent": _ascii(AGENT),
     "service": _ascii(SERVICE),

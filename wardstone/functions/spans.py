@@ -2,7 +2,9 @@
 
 Each regex runs once per text: it wraps its matches in a marker character, a split on the
 marker then yields alternating gap and match pieces whose lengths give the offsets. Cheap
-gates (a literal or one short regex) keep most texts away from most patterns.
+gates (a literal or one short regex) keep most texts away from most patterns. Long texts are cut
+where no match can lie, so the gates judge stretches of some hundred characters, however long the
+text is.
 """
 
 from __future__ import annotations
@@ -81,12 +83,51 @@ def forget() -> None:
     _built.clear()
 
 
+#: Characters from which on a text is cut into blocks, and a block into stretches.
+BLOCK, STRETCH = 1 << 16, 256
+
+
+def stretches(text: Column, size: int) -> Column:
+    """A text as pieces of more than `size` characters (the last may be shorter), each up to white space
+    that no match of a cuttable pattern holds."""
+    cut = rf"(?s).{{{size}}}.*?[^0-9),=:\s]\s|.+"
+    return F.when(F.length(text) <= size, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(cut), F.lit(0)))
+
+
+def _in_pieces(text: Column, size: int, spans_of: Callable[[Column], Column]) -> Column:
+    """The sorted spans of a text from those of its pieces."""
+    found = F.transform(stretches(text, size), lambda t: F.struct(F.length(t).alias("size"), spans_of(t).alias("spans")))
+    start = F.struct(F.lit(0).alias("pos"), F.array().cast(SPAN_TYPE).alias("out"))
+
+    def step(acc: Column, piece: Column) -> Column:
+        moved = F.transform(piece["spans"], lambda s: F.struct(
+            (s["start"] + acc["pos"]).alias("start"), s["neg_confidence"].alias("neg_confidence"), s["ord"].alias("ord"),
+            (s["end"] + acc["pos"]).alias("end"), s["value"].alias("value")))
+        return F.struct(
+            (acc["pos"] + piece["size"]).alias("pos"),
+            F.when(F.size(piece["spans"]) > 0, F.concat(acc["out"], moved)).otherwise(acc["out"]).alias("out"),
+        )
+
+    return F.aggregate(found, start, step)["out"]
+
+
 def all_spans(text: Column, patterns: list[Pattern]) -> Column:
     """Every match of every pattern, sorted by start, confidence (descending), order."""
+    numbered = list(enumerate(patterns))
+    cuttable, others = [n for n in numbered if n[1].cuttable], [n for n in numbered if not n[1].cuttable]
+    if not cuttable:
+        return _scanned(text, others)
+    spans = _in_pieces(text, BLOCK, lambda block: _in_pieces(block, STRETCH, lambda t: _scanned(t, cuttable)))
+    spans = F.coalesce(spans, F.array().cast(SPAN_TYPE))
+    return F.array_sort(F.concat(spans, _scanned(text, others))) if others else spans
+
+
+def _scanned(text: Column, patterns: list[tuple[int, Pattern]]) -> Column:
+    """The spans of a text scanned as one."""
 
     def scan(t: Column) -> Column:
         by_gate: dict[str | None, list[Column]] = {}
-        for ordinal, p in enumerate(patterns):
+        for ordinal, p in patterns:
             marked = F.regexp_replace(t, p.java, MARK + "$0" + MARK)
             by_gate.setdefault(p.gate, []).append(
                 F.struct(
