@@ -121,6 +121,26 @@ def test_edit_distance():
         assert bounded == levenshtein(a, b) or min(bounded, levenshtein(a, b)) > most
 
 
+def test_crowded_cluster_is_verified_together(monkeypatch):
+    """Lines that all look near are linked as by single distances, but few are measured alone."""
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abcde é日 ") for _ in range(rng.choice([20, 40, 90, 330, 800]))) for _ in range(150)]
+    for k in range(0, 150, 2):
+        copy = list(texts[k])
+        for _ in range(rng.randrange(1, len(copy) // 4)):
+            copy[rng.randrange(len(copy))] = rng.choice("xyz")
+        texts.append("".join(copy))
+    want = {(a, b) for a in range(len(texts)) for b in range(a) if linededup.alike(texts[a], texts[b], 0.8)}
+    assert 30 < len(want) < 75
+    calls = []
+    alike = linededup.alike
+    monkeypatch.setattr(linededup, "alike", lambda *x: calls.append(x) or alike(*x))
+    n = len(texts)
+    a, b = linededup.verified(np.arange(n), np.zeros(n, np.int64), np.zeros(n, np.int64), texts, 0.8)
+    assert {tuple(sorted(p, reverse=True)) for p in zip(a.tolist(), b.tolist())} == want
+    assert len(calls) < 200
+
+
 def test_line_dedup_query(spark, docs_001):
     want = without_repeated_lines(docs_001)
     docs = spark.read.parquet(f"{SF}/documents.parquet")
