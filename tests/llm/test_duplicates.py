@@ -171,6 +171,48 @@ def test_fuzzy_lines(spark, crowd, members, monkeypatch):
     assert got == without_repeated_lines(rows)
 
 
+def test_line_dedup_leaves_only_its_list(spark, tmp_path, monkeypatch):
+    """Of what the search writes only the list of lines stays, which the result reads, and of the
+    keys of all blocks no more than a turn's are shuffled at once."""
+    rng = random.Random(8)
+    rows = [(k, "\n".join(" ".join(f"w{rng.randrange(300)}" for _ in range(12)) for _ in range(5))) for k in range(60)]
+    rows += [(100 + k, f"{t} more") for k, t in rows[:20]]
+    folders, turns, kept_rows = [], [], linededup.kept_rows
+    monkeypatch.setattr(linededup, "shared_folder", lambda _, name: folders.append(f"{tmp_path}/{name}") or folders[-1])
+    monkeypatch.setattr(linededup, "kept", lambda df, name: linededup.kept_below(df, f"{tmp_path}/{name}"))
+    monkeypatch.setattr(linededup, "kept_rows", lambda df: turns.append(df) or kept_rows(df))
+    got = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert folders == [f"{tmp_path}/line-dedup"] and len(turns) == linededup.TURNS
+    assert [p.name for p in tmp_path.iterdir()] == ["repeated-lines"]
+    assert {r.doc_id: r.text for r in got.collect()} == without_like_lines(rows)
+
+
+def test_blocks_in_turns_give_all_keys():
+    rng = random.Random(9)
+    _, sig = linededup.sketches([" ".join(f"w{rng.randrange(50)}" for _ in range(rng.randrange(1, 60))) for _ in range(200)])
+    pairs = [{*zip(*(x.tolist() for x in linededup.block_keys(sig, range(k, linededup.BLOCKS, linededup.TURNS))))} for k in range(linededup.TURNS)]
+    everything = [*zip(*(x.tolist() for x in linededup.block_keys(sig)))]
+    assert set().union(*pairs) == set(everything)
+    assert sum(map(len, pairs)) == len(set(everything)) and max(map(len, pairs)) < len(everything) / 2
+
+
+def test_lines_of_a_crowded_key_all_meet():
+    fp, key = np.arange(-40, 40), np.repeat(np.array([-5, 0, 7, 9], np.int32), 20)
+    at = list(linededup.meetings(fp, key, np.array([-5, 7], np.int32), np.array([3, 4])))
+    assert sorted(zip(*(x.tolist() for x in at[0]))) == [(f, k) for f, k in zip(fp.tolist(), key.tolist()) if k in (0, 9)]
+    places = collections.defaultdict(set)
+    for own in at[1:]:
+        for f, k in zip(*(x.tolist() for x in own)):
+            places[f].add(k)
+    for low, parts in ((-40, 3), (0, 4)):
+        lines = range(low, low + 20)
+        assert all(places[a] & places[b] for a in lines for b in lines) and {len(places[a]) for a in lines} == {parts}
+        assert max(collections.Counter(k for a in lines for k in places[a]).values()) < 20
+    assert not places.keys() & {*range(-20, 0), *range(20, 40)}
+    none = list(linededup.meetings(fp, key, np.zeros(0, np.int32), np.zeros(0, np.int64)))
+    assert len(none) == 1 and none[0][0].tolist() == fp.tolist()
+
+
 def test_segments_lose_no_short_pair():
     rng = random.Random(11)
     for _ in range(3000):
