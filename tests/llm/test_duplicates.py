@@ -5,6 +5,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from brute import levenshtein, near_components, without_like_lines, without_repeated_lines
 
@@ -213,6 +214,31 @@ def test_lines_of_a_crowded_key_all_meet():
     assert len(none) == 1 and none[0][0].tolist() == fp.tolist()
 
 
+def test_parts_of_a_crowded_cluster_are_written_once(spark, tmp_path, monkeypatch):
+    """However many parts a part meets, its texts lie on the disk once."""
+    rng = random.Random(12)
+    base = [f"v{rng.randrange(900)}" for _ in range(30)]
+    rows = [(k, " ".join([*base[: k % 30], f"n{k}", *base[k % 30 + 1 :], *["end"] * (k % 7)])) for k in range(200)]
+    monkeypatch.setattr(linededup, "shared_folder", lambda _, name: f"{tmp_path}/{name}")
+    monkeypatch.setattr(linededup, "delete", lambda *_: None)
+    got = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string"), crowd=15)
+    files = [pq.read_table(f) for f in (tmp_path / "line-dedup/parts").glob("*.parquet")]
+    lines = [t for f in files for t in f["normal"].to_pylist()]
+    assert len(files) > 8 and sorted(lines) == sorted(linededup.normal_line(t) for _, t in rows)
+    assert {r.doc_id: r.text for r in got.collect()} == without_like_lines(rows)
+
+
+@pytest.mark.parametrize("n", [20, 90])
+def test_known_groups_meet_by_one_link(n):
+    """Of two groups found in two parts one link is returned, of lines of one group none."""
+    texts = ["the same long line of words with number " + "".join("xy"[k >> b & 1] for b in range(7)) for k in range(n)]
+    fp, part = np.zeros(n, np.int64), np.arange(n) % 2
+    a, b = linededup.verified(np.arange(n) + 100, fp, part, texts, 0.8, part)
+    assert len(a) == 1 and {(a[0] - 100) % 2, (b[0] - 100) % 2} == {0, 1}
+    assert not len(linededup.verified(np.arange(n) + 100, fp, part, texts, 0.8, np.zeros(n, np.int64))[0])
+    assert len(linededup.verified(np.arange(n) + 100, fp, part, texts, 0.8)[0]) == n - 1
+
+
 def test_segments_lose_no_short_pair():
     rng = random.Random(11)
     for _ in range(3000):
